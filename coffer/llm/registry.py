@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, topk
+from . import bpe, packing, quality_rules, topk
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
