@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, rule_ensemble, topk, toxicity
+from . import bpe, jaccard_join, packing, quality_rules, rule_ensemble, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": rule_ensemble.op1_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
