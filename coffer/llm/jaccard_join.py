@@ -272,14 +272,15 @@ def _verify(size: int, threshold: float):
 def similar_groups(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL
 ) -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id, n_links and n_copies; its other columns are left out.
+    """One row per row of ``df``: doc_id, class_id, n_links, n_copies, stands_for_class and text_hash.
 
     n_links: other rows whose shingle sets have a Jaccard similarity of the
     threshold or more, copies among them; n_copies: rows with an equal set, itself
     included; class_id: the least id that chains of links reach. A text of under
     five words is one shingle of all its words; null and blank texts have none and
     link to nothing. Null ids take part, but a class is named by another id where it
-    has one. An empty table gives an empty result.
+    has one. stands_for_class marks the row of the least id of each class (and rows
+    equal to it). An empty table gives an empty result; other columns are left out.
     """
     spark = df.sparkSession
     runs = repetitions(recall)
@@ -332,16 +333,36 @@ def similar_groups(
     result = result.select(
         F.col("set").alias("c_set"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")
     )
-    rows = sets.select("doc", "set").join(result, F.col("set") == F.col("c_set"), "left").drop("c_set")
+    rows = sets.select("doc", "own", "set").join(result, F.col("set") == F.col("c_set"), "left").drop("c_set")
     rows = written(rows, "rows")
-    names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("class_id"))
+    first = F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("d"), "own")).alias("first")
+    names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("class_id"), first)
+    alone = F.col("root").isNull()
+    stands = (F.coalesce("doc", F.lit(2**63 - 1)) == F.col("first.d")) & (F.col("own") == F.col("first.own"))
     return rows.join(names.withColumnRenamed("root", "n_root"), F.col("root") == F.col("n_root"), "left").select(
         F.col("doc").alias("doc_id"),
-        F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        (alone | stands).alias("stands_for_class"),
+        F.col("own").alias("text_hash"),
     )
 
 
+def one_per_group(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that stand for their class: of each, the one with the least id, with all its columns.
+
+    Equal rows (id and text) count as one. Rows without any word all stay, once each
+    if equal. Rows that share an id but not the text are told apart by the text.
+    """
+    found = similar_groups(df, text_col, id_col).where("stands_for_class")
+    keepers = found.groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.count("*").alias("k_rows"))
+    own = F.coalesce(F.xxhash64(column(df, text_col).cast("string")), F.lit(0))
+    kept = df.join(keepers, column(df, id_col).cast("long").eqNullSafe(F.col("k_id")) & (own == F.col("k_hash")))
+    single = kept.where("k_rows = 1").select(*[column(df, c) for c in df.columns])
+    repeated = kept.where("k_rows > 1").dropDuplicates(["k_id", "k_hash"]).select(*[column(df, c) for c in df.columns])
+    return single.unionByName(repeated)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return similar_groups(documents(spark, sf_dir).select("doc_id", "text")).drop("stands_for_class", "text_hash")

@@ -16,6 +16,7 @@ holds for that rank.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -25,14 +26,17 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import REMEMBERED
+from .bpe import REMEMBERED, encoder
 from .common import column, documents, written
 
-VOCABULARY = "byte_bpe_50k.json"
+#: The ranks of the vocabulary byte_bpe_50k.json.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Longer pieces are encoded in halves.
+LONG_PIECE = 256
 CAPACITY = 2048
 #: Share of the scarcest length's count that one step of the solver covers.
 STEP = 0.25
@@ -46,24 +50,32 @@ Configuration = tuple[tuple[int, int], ...]  # (length, how often), longest firs
 
 
 class _Pieces:
-    """Token ids by the tokenizers library, each distinct piece of the pattern encoded once."""
+    """Token ids of the vocabulary, each distinct piece of the pattern encoded once.
+
+    The ids are those of the tokenizers library for the same vocabulary (the tests
+    compare them). Its encodings carry offsets that are not needed here and cost
+    several times the ids, so unseen pieces are encoded by their ranks.
+    """
 
     def __init__(self, path: str, pattern: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.by = encoder(path, pattern)
+        self.plain = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=self.by.ranks, special_tokens={}).encode_ordinary
         self.find, self.known = regex.compile(pattern), {}
 
+    def _new(self, piece: str) -> bytes:
+        if len(piece) > LONG_PIECE:  # the tree reduction has no limit on runs
+            return self.by.piece(piece)
+        packed = self.known[piece] = array("I", self.plain(piece)).tobytes()
+        return packed
+
     def packed(self, text: str) -> bytes:
         pieces = self.find.findall(text)
         parts = list(map(self.known.get, pieces))
         if None in parts:
-            new = list(dict.fromkeys(p for p, t in zip(pieces, parts) if t is None))
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = list(dict.fromkeys(pieces))
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
-            parts = map(self.known.__getitem__, pieces)
+            get = self.known.get
+            parts = [(get(p) or self._new(p)) if t is None else t for p, t in zip(pieces, parts)]
         return b"".join(parts)
 
 
@@ -227,7 +239,8 @@ def pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacit
     pieces = pieces.drop("sequence_id", "offset")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy(length_col).count().collect()}  # one row per length
     total = sum(histogram.values())
-    buckets = max(1, total // RANK_ROWS)
+    # at least as many as there are tasks, for a length that many documents share
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANK_ROWS)
     held: dict[int, list] = {}
     for size, first, base, n, offset in places(plan(histogram, capacity)):
         held.setdefault(size, []).append((first, base, n, offset))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, packing, quality_rules, rule_ensemble, suffix_dedup, topk, toxicity
+from . import bpe, class_lm, jaccard_join, packing, quality_rules, rule_ensemble, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": rule_ensemble.op1_quality_classifier,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_topk_search": topk.op8_topk_search,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_class_lm": class_lm.op10_class_lm,
 }
 
 ORACLE_SQL = {
