@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, jaccard_join, packing, quality_rules, rule_ensemble, suffix_dedup, topk, toxicity
+from . import bpe, class_lm, jaccard_join, license_scan, packing, quality_rules, rule_ensemble, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": rule_ensemble.op1_quality_classifier,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": jaccard_join.op5_ngram_jaccard_join,
