@@ -22,7 +22,7 @@ Only suffixes that can matter are sorted:
    earlier at its earliest place. Classes that share only the anchor are compared
    around it: their windows are equal as far as both contexts are.
 
-Anchors too frequent for one task (over HOT places) do not take part in 2 to 4:
+Anchors too frequent for one merge task do not take part in 2 to 4:
 their windows are grouped by their bytes, pre-aggregated where they are read.
 """
 
@@ -42,11 +42,13 @@ from .common import column, documents, written
 
 LENGTH = 100
 GRAM = 32
-#: An anchor at more places than this, and than this share of all, is resolved by grouping its
-#: windows. There are at most 1 / HOT_SHARE such anchors (8 MB of hashes).
-HOT, HOT_SHARE = 20_000, 1e-6
+#: An anchor at more places than this, and than a merge task has on average, is resolved by grouping
+#: its windows. There are fewer such anchors than merge tasks.
+HOT = 20_000
 #: Classes around one anchor that are compared with each other; beyond that their windows are grouped.
 CLASSES = 512
+#: Windows that are folded at once before they are grouped.
+FOLDED = 100_000
 #: Bytes of text that one vectorised step covers.
 CHUNK = 1 << 21
 #: Bytes of strings in one run.
@@ -56,14 +58,14 @@ _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position on, by doubling."""
+    """A 64-bit hash of the GRAM bytes from each position of the last axis on, by doubling."""
     h, m = data.astype(np.uint64), 1
     while m < GRAM:
-        n = len(h) - m
+        n = h.shape[-1] - m
         if n <= 0:
             return np.zeros(0, np.uint64)
-        right = h[m : m + n]
-        h = (h[:n] * _MUL) ^ ((right + (right >> np.uint64(29))) * _MIX)
+        right = h[..., m:]
+        h = (h[..., :n] * _MUL) ^ ((right + (right >> np.uint64(29))) * _MIX)
         h ^= h >> np.uint64(32)
         m *= 2
     return h
@@ -340,7 +342,18 @@ def _fold_windows(windows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple]
             yield _WINDOW, None, w, doc, own, start, 1
 
 
-def _cut_runs(length: int, parts: int, hot: frozenset[int]):
+def _at_hot(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[bool]:
+    """Of each place in a batch of (doc, own, text, places), whether its anchor is hot."""
+    data, ends = _batch_text(batch.column(2))
+    offsets = batch.column(3).offsets.to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    pos = np.concatenate(([0], ends))[row] + (_numbers(batch.column(3).flatten()) >> 16)
+    for lo in range(0, len(pos), 1 << 15):
+        grams = data[pos[lo : lo + (1 << 15), None] + np.arange(GRAM)]
+        yield from np.isin(gram_hashes(grams)[:, 0].view(np.int64), hot).tolist()
+
+
+def _cut_runs(length: int, parts: int, hot: np.ndarray):
     """Texts with their repeated anchors to sorted front-coded runs, and what is settled already."""
 
     def flush(strings: list[tuple], windows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -365,11 +378,12 @@ def _cut_runs(length: int, parts: int, hot: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings, windows, held = [], [], 0
         for batch in batches:
+            is_hot = _at_hot(batch, hot) if len(hot) else None
             for doc, own, text, places in zip(*(batch.column(i) for i in range(4))):
                 data, doc, own = text.as_py().encode("utf-8", "replace"), doc.as_py(), own.as_py()
                 for place in places.as_py():
                     pos, far, near = _from_place(place)
-                    if hot and int(gram_hashes(np.frombuffer(data[pos : pos + GRAM], np.uint8))[:1].view(np.int64)[0]) in hot:
+                    if is_hot is not None and next(is_hot):
                         windows += [(data[pos - d : pos - d + length], doc, pos - d, own) for d in range(near, far + 1)]
                         held += (far - near + 1) * length
                     else:
@@ -398,6 +412,9 @@ def _settle(group: list[list], length: int) -> Iterator[tuple]:
             cut = length - near
             whole = text[cut + 2 :][::-1] + text[:cut]
             windows += [(whole[far - d : far - d + length], doc, pos - d, own) for d in range(near, far + 1)]
+            if len(windows) > FOLDED:
+                yield from _fold_windows(windows)
+                windows = []
         yield from _fold_windows(windows)
         return
     halves = []
@@ -427,27 +444,30 @@ def _settle(group: list[list], length: int) -> Iterator[tuple]:
 def _merge(length: int):
     """The runs of a partition, merged, to verdicts and windows."""
 
+    def settled(packed: list[bytes]) -> Iterator[tuple]:
+        group: list[list] = []
+        for k, text, doc, place, own in merged([decoded(x) for x in packed]):
+            if group and k >= GRAM and k == len(text) == len(group[-1][1]):
+                if (doc, place) > tuple(group[-1][2:4]):
+                    yield _verdict(doc, own, place)
+                    continue
+            elif group and k < GRAM:
+                yield from _settle(group, length)
+                group = []
+            group.append([k, text, doc, place, own])
+        yield from _settle(group, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list] = defaultdict(list)
         for batch in batches:
             for p, payload in zip(batch.column(0), batch.column(1)):
                 runs[p.as_py()].append(payload.as_py())
         out: list[tuple] = []
-        for packed in runs.values():
-            group: list[list] = []
-            for k, text, doc, place, own in merged([decoded(x) for x in packed]):
-                if group and k >= GRAM and k == len(text) == len(group[-1][1]):
-                    if (doc, place) > tuple(group[-1][2:4]):
-                        out.append(_verdict(doc, own, place))
-                        continue
-                elif group and k < GRAM:
-                    out += _settle(group, length)
-                    group = []
-                group.append([k, text, doc, place, own])
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out = []
-            out += _settle(group, length)
+        for row in (row for packed in runs.values() for row in settled(packed)):
+            out.append(row)
+            if len(out) >= 20_000:
+                yield _rows(out)
+                out = []
         if out:
             yield _rows(out)
 
@@ -507,8 +527,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     packed = df.select(*keyed, text.alias("text")).mapInArrow(_find(length, parts), _PACKED)
     placed = written(packed.repartition(parts, "p").mapInArrow(_repeated, _PLACED), "places")
     total = placed.where("hot IS NULL").count()
-    least = max(HOT, int(total * HOT_SHARE))
-    hot = frozenset(r[0] for r in placed.where(F.col("hot").isNotNull() & (F.col("doc") > least)).select("hot").collect())
+    least = max(HOT, total // parts)
+    hot = np.array([r[0] for r in placed.where(F.col("hot").isNotNull() & (F.col("doc") > least)).select("hot").collect()], np.int64)
 
     by_text = placed.where("hot IS NULL").groupBy("doc", "own").agg(F.collect_list("place").alias("places"))
     texts = df.select(*keyed, text.alias("text"))
