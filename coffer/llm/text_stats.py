@@ -98,4 +98,5 @@ def with_text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_marked_words": F.size(F.filter("w", lambda x: F.right(x, F.lit(1)).rlike(SYMBOLS))),
     }
     stats = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
-    return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], stats.alias("stats"))
+    # One element each: a filter on stats then stays above, instead of being pushed down with every count written out in it.
+    return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], F.explode(F.array(stats)).alias("stats"))
