@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,20 +64,15 @@ def normalized_merchant(raw: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
-    """True if the folded text holds one of the phrases, anywhere."""
-    found = F.lit(False)
-    for p in phrases:
-        found = found | F.contains(text, F.lit(p))
-    return F.coalesce(found, F.lit(False))
+    """True if the folded text holds one of the phrases, anywhere; one pattern, so the text is built once."""
+    return F.coalesce(text.rlike("|".join(re.escape(p) for p in phrases)), F.lit(False))
 
 
 def signals_any(text: Column, terms: list[str]) -> Column:
     """FN-20: a term of one token must be a token of the text, others may be anywhere."""
     single = [t for t in terms if t.isalnum()]
-    found = contains_any(text, [t for t in terms if not t.isalnum()])
-    if single:
-        found = found | F.arrays_overlap(F.split(text, r"[^\p{L}\p{N}]+"), F.array(*[F.lit(t) for t in single]))
-    return F.coalesce(found, F.lit(False))
+    whole = [rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(single)})(?![\p{{L}}\p{{N}}])"] if single else []
+    return F.coalesce(text.rlike("|".join([*whole, *[re.escape(t) for t in terms if not t.isalnum()]])), F.lit(False))
 
 
 def memo_shape(memo: Column) -> Column:

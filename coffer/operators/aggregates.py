@@ -46,7 +46,7 @@ def overlap_groups(subscriptions: DataFrame, monthly: Column) -> DataFrame:
         subscriptions.withColumn("category", category)
         .where("category <> 'uncategorized'")
         .groupBy("category")
-        .agg(F.count("*").alias("n"), F.sum(monthly).cast("decimal(28,6)").alias("exposure"))
+        .agg(F.count("*").alias("n"), F.round(F.sum(monthly.cast("double")), 2).alias("exposure"))
         .where("n > 1")
     )
 
@@ -83,7 +83,7 @@ def latest_against_rest(charges: DataFrame, by: str, order: list[str], least: fl
     )
     rest = (F.col("total") - F.col("latest")).cast("double") / (F.col("n") - 1)
     rise = (F.col("latest").cast("double") - rest) / rest
-    return grouped.where("n > 1").select(by, "latest", F.round(rest, 4).alias("mean_before"), F.round(rise, 6).alias("rise")).where(F.col("rise") >= least)
+    return grouped.where("n > 1").select(by, "latest", F.round(rest, 6).alias("mean_before"), F.round(rise, 6).alias("rise")).where(F.col("rise") >= least)
 
 
 def first_last_change(charges: DataFrame, by: str, order: list[str], least: float) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import oracle, queries
+
+QUERIES = queries.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.SQL
