@@ -129,11 +129,18 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> RuleMo
     for _ in range(TREES):
         at = rng.integers(0, len(y), min(len(y), BOOTSTRAP))
         _paths(x[at], y[at], names, rng, (), DEPTH, found)
-    rules = [r for r in found if SUPPORT <= _holds(x, names, r).mean() <= 1 - SUPPORT]
+    by_rows: dict[bytes, tuple] = {}  # of rules that hold for the same rows, the shortest found first
+    for r in sorted(found, key=len):
+        holds = _holds(x, names, r)
+        if SUPPORT <= holds.mean() <= 1 - SUPPORT:
+            by_rows.setdefault(np.packbits(holds).tobytes(), r)
+    rules = list(by_rows.values())
     if not rules:
         p = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(float(np.log(p / (1 - p))), ())
-    matrix = np.stack([_holds(x, names, r) for r in rules], axis=1).astype(np.float32)
+    matrix = np.empty((len(x), len(rules)), np.float32)
+    for j, r in enumerate(rules):
+        matrix[:, j] = _holds(x, names, r)
     b, w = lasso(matrix, y, PENALTY, STEPS)
     return RuleModel(float(b), tuple((r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-4))
 

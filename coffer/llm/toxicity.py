@@ -105,14 +105,34 @@ def _keys(word: bytes) -> list[bytes]:
     return [word[:k] for k in BEGINNINGS if k < len(word)] + [word]
 
 
-def toxic_stems(sample: list[tuple[frozenset, int]]) -> list[bytes]:
+class Sample:
+    """Documents as (distinct windows, label), kept as numbers of a shared vocabulary."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.numbers, self.rows = numbers, []
+
+    def add(self, words: frozenset, label: int) -> None:
+        numbers = self.numbers
+        self.rows.append((np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)), label))
+
+    def __iter__(self) -> Iterator[tuple[frozenset, int]]:
+        vocabulary = list(self.numbers)
+        for ids, label in self.rows:
+            yield frozenset(vocabulary[i] for i in ids.tolist()), label
+
+
+def toxic_stems(sample: Sample) -> list[bytes]:
     """Beginnings of words that set toxic documents apart, each with its spaces, the commonest first."""
-    counts = (Counter(), Counter())
-    n = [0, 0]
+    toxic, plain, n = Counter(), Counter(), [0, 0]
     for words, label in sample:
-        counts[label].update({k for w in words for k in _keys(w)})
         n[label] += 1
-    toxic, plain = counts[1], counts[0]
+        if label:
+            toxic.update({k for w in words for k in _keys(w)})
+    # Only beginnings that enough toxic documents have are counted in the others.
+    toxic = Counter({k: c for k, c in toxic.items() if c >= max(LEAST_DOCS, LEAST_SHARE * n[1])})
+    for words, label in sample:
+        if not label:
+            plain.update({k for w in words for k in _keys(w) if k in toxic})
 
     def apart(k: bytes) -> bool:
         p, q = toxic[k] / n[1], (plain[k] + 0.5) / (n[0] + 1)
@@ -133,7 +153,7 @@ def toxic_stems(sample: list[tuple[frozenset, int]]) -> list[bytes]:
     return [b" " + k + b" " * (k in whole) for k, _ in sorted(stems.items(), key=lambda x: (-x[1], x[0]))]
 
 
-def dictionaries(sample: list[tuple[frozenset, int]], seed: int = 5) -> Distance:
+def dictionaries(sample: Sample, seed: int = 5) -> Distance:
     """The two dictionaries; what is used most stands last, where matches are cheapest."""
     rng = np.random.default_rng(seed)
     plain = [w for words, label in sample if not label for w in sorted(words)[:: max(1, len(words) // 40)]]
@@ -145,12 +165,13 @@ def dictionaries(sample: list[tuple[frozenset, int]], seed: int = 5) -> Distance
     return Distance(ordinary + b" " + common, ordinary[len(toxic) :] + toxic + b" " + common, common[-HEADER_BYTES:])
 
 
-def calibrated(by: Distance, sample: list[tuple[frozenset, int]], rate: float) -> Distance:
+def calibrated(by: Distance, sample: Sample, rate: float) -> Distance:
     """Logistic weights by Newton's method with a small ridge; without both classes, the rate itself."""
     gains = Gains(by)
     n = len(gains.features([]))
-    x = np.array([gains.features(list(words)) for words, _ in sample]).reshape(-1, n)
-    y = np.array([label for _, label in sample], float)
+    rows = [(gains.features(list(words)), label) for words, label in sample]
+    x = np.array([r[0] for r in rows]).reshape(-1, n)
+    y = np.array([r[1] for r in rows], float)
     base = float(np.log(rate / (1 - rate)))
     if len(y) < 20 or y.min() == y.max():
         return Distance(by.ordinary, by.toxic, by.header, (0.0,) * n, (1.0,) * n, (0.0,) * n, base)
@@ -167,17 +188,17 @@ def calibrated(by: Distance, sample: list[tuple[frozenset, int]], rate: float) -
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, rows: int = SAMPLE_ROWS) -> Distance:
     """Dictionaries from two thirds of a bounded labelled sample, calibrated on the other third."""
-    words: dict[bytes, bytes] = {}
-    parts: tuple[list, list] = ([], [])
+    numbers: dict[bytes, int] = {}
+    parts = (Sample(numbers), Sample(numbers))
     seen: set[tuple] = set()
     ones = total = 0
     for row in training_rows(docs, labels, label, modulus, remainder, rows).toLocalIterator():
-        own = frozenset(words.setdefault(w, w) for w in windows(row["text"]))
+        own = frozenset(windows(row["text"]))
         held = zlib.crc32(str(row["doc_id"]).encode()) // modulus % 3 == 0
         ones, total = ones + row["label"], total + 1
         like = (min(map(zlib.crc32, own), default=0), row["label"], held)  # copies share their least hash
         if held or like not in seen:
-            parts[held].append((own, row["label"]))
+            parts[held].add(own, row["label"])
         seen.add(like)
     return calibrated(dictionaries(parts[0]), parts[1], (ones + 1) / (total + 2))
 
