@@ -149,8 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     """The model of a bounded sample of labelled documents outside the held-out fold."""
     sample = with_text_statistics(training_rows(docs, labels, label, modulus, remainder, rows))
     values = statistics(F.col("stats"))
-    got = sample.select("label", *[v.alias(k) for k, v in values.items()]).toPandas()  # ``rows`` rows of a dozen numbers
-    return fit(got[list(values)].to_numpy(float), got["label"].to_numpy(float), list(values))
+    got = sample.select(F.col("label").cast("double"), *[v.alias(k) for k, v in values.items()]).collect()  # ``rows`` rows of a dozen numbers
+    table = np.array([tuple(r) for r in got], float).reshape(-1, 1 + len(values))
+    return fit(table[:, 1:], table[:, 0], list(values))
 
 
 def classify(df: DataFrame, model: RuleModel, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
