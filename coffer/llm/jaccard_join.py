@@ -103,25 +103,31 @@ def sketch(s: np.ndarray) -> bytes:
     return (_mix(least) >> _U(48)).astype("<u2").tobytes()
 
 
+def _chosen(s: np.ndarray, prefixes: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, shingle) numbers of the branches: products with an odd number, by their size."""
+    odd, found = (prefixes | _U(1))[:, None], []
+    for lo in range(0, len(s), 1 << 16):
+        at, of = np.nonzero(odd * s[None, lo : lo + (1 << 16)] < below)
+        found.append((at, of + lo))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def paths(s: np.ndarray, runs: int, depth: int, threshold: float) -> np.ndarray:
     """One row per chosen path: a key per step; zeros where no branch was chosen."""
     if not len(s):
         return np.zeros((0, depth), np.int64)
     below = _U(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    rows = []
-
-    def follow(prefix: np.uint64, keys: list[int]) -> None:
-        chosen = s[_mix(s ^ prefix) < below] if len(keys) < depth else s[:0]
-        if not len(chosen):
-            if keys:
-                rows.append(keys + [0] * (depth - len(keys)))
-            return
-        for key in _mix(_mix(chosen) + prefix):
-            follow(key, [*keys, int(key.view(np.int64)) or 1])
-
-    for r in range(runs):
-        follow(_mix(np.array([r + 1], _U) * _B)[0], [])
-    return np.array(rows, np.int64).reshape(-1, depth)
+    prefixes, keys, rows = _mix(np.arange(1, runs + 1, dtype=_U) * _B), np.zeros((runs, 0), np.int64), []
+    for step in range(depth):
+        at, of = _chosen(s, prefixes, below)
+        if step:
+            ended = np.ones(len(prefixes), bool)
+            ended[at] = False
+            rows.append(np.pad(keys[ended], ((0, 0), (0, depth - step))))
+        prefixes = _mix(_mix(s[of]) + prefixes[at])
+        key = prefixes.view(np.int64)
+        keys = np.column_stack([keys[at], np.where(key == 0, 1, key)])
+    return np.concatenate([*rows, keys])
 
 
 @lru_cache(maxsize=2)
