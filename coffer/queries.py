@@ -219,7 +219,7 @@ def rec_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rec_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent: compared with a plain loop in the tests."""
+    """Order-dependent: tested on a fixture of known histories."""
     return histories.billing_histories(billed(spark, sf_dir), ["account"])
 
 
