@@ -109,4 +109,7 @@ x AS (SELECT e.*, c.id, c.amount, row_number() OVER (PARTITION BY e.account, e.c
 SELECT account, cycle, expected, id, CASE WHEN id IS NOT NULL THEN CASE WHEN abs(CAST(amount - price AS DOUBLE) / CAST(price AS DOUBLE)) > 0.12 THEN 'priceChanged' ELSE 'matched' END WHEN expected + tol < {REF} THEN 'missed' ELSE 'pending' END AS status FROM x WHERE r = 1""",
     "page_ledger": f"WITH {C} SELECT id, account, date, amount FROM c ORDER BY date DESC, id DESC LIMIT 100",
     "search_ledger": f"WITH {T} SELECT memo, count(*) AS n FROM t WHERE contains(lower(merchant_raw), 'ring') OR contains(lower(category), 'ring') OR contains(lower(memo), 'ring') GROUP BY memo",
+    "src_ofx": """SELECT CAST(o_orderdate AS DATE) AS date, CAST(-CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS amount, 'bill ' || o_orderkey AS merchant_raw, CAST(o_custkey AS VARCHAR) AS account,
+  'bill ' || o_orderkey AS memo, 'USD' AS currency, CAST(o_orderkey AS VARCHAR) AS external_id FROM orders""",
+    "src_json": f"WITH {P} SELECT CAST(ts AS DATE) AS date, CAST(amount AS DECIMAL(18,4)) AS amount, coalesce(nullif(trim(merchant), ''), 'Unknown merchant') AS merchant_raw, CAST(account AS VARCHAR) AS account, CAST(id AS VARCHAR) AS external_id FROM p",
 }

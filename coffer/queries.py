@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import money, predicates, schedule, text
 from .operators import aggregates, histories, identity, lifecycle
 from .plans.views import billed, purchases, subscriptions, table, transactions
+from .sources import statements
 
 #: The date that stands for today in these queries.
 REF = "2001-09-01"
@@ -286,3 +287,31 @@ def search_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in ("merchant_raw", "merchant", "category", "memo"):
         hit = hit | F.contains(text.folded(F.col(c)), F.lit("ring"))
     return t.where(hit).groupBy("memo").agg(F.count("*").alias("n"))
+
+
+@query
+def src_ofx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-14..17: every order as a statement of its own, read again; odd orders leave their tags open."""
+    close = F.when(F.col("o_orderkey") % 2 == 0, "</STMTTRN>").otherwise("")
+    texts = table(spark, sf_dir, "orders").select(
+        F.concat(
+            F.lit("<OFX><STMTRS><CURDEF>USD<ACCTID>"), F.col("o_custkey").cast("string"), F.lit("<BANKTRANLIST><STMTTRN><DTPOSTED>"),
+            F.date_format("o_orderdate", "yyyyMMdd"), F.lit("120000[0:GMT]<TRNAMT>-"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+            F.lit("<FITID>"), F.col("o_orderkey").cast("string"), F.lit("<MEMO>bill "), F.col("o_orderkey").cast("string"), close, F.lit("</BANKTRANLIST></STMTRS></OFX>"),
+        ).alias("value")
+    )
+    return statements.ofx_transactions(texts).select("date", "amount", "merchant_raw", "account", "memo", "currency", "external_id")
+
+
+@query
+def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-19: every purchase as account JSON, read again; odd ones have the time of the transaction alone."""
+    seconds = F.unix_timestamp("ts")
+    odd = F.col("id") % 2 == 1
+    transaction = F.struct(
+        F.col("id").cast("string").alias("id"), F.when(odd, 0).otherwise(seconds).alias("posted"), seconds.alias("transacted_at"),
+        F.col("amount").cast("string").alias("amount"), F.col("merchant").alias("payee"),
+    )
+    account = F.struct(F.col("account").cast("string").alias("id"), F.lit("").alias("name"), F.array(transaction).alias("transactions"))
+    texts = purchases(spark, sf_dir).select(F.to_json(F.struct(F.array(account).alias("accounts"))).alias("value"))
+    return statements.json_transactions(texts).select("date", "amount", "merchant_raw", "account", "external_id")
