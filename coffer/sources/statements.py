@@ -207,17 +207,17 @@ def ofx_transactions(texts: DataFrame, text_col: str = "value") -> DataFrame:
     opened = F.slice(pieces, 2, F.size(pieces))
     blocks = F.when(F.size(closed) > 0, closed).otherwise(opened)
     drafts = section.select(_tag(F.col("s"), "ACCTID").alias("account"), _tag(F.col("s"), "CURDEF").alias("currency"), F.explode(blocks).alias("b"))
-    b = F.col("b")
-    day = F.substring(F.regexp_extract(_tag(b, "DTPOSTED"), r"^\d{8,}", 0), 1, 8)
-    return drafts.select(
-        F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date").alias("date"),
-        parsed_amount(_tag(b, "TRNAMT")).alias("amount"),
-        F.coalesce(_tag(b, "NAME"), _tag(b, "PAYEE"), _tag(b, "MEMO"), F.lit(UNKNOWN)).alias("merchant_raw"),
+    tags = {"day": "DTPOSTED", "amount": "TRNAMT", "name": "NAME", "payee": "PAYEE", "memo": "MEMO", "own_currency": "CURRENCY", "external_id": "FITID"}
+    raw = drafts.select("account", "currency", *[_tag(F.col("b"), tag).alias(c) for c, tag in tags.items()])
+    return raw.select(
+        F.try_to_timestamp(F.substring(F.regexp_extract("day", r"^\d{8,}", 0), 1, 8), F.lit("yyyyMMdd")).cast("date").alias("date"),
+        parsed_amount(F.col("amount")).alias("amount"),
+        F.coalesce("name", "payee", "memo", F.lit(UNKNOWN)).alias("merchant_raw"),
         F.lit(None).cast("string").alias("category"),
         "account",
-        _tag(b, "MEMO").alias("memo"),
-        F.coalesce(_tag(b, "CURRENCY"), "currency").alias("currency"),
-        _tag(b, "FITID").alias("external_id"),
+        "memo",
+        F.coalesce("own_currency", "currency").alias("currency"),
+        "external_id",
         F.lit(False).alias("pending"),
     ).where("date IS NOT NULL AND amount IS NOT NULL")
 
