@@ -33,6 +33,8 @@ from .labels import SAMPLE_ROWS, training_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LEVEL, MIN_MATCH = 12, 3
+#: Word sets of this Jaccard similarity are copies; bands of min-hashes, and hashes of a band, that look for them.
+COPY, BANDS, BAND = 0.8, 12, 4
 ORDINARY_BYTES, COMMON_BYTES, HEADER_BYTES, TOXIC_BYTES = 60_000, 12_000, 64, 8_000
 #: Lengths of the beginnings that are compared, beside whole words.
 BEGINNINGS = range(4, 10)
@@ -112,8 +114,11 @@ class Sample:
         self.numbers, self.rows = numbers, []
 
     def add(self, words: frozenset, label: int) -> None:
+        self.rows.append((self.ids(words), label))
+
+    def ids(self, words: frozenset) -> np.ndarray:
         numbers = self.numbers
-        self.rows.append((np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)), label))
+        return np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))
 
     def __iter__(self) -> Iterator[tuple[frozenset, int]]:
         vocabulary = list(self.numbers)
@@ -121,6 +126,43 @@ class Sample:
             yield frozenset(vocabulary[i] for i in ids.tolist()), label
 
 
+class Copies:
+    """Which word sets are copies of an earlier one that was kept.
+
+    Equal bands of min-hashes name the candidates; the Jaccard similarity of the
+    word sets themselves decides.
+    """
+
+    def __init__(self):
+        rng = np.random.default_rng(3)
+        self.by = rng.integers(0, 1 << 63, BANDS * BAND, np.uint64)[:, None] | np.uint64(1)
+        self.plus = rng.integers(0, 1 << 63, BANDS * BAND, np.uint64)[:, None]
+        self.sets: list[np.ndarray] = []
+        self.bands: dict[tuple, list[int]] = {}
+
+    def _keys(self, words: frozenset) -> list[tuple]:
+        crcs = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+        least = np.full(BANDS * BAND, (1 << 32) - 1, np.uint64)
+        for at in range(0, len(crcs), 4096):
+            least = np.minimum(least, ((crcs[at : at + 4096] * self.by + self.plus) >> np.uint64(32)).min(1))
+        return [(k, least[k * BAND : (k + 1) * BAND].tobytes()) for k in range(BANDS)]
+
+    def seen(self, words: frozenset, ids: np.ndarray) -> bool:
+        """Whether the words (and their distinct numbers) copy an earlier set; else they are kept."""
+        keys, own = self._keys(words), np.sort(ids)
+        for other in {i for k in keys for i in self.bands.get(k, ())}:
+            there = self.sets[other]
+            if min(len(own), len(there)) < COPY * max(len(own), len(there)):
+                continue
+            shared = len(np.intersect1d(own, there, assume_unique=True))
+            if shared >= COPY * (len(own) + len(there) - shared):
+                return True
+        for k in keys:
+            self.bands.setdefault(k, []).append(len(self.sets))
+        self.sets.append(own)
+        return False
+
+
 def toxic_stems(sample: Sample) -> list[bytes]:
     """Beginnings of words that set toxic documents apart, each with its spaces, the commonest first."""
     toxic, plain, n = Counter(), Counter(), [0, 0]
@@ -190,16 +232,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     """Dictionaries from two thirds of a bounded labelled sample, calibrated on the other third."""
     numbers: dict[bytes, int] = {}
     parts = (Sample(numbers), Sample(numbers))
-    seen: set[tuple] = set()
+    copies = (Copies(), Copies())
     ones = total = 0
     for row in training_rows(docs, labels, label, modulus, remainder, rows).toLocalIterator():
         own = frozenset(windows(row["text"]))
         held = zlib.crc32(str(row["doc_id"]).encode()) // modulus % 3 == 0
         ones, total = ones + row["label"], total + 1
-        like = (min(map(zlib.crc32, own), default=0), row["label"], held)  # copies share their least hash
-        if held or like not in seen:
+        if held or not copies[row["label"]].seen(own, parts[0].ids(own)):
             parts[held].add(own, row["label"])
-        seen.add(like)
     return calibrated(dictionaries(parts[0]), parts[1], (ones + 1) / (total + 2))
 
 

@@ -138,6 +138,33 @@ def test_classifiers_hold_out(spark, docs, labels):
         assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_only_copies_count_as_copies():
+    """Sets that share one word of a low hash are learnt from; sets of similarity 0.8 are not."""
+    import random
+
+    rng = random.Random(1)
+    draw = lambda n: {b"w%d" % rng.randrange(10**9) for _ in range(n)}
+    least = min((b"w%d" % i for i in range(200_000)), key=zlib.crc32)
+    own = [frozenset(draw(60) | {least}) for _ in range(300)]
+    near = [frozenset(sorted(w)[:57] + [b"other%d" % i]) for i, w in enumerate(own)]
+    numbers = {}
+    sample, copies = toxicity.Sample(numbers), toxicity.Copies()
+    assert not any(copies.seen(w, sample.ids(w)) for w in own)
+    assert sum(copies.seen(w, sample.ids(w)) for w in own + near) >= 598
+    assert not copies.seen(frozenset(), sample.ids(frozenset())) and copies.seen(frozenset(), sample.ids(frozenset()))
+
+
+def test_unrelated_documents_are_learnt_from(spark, monkeypatch):
+    least = min(("w%d" % i for i in range(20_000)), key=lambda w: zlib.crc32(w.encode()))
+    rows = [(i, least + " " + " ".join(f"t{i}x{j}" for j in range(20)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    parts = []
+    monkeypatch.setattr(toxicity, "dictionaries", lambda sample, f=toxicity.dictionaries: parts.append(sample) or f(sample))
+    toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    fold = [zlib.crc32(str(i).encode()) for i in range(200)]
+    assert len(parts[0].rows) == sum(c % 4 != 2 and c // 4 % 3 != 0 for c in fold)
+
+
 def test_licences(spark, docs):
     model = license_scan.learn(docs)
     texts = {
