@@ -176,6 +176,27 @@ def test_licences(spark, docs):
     assert got == {1: ["MIT"], 2: ["Apache"], 3: [], 4: [], 5: [], 6: ["CC-BY-NC"], 7: ["GPL"], 8: []}
 
 
+def test_short_and_wrapped_notices(spark, docs):
+    prose = "The and ble anreor ouly.\nIt byanthblely anreed hestwh of.\n"
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    gpl = """This work is licensed under the GNU
+General Public License, version 3."""
+    texts = {1: prose + "All rights reserved.", 2: mit, 3: prose + "\n" + mit + "\n\n" + prose + gpl, 4: "All rights\nreserved.", 5: "All rights\n\nreserved.", 6: "All the\nrights are\nreserved to nobody."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: (list(r.licences), r.n_notices) for r in license_scan.scan(df, license_scan.learn(docs)).collect()}
+    assert got == {1: (["proprietary"], 1), 2: (["MIT"], 1), 3: (["GPL", "MIT"], 2), 4: (["proprietary"], 1), 5: ([], 0), 6: ([], 0)}
+
+
+def test_licences_are_calibrated_on_paragraphs_with_a_cue(spark, monkeypatch):
+    """A paragraph that looks like a notice, but that no template confirms, raises the least probability."""
+    calm = spark.createDataFrame([(1, "plain words of no kind")], "doc_id int, text string")
+    odd = spark.createDataFrame([(1, "plain words of no kind"), (2, "Released by Mozilla under a license of the library")], "doc_id int, text string")
+    assert license_scan.learn(odd).least > license_scan.learn(calm).least
+
+
 def test_base_scores_of_the_language_model(spark, docs):
     import math
     from collections import Counter
