@@ -3,10 +3,10 @@
 A text is cut in halves down to leaves; each leaf is encoded alone, and
 neighbours are joined up the tree. Two kinds of boundary meet at a join:
 
-*Pieces.* The pattern splits a text into pieces. What ends before the last piece
-of the left half cannot change, as a match ends where the next character does
-not fit and looks one character ahead. So the join scans on from the start of
-the left's last piece until a piece begins where a piece of the right half does;
+*Pieces.* The pattern splits a text into pieces. A match looks at most two
+characters past its end (an apostrophe, for 're, 've and 'll), so what ends two
+characters or more before the end of the left half cannot change. The join scans
+on from there until a piece begins where a piece of the right half does;
 from there on both scans see the same text and agree.
 
 *Tokens.* Long pieces are halved as well. A token sequence is the encoding of its
@@ -37,6 +37,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf of the text's tree, and bytes of a leaf of a piece's.
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 6
+#: Characters past its end that a match of the pattern looks at.
+AHEAD = 2
 #: Pieces, leaves and pairs of tokens that a worker remembers; beyond that it forgets them all.
 REMEMBERED = 500_000
 NONE = 1 << 60
@@ -145,12 +147,15 @@ class Encoder:
     def _joined_pieces(self, left: list[str], right: list[str]) -> list[str]:
         if not left or not right:
             return left or right
-        tail, at = left[-1], 1
+        tail, back, at = left[-1], 1, 1
+        while len(tail) < AHEAD and back < len(left):
+            back += 1
+            tail = left[-back] + tail
         while True:
-            # The text from the left's last piece up to right[at].
+            # The text from the left's last pieces up to right[at].
             found = self.find.findall(tail + "".join(right[:at]))
             if at == len(right):
-                return left[:-1] + found
+                return left[:-back] + found
             starts, begin = {}, len(tail)
             for k in range(at):
                 starts[begin] = k
@@ -158,8 +163,8 @@ class Encoder:
             end = 0
             for n, p in enumerate(found[:-1]):  # the last one may go on beyond this text
                 end += len(p)
-                if end in starts:
-                    return left[:-1] + found[: n + 1] + right[starts[end] :]
+                if end in starts and end + AHEAD <= begin:
+                    return left[:-back] + found[: n + 1] + right[starts[end] :]
             at = min(len(right), 2 * at)
 
     def pieces(self, text: str) -> list[str]:

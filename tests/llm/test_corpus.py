@@ -94,6 +94,20 @@ def test_bpe_round_trip(spark):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def test_bpe_pieces_of_tiny_leaves(monkeypatch):
+    import public_tokenizers
+
+    by = bpe.Encoder({}, public_tokenizers.PATTERN)
+    texts = ["it're they've we'll 'tis don't''re '  'll x'", "a  \n\n  b's 12'ver!'re l'l 'r'e''ll", "  it'lle've're'  're9'v'e \t\n 're"]
+    for text in texts:
+        for cut in range(len(text) + 1):
+            assert by._joined_pieces(by.find.findall(text[:cut]), by.find.findall(text[cut:])) == by.find.findall(text)
+        for leaf in range(1, 9):
+            monkeypatch.setattr(bpe, "LEAF_CHARS", leaf)
+            for start in range(len(text)):
+                assert by.pieces(text[start:]) == by.find.findall(text[start:])
+
+
 def test_packing_is_gapless(spark):
     rows = packing.op7_best_fit_packing(spark, SMALL).collect()
     by = {}
