@@ -15,6 +15,8 @@ holds for that rank.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -49,18 +51,31 @@ END = np.zeros(1, "<u4").tobytes()
 Configuration = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
+def _added(path: str) -> dict[str, bytes]:
+    """Added tokens, with their packed ids, of the tokenizers file beside the ranks; none without such a file."""
+    file = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(file):
+        return {}
+    with open(file, encoding="utf-8") as f:
+        return {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(f).get("added_tokens") or []}
+
+
 class _Pieces:
     """Token ids of the vocabulary, each distinct piece of the pattern encoded once.
 
     The ids are those of the tokenizers library for the same vocabulary (the tests
-    compare them). Its encodings carry offsets that are not needed here and cost
-    several times the ids, so unseen pieces are encoded by their ranks.
+    compare them), its added tokens included: they are found in the text before it
+    is split. Its encodings carry offsets that are not needed here and cost several
+    times the ids, so unseen pieces are encoded by their ranks.
     """
 
     def __init__(self, path: str, pattern: str):
         self.by = encoder(path, pattern)
         self.plain = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=self.by.ranks, special_tokens={}).encode_ordinary
         self.find, self.known = regex.compile(pattern), {}
+        self.added = _added(path)
+        # The first alternative counts, so longer ones stand first.
+        self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=lambda t: (-len(t), t))) + ")").split if self.added else None
 
     def _new(self, piece: str) -> bytes:
         if len(piece) > LONG_PIECE:  # the tree reduction has no limit on runs
@@ -69,6 +84,11 @@ class _Pieces:
         return packed
 
     def packed(self, text: str) -> bytes:
+        if self.split is None or not any(t in text for t in self.added):
+            return self._ordinary(text)
+        return b"".join(self.added.get(part) or self._ordinary(part) for part in self.split(text))
+
+    def _ordinary(self, text: str) -> bytes:
         pieces = self.find.findall(text)
         parts = list(map(self.known.get, pieces))
         if None in parts:

@@ -108,6 +108,24 @@ def test_bpe_pieces_of_tiny_leaves(monkeypatch):
                 assert by.pieces(text[start:]) == by.find.findall(text[start:])
 
 
+def test_packing_ids_are_those_of_the_tokenizers_library(spark, docs):
+    import numpy as np
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x<|endoftext|>\n <|endoftext|", "it's <|ENDOFTEXT|> they'll we've I'm'd you're don't",
+        "a  b   \n\n\t c \u00a0 \u2003d   ", "x" * 3000, " " * 1000 + "y", "=" * 700 + "1" * 700, "\u00e9t\u00e9 \U0001f600 \u6f22\u5b57 " * 20,
+    ] + [r.text or "" for r in docs.limit(30).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.token_pieces(df, keep_ids=True).orderBy("id", "piece").collect():
+        got.setdefault(r.id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    for i, text in enumerate(texts):
+        assert got[i] == [*library.encode(text, add_special_tokens=False).ids, 0], text[:60]
+
+
 def test_packing_is_gapless(spark):
     rows = packing.op7_best_fit_packing(spark, SMALL).collect()
     by = {}
