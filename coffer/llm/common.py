@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +33,16 @@ def column(df: DataFrame, name: str) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a session on one machine gets a temporary folder, and a
+    cluster uses its warehouse, which executors share as well.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="coffer-")
+        master = spark.sparkContext.master
+        alone = master == "local" or master.startswith("local[")
+        base = "file://" + tempfile.mkdtemp(prefix="coffer-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -72,5 +80,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that their texts, at that place among the columns, have about ``most`` bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        offsets, at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(offsets, int(offsets[at]) + most, side="right")) - 1
+            to = min(max(to, at + 1), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        _drop(path.rsplit("/", 1)[0])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
