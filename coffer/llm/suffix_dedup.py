@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, written
+from .common import column, documents, slices, written
 
 LENGTH = 100
 GRAM = 32
@@ -50,9 +50,11 @@ CLASSES = 512
 #: Windows that are folded at once before they are grouped.
 FOLDED = 100_000
 #: Bytes of text that one vectorised step covers.
-CHUNK = 1 << 21
-#: Bytes of strings in one run.
-RUN_BYTES = 24 << 20
+CHUNK = 1 << 19
+#: Bytes of texts whose anchors are found at once, and of strings in one run.
+FIND_BYTES, RUN_BYTES = 16 << 20, 16 << 20
+#: Bytes of all texts that one merge task stands for; more input means more tasks, not larger ones.
+PART_BYTES = 64 << 20
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -246,7 +248,7 @@ def _find(length: int, parts: int):
         return p, z(docs), z(own), z(places), hashes.tobytes(), z(counts), known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2, FIND_BYTES):
             doc, own = _numbers(batch.column(0)), _numbers(batch.column(1))
             data, ends = _batch_text(batch.column(2))
             h, pos, first, last = anchors(data, ends, length)
@@ -377,7 +379,7 @@ def _cut_runs(length: int, parts: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings, windows, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches, 2):
             is_hot = _at_hot(batch, hot) if len(hot) else None
             for doc, own, text, places in zip(*(batch.column(i) for i in range(4))):
                 data, doc, own = text.as_py().encode("utf-8", "replace"), doc.as_py(), own.as_py()
@@ -480,8 +482,7 @@ def _finish(length: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in slices(iter([batch]), n - 3):
                 spans, kept, size = [], [], []
                 for text, starts, counts in zip(part.column(n - 3), part.column(n - 2), part.column(n - 1)):
                     data = (text.as_py() or "").encode("utf-8", "replace")
@@ -518,9 +519,10 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     if not GRAM <= length <= GRAM + 200:
         raise ValueError(f"length must lie between {GRAM} and {GRAM + 200}")
     spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df = df.drop(*[c for c in ("n_bytes", "removed", "kept") if c not in (text_col, id_col)])
     names = df.columns
+    size = df.agg(F.sum(F.octet_length(column(df, text_col).cast("string")))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     text, doc = column(df, text_col).cast("string"), F.coalesce(column(df, id_col).cast("long"), F.lit(NO_ID))
     keyed = [doc.alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("own")]
 

@@ -39,7 +39,7 @@ from .labels import SAMPLE_ROWS, training_rows
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Words of a window, and how many of them the next window does not share.
 WORDS, STRIDE = 3, 2
-LEVEL, MIN_MATCH = 12, 3
+LEVEL, MIN_MATCH, TABLE_LOG = 12, 3, 14
 #: Bytes of the base, of what each round trains on top of it, and of the header.
 BASE_BYTES, OWN_BYTES, HEADER_BYTES = 48_000, 4_000, 64
 #: Lengths of the segments and substrings that the trainer looks at, in the base and on top of it.
@@ -74,7 +74,7 @@ class Distance:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, dict_size=len(content), source_size=96, min_match=MIN_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
+        LEVEL, dict_size=len(content), source_size=96, min_match=MIN_MATCH, hash_log=TABLE_LOG, chain_log=TABLE_LOG, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
