@@ -4,9 +4,9 @@ Only the histogram (one count per length, so at most ``capacity`` numbers) comes
 to the driver. There a configuration is a multiset of lengths that fits into one
 sequence. The program "use each configuration x times, cover every length's
 count, use as few as possible" is solved by multiplicative weights: a length's
-weight falls as it is covered, and the next configuration is the most valuable
-one under the weights, found by dynamic programming over the capacity. Whole
-parts of the solution are kept; what is left over, a few items per
+weight is multiplied down as it is covered, and the next configurations are the most
+valuable ones under the weights, found by dynamic programming over the capacity; the
+same weights bound the program from below (``solve``). Whole parts of the solution are kept; what is left over, a few items per
 configuration, is packed best-fit by decreasing length.
 
 Spark then ranks the pieces of each length and looks up the place that the plan
@@ -42,8 +42,10 @@ LONG_PIECE = 256
 CAPACITY = 2048
 #: Share of the scarcest length's count that one step of the solver covers.
 STEP = 0.25
-#: Sharpness of the weights, rounds of pricing, configurations taken from one, and how far below the best they may be worth.
-ETA, ROUNDS, BATCH, SLACK = 4.0, 300, 48, 0.02
+#: How fast the weights fall, rounds of pricing, configurations taken from one, and how far below the best they may be worth.
+ETA, ROUNDS, BATCH, SLACK = 0.2, 300, 48, 0.02
+#: What the first weight of a sequence's whole length gets beyond its share.
+TILT = 0.05
 #: Rows of one length that one window ranks.
 RANK_ROWS = 50_000
 END = np.zeros(1, "<u4").tobytes()
@@ -147,8 +149,8 @@ def token_pieces(
     return df.select(column(df, id_col).alias("id"), column(df, text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def priced(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> list[Configuration]:
-    """Up to ``most`` of the most valuable multisets of sizes that fit, by dynamic programming over the capacity.
+def priced(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> tuple[list[Configuration], float]:
+    """Up to ``most`` of the most valuable multisets of sizes that fit, by dynamic programming over the capacity, and the best value.
 
     The first is the best one; the others begin with another size and fill the
     rest of the room in the best way.
@@ -171,34 +173,42 @@ def priced(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> l
             taken[j] += j >= 0
             c -= int(sizes[j]) if j >= 0 else 1
         out.append(tuple(sorted(((int(sizes[j]), n) for j, n in taken.items() if n), reverse=True)))
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(out)), float(best[capacity])
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """A fractional cover of the histogram by configurations, no length beyond its count.
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, float]:
+    """A fractional cover of the histogram by configurations, and a lower bound of any packing.
 
-    A round prices configurations under the weights and uses each in part; the
-    weights then follow the cover. After the last round what is uncovered is left
-    to the rounding.
+    Multiplicative weights for covering: each length has a weight, first its share
+    of the capacity. A round prices configurations under the weights and uses each
+    in part; the weight of a length then falls by the factor exp(-ETA) for each full
+    cover of its count that was used, and lengths that are covered leave. What is
+    uncovered after the last round is left to the rounding. With no configuration
+    worth more than ``best``, the weights over ``best`` are a dual solution: no
+    packing has fewer sequences than the counts' weights sum to over it.
     """
     sizes = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], np.float64)
     place = {int(s): i for i, s in enumerate(sizes)}
+    shares = sizes / capacity
+    # Longer is worth a little more than in proportion, as short items fill any room.
+    weights = shares * (1 + TILT * shares)
     covered, used = np.zeros(len(sizes)), Counter()
+    bound = float(counts @ shares)
     for _ in range(ROUNDS):
         live = np.flatnonzero(covered < 1 - 1e-9)
         if not len(live):
             break
-        # Longer is worth more than in proportion, as short items fill any room; the less covered is worth more.
-        shares = sizes[live] / capacity
-        values = shares * (1 + 0.05 * shares) * (1 + 0.2 * np.exp(-ETA * covered[live]))
-        for config in priced(sizes[live], values, capacity, BATCH):
+        configs, best = priced(sizes[live], weights[live], capacity, BATCH)
+        bound = max(bound, float(counts[live] @ weights[live]) / best)
+        for config in configs:
             at, n = np.array([place[s] for s, _ in config]), np.array([k for _, k in config], np.float64)
             step = min(STEP * (counts[at] / n).min(), ((1 - covered[at]) * counts[at] / n).min())
             if step > 0:
                 used[config] += step
                 covered[at] += step * n / counts[at]
-    return used
+                weights[at] *= np.exp(-ETA * step * n / counts[at])
+    return used, bound
 
 
 def best_fit(left: Counter, capacity: int) -> Counter:
@@ -222,7 +232,7 @@ def best_fit(left: Counter, capacity: int) -> Counter:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     """How often to use each configuration, so that every item has exactly one place."""
     left, out = Counter({s: n for s, n in histogram.items() if n}), Counter()
-    used = solve(left, capacity)
+    used, _ = solve(left, capacity) if left else (Counter(), 0.0)
     full = lambda c: sum(s * n for s, n in c)
     for config in sorted(used, key=lambda c: (-full(c), c)):
         times = min([int(used[config] + 1e-9), *(left[s] // n for s, n in config)])
