@@ -2,13 +2,18 @@
 
 Vectors are packed into blocks of integer matrices where they are read; blocks of
 queries meet blocks of candidates by a cell number, so no row is paired singly.
+The dimensions are cut into slices. After some slices a partial score, and the
+product of the two lengths that the other slices have, bound the score from above.
 
-1. Gather: every pair of blocks sends each query's k best local scores, found
-   from the best entries of each slice of the dimensions and scored in full.
+1. Gather: every pair of blocks scores the first half of the slices, and sends each
+   query's local list: the entries with the best partial scores, scored in full, and
+   the highest bound that any entry of the block has.
 2. Cutoff: a query's k-th best gathered score is a lower bound of its final k-th
-   score. It goes back to the queries, and from there to every block; an entry
-   can only reach it if some slice has at least its share, cutoff / slices.
-3. Collect: such entries are scored in full, and those that reach the cutoff go
+   score. It is broadcast to the blocks whose highest bound reaches it; other
+   blocks are not read again for that query.
+3. Collect and resolve: there partial scores are taken up slice by slice, and entries
+   leave as soon as their bound is under the cutoff. The few that stay are sufficient:
+   their scores are completed one by one, and those that reach the cutoff go
    to the final ranking, k at most from each block.
 """
 
@@ -23,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SLICES = 2
+#: Slices of the dimensions, and how many times k entries a local list has.
+SLICES, LISTED = 4, 2
+#: Share of a block's entries below which they are completed one by one.
+FEW = 0.2
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
 #: Scores saturate here (only components beyond 2**28 or so can reach it).
 LARGEST = 2**63 - 1
 
 _BLOCK = "ids binary, dims int, rows int, data binary, cutoffs binary"
-_ENTRIES = "query_id bigint, query_hash bigint, vec_id bigint, score bigint"
+_ENTRIES = "query_id bigint, query_hash bigint, vec_id bigint, score bigint, resolved bigint, block bigint, bound double"
 
 
 def quantised(vectors: Column, scale: int = 64) -> Column:
@@ -75,6 +83,21 @@ def _packer(size: int):
     return pack
 
 
+def _by_block(size: int):
+    """Packs runs of queries that are sent to the same block."""
+    pack = _packer(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = batch.column(batch.schema.names.index("q_block")).to_numpy()
+            edges = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)] if len(to) else [0]
+            for a, b in zip(edges, edges[1:]):
+                for row in pack(iter([batch.slice(a, b - a)])):
+                    yield row.append_column("block", pa.array(np.full(row.num_rows, to[a]), pa.int64()))
+
+    return run
+
+
 def _unpack(ids: bytes, dims: int, rows: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind = {2: np.int16, 4: np.int32, 8: np.int64}[rows // 10_000_000]
     keys = np.frombuffer(ids, np.int64).reshape(2, -1)
@@ -101,51 +124,75 @@ def _slices(dims: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by score, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
-
-
-def _entries(keys: tuple, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    n = [len(r[1]) for r in rows]
-    at = np.repeat(np.array([r[0] for r in rows], np.int64), n)
-    cat = lambda i: np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[0][at], pa.int64()), pa.array(keys[1][at], pa.int64()), pa.array(cat(1), pa.int64()), pa.array(cat(2), pa.int64())],
-        names=["query_id", "query_hash", "vec_id", "score"],
-    )
-
-
-def _scan(k: int, collect: bool):
-    """Phase 1 (gather) or phases 2 and 3 (collect) over pairs of blocks."""
-
-    def gather(scores: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
-        total = np.sum(scores, axis=0)
-        # a k-th best needs k others beside the query's own row
-        heads = [np.argpartition(s, len(s) - k - 1)[len(s) - k - 1 :] if len(s) > k + 1 else np.arange(len(s)) for s in scores]
-        at = np.unique(np.concatenate(heads))
-        at = at[~own[at]]
-        best = at[_best(total[at], ids[at], k)]
-        return ids[best], total[best]
-
-    def sufficient(scores: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
-        share = -(-cutoff // len(scores))
-        enough = scores[0] >= share
-        for s in scores[1:]:
-            enough |= s >= share
-        at = np.flatnonzero(enough & ~own)
-        total = np.sum([s[at] for s in scores], axis=0)
-        reach = total >= cutoff
-        at, total = at[reach], total[reach]
-        best = _best(total, ids[at], k)
-        return ids[at[best]], total[best]
-
-    pick = sufficient if collect else gather
+def _rests(m: np.ndarray, parts: list[slice]) -> np.ndarray:
+    """The length of each row beyond each slice."""
+    squares = np.stack([(m[:, s].astype(np.float64) ** 2).sum(1) for s in parts])
+    return np.sqrt(np.maximum(squares.sum(0) - np.cumsum(squares, 0), 0))
+
+
+def _bounds(partial: np.ndarray, q_rest: np.ndarray, v_rest: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores; a little beyond what rounding may lose."""
+    out = partial + np.outer(q_rest, v_rest) * (1 + 1e-9)
+    return out + 1 + np.abs(out) * 1e-12
+
+
+def _completed(q: np.ndarray, v: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Scores of single entries."""
+    out = np.empty(len(rows), np.int64)
+    for lo in range(0, len(rows), 4096):
+        a, b = q[rows[lo : lo + 4096]], v[cols[lo : lo + 4096]]
+        most = a.shape[1] * max(1, int(np.abs(a.astype(np.float64)).max(initial=0))) * max(1, int(np.abs(b.astype(np.float64)).max(initial=0)))
+        if most < 2**63:
+            out[lo : lo + 4096] = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+        else:
+            out[lo : lo + 4096] = np.clip((a.astype(object) * b.astype(object)).sum(1), -LARGEST, LARGEST).astype(np.int64)
+    return out
+
+
+def _gather(k: int):
+    """Phase 1 over pairs of blocks: local lists and, with a null vec_id, the block's highest bound."""
+
+    def found(q, q_ids, v, v_ids, cut):
+        parts = _slices(q.shape[1])
+        half = max(1, len(parts) // 2)
+        partial = sum(_products(q[:, s], v[:, s]) for s in parts[:half])
+        bound = _bounds(partial, _rests(q, parts)[half - 1], _rests(v, parts)[half - 1])
+        own = q_ids[:, None] == v_ids[None, :]
+        partial[own], bound[own] = -LARGEST, -np.inf
+        n = min(LISTED * k, len(v_ids))
+        cols = np.argpartition(-partial, n - 1, axis=1)[:, :n].ravel()
+        rows = np.repeat(np.arange(len(q)), n)
+        keep = ~own[rows, cols]
+        rows, cols = rows[keep], cols[keep]
+        return rows, cols, _completed(q, v, rows, cols), np.bincount(rows, minlength=len(q)), bound.max(1, initial=-np.inf)
+
+    return found
+
+
+def _collect(k: int):
+    """Phase 3 over pairs of blocks: the entries that reach the cutoff."""
+
+    def found(q, q_ids, v, v_ids, cut):
+        parts = _slices(q.shape[1])
+        q_rest, v_rest = _rests(q, parts), _rests(v, parts)
+        other = q_ids[:, None] != v_ids[None, :]
+        partial, alive = np.zeros((len(q), len(v)), np.int64), other
+        for i, s in enumerate(parts):
+            partial = partial + _products(q[:, s], v[:, s])
+            alive = other & (_bounds(partial, q_rest[i], v_rest[i]) >= cut[:, None])
+            if alive.mean() < FEW:
+                break
+        rows, cols = np.nonzero(alive)
+        totals = _completed(q, v, rows, cols)
+        resolved = np.bincount(rows, minlength=len(q))
+        reach = totals >= cut[rows]
+        return rows[reach], cols[reach], totals[reach], resolved, None
+
+    return found
+
+
+def _scan(k: int, find):
+    """Entries of ``find`` for every pair of blocks, a few queries at a time, k at most a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,28 +202,35 @@ def _scan(k: int, collect: bool):
                 cut = np.frombuffer(pair["q_cutoffs"], np.int64)
                 dims = max(q.shape[1], v.shape[1])
                 q, v = _widened(q, dims), _widened(v, dims)
-                rows = []
                 for lo in range(0, len(q), 128):
-                    part = q[lo : lo + 128]
-                    scores = [_products(part[:, s], v[:, s]) for s in _slices(dims)]
-                    for i in range(len(part)):
-                        ids, total = pick([s[i] for s in scores], v_ids == q_ids[lo + i], v_ids, int(cut[lo + i]))
-                        rows.append((lo + i, ids, total))
-                yield _entries((q_ids, q_hash), rows)
+                    part = slice(lo, lo + 128)
+                    rows, cols, totals, resolved, bound = find(q[part], q_ids[part], v, v_ids, cut[part])
+                    order = np.lexsort((v_ids[cols], -totals, rows))
+                    rows, cols, totals = rows[order], cols[order], totals[order]
+                    first = np.searchsorted(rows, np.arange(len(q[part])))
+                    best = np.arange(len(rows)) - first[rows] < k
+                    rows, cols, totals = rows[best], cols[best], totals[best]
+                    told = np.arange(len(q[part]))  # a row per query with what its entries took
+                    at = lo + np.concatenate((rows, told))
+                    some = np.arange(len(at)) < len(rows)
+                    none = np.zeros(len(told), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(q_ids[at]),
+                            pa.array(q_hash[at]),
+                            pa.array(np.concatenate((v_ids[cols], none)), mask=~some),
+                            pa.array(np.concatenate((totals, none)), mask=~some),
+                            pa.array(np.concatenate((np.zeros(len(rows), np.int64), resolved.astype(np.int64)))),
+                            pa.array(np.full(len(at), pair["block"])),
+                            pa.array(np.concatenate((np.zeros(len(rows)), none if bound is None else bound)), mask=some),
+                        ],
+                        names=["query_id", "query_hash", "vec_id", "score", "resolved", "block", "bound"],
+                    )
 
     return run
 
 
-def _paired(queries: DataFrame, blocks: DataFrame, cells: int) -> DataFrame:
-    """Each block of queries beside each block of candidates, joined by cell."""
-    left = queries.select(
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "rows", "data", "cutoffs")],
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("q_cell"),
-    )
-    return left.join(blocks, F.col("q_cell") == F.col("cell")).drop("q_cell", "cell", "cutoffs")
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, with_resolved: bool = False) -> DataFrame:
     """The k best rows of ``vectors`` for each row of ``queries``: query_id, rank, vec_id, score.
 
     Scores are inner products of floor(scale * x); ties go to the smaller id. A
@@ -186,7 +240,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     Repeated rows of ``vectors`` are candidates each; repeated equal queries
     answer once, and unequal ones under one id each have their own ranks. Fewer
     than k candidates give fewer rows, an empty table none. Other columns are
-    ignored.
+    ignored. ``with_resolved`` adds how many entries were scored in full for the query.
     """
     spark = vectors.sparkSession
 
@@ -197,23 +251,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     none = F.lit(0).cast("long")
-    blocks = prepared(vectors).withColumn("cutoff", none).mapInArrow(_packer(VECTOR_BLOCK), _BLOCK)
-    blocks = written(blocks.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")), "vectors")
+    blocks = prepared(vectors).withColumn("cutoff", none).mapInArrow(_packer(VECTOR_BLOCK), _BLOCK).drop("cutoffs")
+    blocks = written(blocks.withColumn("block", F.xxhash64("ids", "data")).withColumn("cell", F.pmod("block", F.lit(cells)).cast("int")), "vectors")
     asked = written(prepared(queries).dropDuplicates(["vec_id", "hash"]), "queries")
+    sides = ("ids", "dims", "rows", "data", "cutoffs")
 
     packed = asked.withColumn("cutoff", none).mapInArrow(_packer(QUERY_BLOCK), _BLOCK)
-    gathered = _paired(packed, blocks, cells).mapInArrow(_scan(k, collect=False), _ENTRIES)
+    to_all = packed.select(*[F.col(c).alias(f"q_{c}") for c in sides], F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("q_cell"))
+    gathered = written(to_all.join(blocks, F.col("q_cell") == F.col("cell")).drop("q_cell", "cell").mapInArrow(_scan(k, _gather(k)), _ENTRIES), "gathered")
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
-    head = gathered.select("query_id", "query_hash", "score", "vec_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    head = gathered.where("vec_id IS NOT NULL").select("query_id", "query_hash", "score", "vec_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
     cutoffs = head.where(F.col("rank") == k).select("query_id", "query_hash", F.col("score").alias("cutoff"))
 
-    informed = asked.join(
-        cutoffs, (asked["vec_id"] == cutoffs["query_id"]) & (asked["hash"] == cutoffs["query_hash"]), "left"
-    ).select("vec_id", "q", "hash", F.coalesce("cutoff", F.lit(-LARGEST)).alias("cutoff"))
-    packed = written(informed.coalesce(max(1, cells // 4)).mapInArrow(_packer(QUERY_BLOCK), _BLOCK), "cutoffs")
-    final = _paired(packed, blocks, cells).mapInArrow(_scan(k, collect=True), _ENTRIES)
-    ranked = final.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score")
-    return ranked.where(F.col("rank") <= k)
+    # Each block with the queries whose cutoff its highest bound reaches.
+    reached = gathered.where("vec_id IS NULL").select("query_id", "query_hash", "block", "bound").join(cutoffs, ["query_id", "query_hash"], "left")
+    reached = reached.where(F.col("cutoff").isNull() | (F.col("bound") >= F.col("cutoff"))).select("query_id", "query_hash", F.col("block").alias("q_block"), F.coalesce("cutoff", F.lit(-LARGEST)).alias("cutoff")).distinct()
+    informed = asked.join(reached, (F.col("vec_id") == F.col("query_id")) & (F.col("hash") == F.col("query_hash")))
+    informed = informed.select("vec_id", "q", "hash", "cutoff", "q_block").repartition(cells, "q_block").sortWithinPartitions("q_block")
+    sent = informed.mapInArrow(_by_block(QUERY_BLOCK), _BLOCK + ", block bigint")
+    sent = sent.select(*[F.col(c).alias(f"q_{c}") for c in sides], F.col("block").alias("q_block"))
+    final = sent.join(blocks, F.col("q_block") == F.col("block")).drop("q_block", "cell").mapInArrow(_scan(k, _collect(k)), _ENTRIES)
+    if with_resolved:
+        final = written(final, "collected")
+    ranked = final.where("vec_id IS NOT NULL").select("query_id", "query_hash", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    if with_resolved:
+        work = gathered.unionByName(final).groupBy(F.col("query_id").alias("w_id"), F.col("query_hash").alias("w_hash")).agg(F.sum("resolved").alias("resolved"))
+        ranked = ranked.join(work, (F.col("query_id") == F.col("w_id")) & (F.col("query_hash") == F.col("w_hash"))).drop("w_id", "w_hash")
+    return ranked.drop("query_hash")
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
