@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,20 +306,21 @@ def _tail_words(lexicon):
         place = lexicon.value.place()
         entry = pa.struct([("doc", pa.int64()), ("own", pa.int64()), ("at", pa.binary())])
         for batch in slices(batches, 2):
-            docs, own = batch.column(0), batch.column(1)
-            held: dict[bytes, list] = {}
-            for i, text in enumerate(batch.column(2)):
-                at: dict[bytes, list] = {}
-                for k, w in enumerate(tokens(text.as_py())):
-                    if w not in place:
-                        at.setdefault(w, []).append(k)
-                for w, ks in at.items():
-                    held.setdefault(w, []).append((i, np.array(ks, np.int32).tobytes()))
-            flat = [x for v in held.values() for x in v]
-            rows = pa.array([i for i, _ in flat], pa.int64())
-            struct = pa.StructArray.from_arrays([docs.take(rows), own.take(rows), pa.array([b for _, b in flat], pa.binary())], fields=list(entry))
-            offsets = np.concatenate(([0], np.cumsum([len(v) for v in held.values()], dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], names=["word", "texts"])
+            flat, known, stops = _flat(batch.column(2), place)
+            tail = np.flatnonzero(known < 0)
+            doc = np.searchsorted(stops, tail, side="right")
+            at = (tail - np.concatenate(([0], stops))[doc]).astype(np.int32)
+            named = pa.array([flat[i] for i in tail.tolist()], pa.binary()).dictionary_encode()
+            key = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (len(stops) + 1) + doc
+            order = np.argsort(key, kind="stable")  # by word, text, and place
+            key, doc, at = key[order], doc[order], at[order]
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            places = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(np.append(heads, len(key)).astype(np.int32) * np.int32(4)), pa.py_buffer(at)])
+            rows = pa.array(doc[heads])
+            struct = pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), places], fields=list(entry))
+            word = key[heads] // (len(stops) + 1)
+            offsets = np.searchsorted(word, np.arange(len(named.dictionary) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([named.dictionary.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), struct)], names=["word", "texts"])
 
     return run
 
@@ -328,20 +330,26 @@ def _filled(n_classes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 5):
-            seqs, known, more = [], [], []
-            for seq, words in zip(batch.column(5), batch.column(6)):
-                own = np.frombuffer(seq.as_py(), np.uint8).copy()
-                count = np.zeros(len(own), np.int64)
-                for w in words.as_py() or []:  # a repeated row brings its words again, to the same places
-                    at = np.frombuffer(w["at"], np.int32)
-                    own[at], count[at] = w["class"], w["c"]
-                own[own == LATER] = n_classes - 1
-                seqs.append(own.tobytes())
-                known.append(int((count > 0).sum()))
-                more.append(float(np.log10(count[count > 0] + 1.0).sum()))
-            n = pa.array(batch.column(3).to_numpy() + np.array(known, np.int64))
-            plus = pa.array(batch.column(4).to_numpy() + np.array(more))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, plus, pa.array(seqs, pa.binary())], names=["doc_id", "n_tokens", "n_known", "plus", "seq"])
+            lengths = batch.column(2).to_numpy()
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            own = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).copy()
+            count = np.zeros(len(own), np.int64)
+            lists = batch.column(6)
+            entries = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            words = lists.flatten()
+            places, c, kind = (words.field(i) for i in range(3))
+            n = pc.binary_length(places).to_numpy(zero_copy_only=False) // 4
+            # a repeated row brings its words again, to the same places
+            at = np.frombuffer(b"".join(places.to_pylist()), np.int32) + np.repeat(starts[entries], n)
+            own[at] = np.repeat(kind.to_numpy(zero_copy_only=False), n)
+            count[at] = np.repeat(c.to_numpy(zero_copy_only=False), n)
+            own[own == LATER] = n_classes - 1
+            known = batch.column(3).to_numpy() + np.add.reduceat((count > 0).astype(np.int64), starts)
+            plus = batch.column(4).to_numpy() + np.add.reduceat(np.log10(count + 1.0), starts)
+            seqs = [own[a:b].tobytes() for a, b in zip(starts.tolist(), (starts + lengths).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(known), pa.array(plus), pa.array(seqs, pa.binary())], names=["doc_id", "n_tokens", "n_known", "plus", "seq"]
+            )
 
     return run
 

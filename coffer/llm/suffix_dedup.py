@@ -52,7 +52,7 @@ FOLDED = 100_000
 #: Bytes of text that one vectorised step covers.
 CHUNK = 1 << 19
 #: Bytes of texts whose anchors are found at once, and of strings in one run.
-FIND_BYTES, RUN_BYTES = 16 << 20, 16 << 20
+FIND_BYTES, RUN_BYTES = 12 << 20, 12 << 20
 #: Bytes of all texts that one merge task stands for; more input means more tasks, not larger ones.
 PART_BYTES = 64 << 20
 
