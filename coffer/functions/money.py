@@ -32,6 +32,10 @@ def parsed_amount(raw: Column) -> Column:
     return F.when(negative, -value).otherwise(value).cast("decimal(18,4)")
 
 
+#: Years of two digits from this one on are of the last century.
+PIVOT = 70
+
+
 def parsed_date(raw: Column, day_first: bool = False) -> Column:
     """A text as a date (FN-01..03); slashes, dots and hyphens, years of two or four digits, a time is ignored."""
     t = F.regexp_replace(F.trim(raw), r"[T ]\d{1,2}:\d{2}.*$", "")
@@ -39,7 +43,7 @@ def parsed_date(raw: Column, day_first: bool = False) -> Column:
     parts = F.split(t, r"[-/.]")
     number = lambda i: parts[i].try_cast("int")
     numeric = t.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.](\d{2}|\d{4})$")
-    year = F.when(F.length(parts[2]) == 2, number(2) + 2000).otherwise(number(2))
+    year = F.when(F.length(parts[2]) == 2, number(2) + F.when(number(2) < PIVOT, 2000).otherwise(1900)).otherwise(number(2))
 
     def valid(y: Column, m: Column, d: Column) -> Column:
         padded = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
@@ -47,7 +51,7 @@ def parsed_date(raw: Column, day_first: bool = False) -> Column:
 
     a, b = (number(1), number(0)) if day_first else (number(0), number(1))
     named = F.coalesce(
-        *[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd")]
+        *[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("MMM d, yyyy", "MMM d yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd")]
     )
     return F.when(year_first, valid(number(0), number(1), number(2))).when(numeric, F.coalesce(valid(year, a, b), valid(year, b, a))).otherwise(named)
 

@@ -6,13 +6,14 @@ merchant) and returns a boolean column; nulls count as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import contains_any, folded, signals_any
 
 # The word lists that results depend on.
 REFUND = ["refund", "reversal"]
+PLANNED = ["membership", "monthly", "subscription", "plan", "enrolled", "autopay"]
 MOVEMENT = [
     "transfer", "external transfer", "standard transfer", "wire transfer", "bank account", "money out", "auto payment",
     "electronic withdrawal", "credit card payment", "card payment", "automated transaction buy", "securities buy",
@@ -70,9 +71,31 @@ _ALL = ("memo", "category", "merchant_raw", "merchant")
 
 
 def signal_text(*names: str) -> Column:
+    """The folded text of those columns; a frame from ``with_signal_texts`` holds it already."""
     return folded(F.concat_ws(" ", *[F.col(n) for n in names]))
 
 
+_TEXTS = {"s_all": _ALL, "s_moved": ("category", "memo", "merchant_raw", "merchant"), "s_plain": ("memo", "merchant_raw", "merchant"), "s_visit": ("memo", "category", "merchant_raw"), "s_category": ("category",), "s_memo": ("memo",)}
+
+
+def flags(df: DataFrame) -> DataFrame:
+    """Every predicate as a column of its name, each text folded once. Reads memo, category, merchant_raw, merchant and kind."""
+    out = df.withColumns({name: signal_text(*columns) for name, columns in _TEXTS.items()})
+    moved, noise = contains_any(F.col("s_moved"), MOVEMENT), signals_any(F.col("s_all"), NOISE)
+    strong, category = signals_any(F.col("s_plain"), STRONG), F.lower(F.trim(F.coalesce(F.col("category"), F.lit(""))))
+    out = out.withColumns(
+        {
+            "refund": contains_any(F.col("s_memo"), REFUND), "movement": moved, "bill": moved | signals_any(F.col("s_moved"), BILLS), "noise": noise, "strong": strong,
+            "keyword": signals_any(F.col("s_all"), EXPLICIT), "appointment": signals_any(F.col("s_visit"), APPOINTMENT), "order": signals_any(F.col("s_visit"), ORDERS),
+            "excluded": contains_any(F.col("s_category"), EXCLUDED), "descriptor": F.coalesce(*[F.when(F.contains(F.col("s_all"), F.lit(k)), F.lit(v)) for k, v in DESCRIPTORS.items()]),
+            "planned": contains_any(F.col("s_all"), PLANNED),
+        }
+    )
+    by_kind = F.col("kind").isin(SERVICE_KINDS) | ((F.col("kind") == "membershipRetailer") & F.col("strong"))
+    known = category.isin(SERVICE_CATEGORIES) | signals_any(F.col("s_plain"), SERVICE) | F.coalesce(by_kind, F.lit(False))
+    return out.withColumn("known", ~F.col("noise") & ~F.col("bill") & known).drop(*_TEXTS)
+
+
 def is_debit() -> Column:
     return F.col("amount") < 0
 

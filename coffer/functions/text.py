@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,16 +20,19 @@ ABBREVIATIONS = {
 STOP_WORDS = ["COM", "WWW", "POS", "CARD", "DEBIT", "CREDIT", "ACH"]
 
 
+#: Small letters that decompose into a plain Latin letter and marks, and that letter.
+_PAIRS = [(m, unicodedata.normalize("NFD", m)[0]) for m in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if m == m.lower() and "a" <= unicodedata.normalize("NFD", m)[0] <= "z" and len(unicodedata.normalize("NFD", m)) > 1]
+MARKED, PLAIN = ("".join(p[i] for p in _PAIRS) for i in (0, 1))
+
+
 def nil_if_blank(c: Column) -> Column:
     """Trimmed text, null if nothing is left (FN-12)."""
     return F.nullif(F.trim(c), F.lit(""))
 
 
 def folded(c: Column) -> Column:
-    """Lower case without diacritics, for comparison (FN-19)."""
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(c), marked, plain)
+    """Lower case without diacritics, for comparison (FN-19): Latin letters with marks, and marks that stand alone."""
+    return F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"\p{M}+", "")
 
 
 def identity_token(c: Column) -> Column:

@@ -112,3 +112,14 @@ def distinct_sample(df: DataFrame, by: str, value: str, n: int) -> DataFrame:
     ranked = df.select(by, value).distinct().withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(value)))
     kept = ranked.where(F.col("rank") <= n).groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("sample"))
     return kept.select(by, F.array_join("sample", ",").alias("sample"))
+
+
+def nth_smallest(df: DataFrame, by: list[str], value: str, index: Column, alias: str) -> DataFrame:
+    """The value at a place (from 0) of each group's sorted values; ``index`` reads the group's size ``n``.
+
+    Counts per value are taken before a window runs over them, so no group is held as a list.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy(value)
+    ranked = counts.select(*by, value, F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
+    return ranked.where(F.col("_upto") > index).groupBy(*by).agg(F.min(value).alias(alias))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schedule import advanced, cadence_of_median
+from ..operators.aggregates import nth_smallest
 
 MONEY = "decimal(18,4)"
 
@@ -71,13 +72,45 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = charges.withColumn("gap", F.date_diff("date", F.lag("date").over(order)))
     grouped = steps.groupBy("account").agg(
         F.count("*").alias("n"),
-        F.sort_array(F.collect_list("gap")).alias("gaps"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.max(F.struct("date", "id", "amount"))["amount"].alias("price"),
     )
-    median = F.when(F.size("gaps") > 0, F.get(F.col("gaps"), F.floor(F.size("gaps") / 2).cast("int")))
-    grouped = grouped.withColumn("median_gap", median).drop("gaps")
+    median = nth_smallest(steps, ["account"], "gap", F.floor(F.col("n") / 2), "median_gap")
+    grouped = grouped.join(median, "account", "left")
     grouped = grouped.withColumn("cadence", F.coalesce(cadence_of_median(F.col("median_gap"), F.col("n")), F.lit("unknown")))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"))
     return grouped.join(customers, "account").withColumn("next_date", advanced(F.col("last_date"), F.col("cadence"), F.lit(1)))
+
+
+KINDS = ["subscriptionService", "membershipRetailer", "marketplace", "groceryRetailer", "restaurant", "medicalOrWellnessProvider", "transportOrTravel", "utilityOrBiller", "generalRetail", "softwareOrSaaS", "mediaStreaming", "unknown"]
+#: Memos and categories that orders are given in turn, so that every signal occurs.
+MEMOS = ["monthly subscription plan", "transfer to savings", "electric utility bill", "refund of a charge", "visit with the doctor", "premium membership renewal", "order 12 shipped", "icloud storage", "annual plan", "thank you"]
+CATEGORIES = ["software", "groceries", "streaming", "travel", "", "restaurants"]
+CYCLES = [30, 7, 14, 91, 182, 365]
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as classified charges of one merchant each: id, cluster, date, amount, texts, kind, affinity, confidence.
+
+    Half of the merchants (customers) bill in a regular cycle, a third at one price.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = o.select("*", (F.row_number().over(order) - 1).alias("i"), F.min("o_orderdate").over(Window.partitionBy("o_custkey")).cast("date").alias("first"))
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    pick = lambda of, at: F.get(F.array(*[F.lit(v) for v in of]), at.cast("int"))
+    own = c % 3 < 2
+    return o.select(
+        k.alias("id"),
+        c.alias("cluster"),
+        F.when(c % 2 == 0, F.date_add("first", (F.col("i") * pick(CYCLES, F.floor(c / 2) % 6)).cast("int"))).otherwise(F.col("o_orderdate").cast("date")).alias("date"),
+        (-F.when(c % 3 == 0, 100 + c % 50).otherwise(F.col("o_totalprice"))).cast(MONEY).alias("amount"),
+        pick(MEMOS, F.when(own, c % 10).otherwise(k % 10)).alias("memo"),
+        pick(CATEGORIES, F.when(own, F.floor(c / 10) % 6).otherwise(F.floor(k / 4) % 6)).alias("category"),
+        F.concat(F.lit("MERCHANT "), c.cast("string")).alias("merchant_raw"),
+        F.concat(F.lit("Merchant "), c.cast("string")).alias("merchant"),
+        pick(KINDS, F.when(c % 12 == k % 12, F.lit(11)).otherwise(F.floor(c / 3) % 12)).alias("kind"),
+        ((c * 7 % 10) / 10).cast("double").alias("affinity"),
+        ((c % 10) / 10 + 0.05).cast("double").alias("confidence"),
+    )

@@ -61,8 +61,7 @@ def agg_upper_median_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_top_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = billed(spark, sf_dir).groupBy("account").agg(F.collect_list("amount").alias("a"))
-    return grouped.select("account", aggregates.top_quartile(F.col("a")).alias("threshold"))
+    return aggregates.nth_smallest(billed(spark, sf_dir), ["account"], "amount", F.least(F.col("n") - 1, F.floor(F.col("n") * 3 / 4)), "threshold")
 
 
 @query
