@@ -39,10 +39,7 @@ BY_NAME = {c.name: c for c in CADENCES}
 
 def of_cadence(cadence: Column, field: str) -> Column:
     """A fixed value of the cadence in a column; null for unknown ones (FN-18)."""
-    out = F.lit(None)
-    for c in CADENCES:
-        out = F.when(cadence == c.name, F.lit(getattr(c, field))).otherwise(out)
-    return out
+    return F.create_map(*[x for c in CADENCES for x in (F.lit(c.name), F.lit(getattr(c, field)))])[cadence]
 
 
 def advanced(date: Column, cadence: Column, n: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import NON_SUBSCRIPTION_KINDS, flags
+
 TOTAL = "decimal(28,4)"
 
 
@@ -123,3 +125,38 @@ def nth_smallest(df: DataFrame, by: list[str], value: str, index: Column, alias:
     upto = Window.partitionBy(*by).orderBy(value)
     ranked = counts.select(*by, value, F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
     return ranked.where(F.col("_upto") > index).groupBy(*by).agg(F.min(value).alias(alias))
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds ``carried``: the last value before a row that was not null; the first rows of a group have none (WIN-03)."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("carried", F.last(value, ignorenulls=True).over(before))
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group (WIN-04)."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def import_report(rows: DataFrame) -> DataFrame:
+    """Per import: rows, debits, rows without a sure class, charges of a note, and merchants to review (AGG-17, AGG-20)."""
+    unsure = F.col("confidence") < 0.5
+    return rows.groupBy("import").agg(
+        F.count("*").alias("n"), F.count_if(F.col("amount") < 0).alias("debits"), F.count_if(unsure).alias("unsure"),
+        F.count_if(F.length("memo") > 0).alias("noted"), F.count_distinct(F.when(unsure, F.col("cluster"))).alias("to_review"),
+    )
+
+
+# Words that do not name a merchant when charges are grouped anew.
+RECOVERY_STOP_WORDS = ["subscription", "subscriptions", "membership", "member", "monthly", "annual", "plan", "charge", "payment", "inc", "llc", "corp", "co", "com"]
+
+
+def recovery_groups(charges: DataFrame) -> DataFrame:
+    """Groups (key, n) of two or more charges by a looser key, unless all of them only move money (REC-17)."""
+    marked = flags(charges)
+    words = F.split(F.lower(F.concat_ws(" ", "merchant", "merchant_raw", "memo", "descriptor")), r"[^\p{L}\p{M}\p{N}]+")
+    loose = F.array_join(F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(RECOVERY_STOP_WORDS)), 1, 2), " ")
+    key = F.when(F.col("confidence") >= 0.75, F.lower("merchant")).otherwise(F.coalesce(F.nullif(loose, F.lit("")), F.lower("merchant")))
+    free = marked.where(~F.col("kind").isin(NON_SUBSCRIPTION_KINDS) | F.col("keyword")).withColumn("key", key)
+    grouped = free.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("movement").alias("moved"), F.bool_or("strong").alias("worded"))
+    return grouped.where("n >= 2 AND (NOT moved OR worded)").select("key", "n")

@@ -3,18 +3,18 @@
 A bucket of charges is taken apart greedily: every cadence and phase proposes a
 calendar, the best fitting one takes its charges, and the rest is tried again.
 That is order-dependent, so it runs in a grouped function; a bucket is one
-account's charges at one merchant, which bounds its size.
+account's charges at one merchant (``history_key``), which bounds its size.
 """
 
 from __future__ import annotations
 
-import calendar
-from datetime import date, timedelta
+from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import flags
 from ..functions.schedule import CADENCES, Cadence
 
 #: What makes a candidate.
@@ -22,58 +22,44 @@ LEAST_CONTINUITY, LEAST_PURITY, CONTINUITY_WEIGHT = 0.75, 0.8, 0.1
 _EPOCH = date(1970, 1, 1)
 
 
-def _last_day(d: date) -> int:
-    return calendar.monthrange(d.year, d.month)[1]
+class _Days:
+    """Day numbers of the months' first days, remembered as they are met; days count from 1970."""
 
+    def __init__(self):
+        self.first: dict[int, int] = {}
 
-class _Calendar:
-    """The cycles of one anchor."""
+    def start(self, month: int) -> int:
+        """Day number of the first of a month; months count from year 0."""
+        day = self.first.get(month)
+        if day is None:
+            day = self.first[month] = date(month // 12, month % 12 + 1, 1).toordinal() - _EPOCH.toordinal()
+        return day
 
-    def __init__(self, cadence: Cadence, anchor: date, day: int, month_end: bool):
-        self.cadence, self.anchor, self.day, self.month_end = cadence, anchor, day, month_end
-        self.known: dict[int, int] = {}
+    def at(self, month: int, day: int) -> int:
+        """Day number of that day of a month, or of its last one."""
+        return min(self.start(month) + day - 1, self.start(month + 1) - 1)
 
-    def at(self, cycle: int) -> int:
-        """Days since 1970 of a cycle's date."""
-        if cycle not in self.known:
-            if self.cadence.days:
-                when = self.anchor + timedelta(days=self.cadence.days * cycle)
-            else:
-                months = self.anchor.year * 12 + self.anchor.month - 1 + self.cadence.months * cycle
-                first = date(months // 12, months % 12 + 1, 1)
-                when = first.replace(day=_last_day(first) if self.month_end else min(self.day, _last_day(first)))
-            self.known[cycle] = (when - _EPOCH).days
-        return self.known[cycle]
 
-    def nearest(self, day: date) -> tuple[int, int]:
-        """(distance, cycle); the earlier of equals."""
-        number = (day - _EPOCH).days
-        if self.cadence.days:
-            guess = int((day - self.anchor).days / self.cadence.days)
-        else:
-            guess = int(((day.year - self.anchor.year) * 12 + day.month - self.anchor.month) / self.cadence.months)
-        return min((abs(self.at(k) - number), k) for k in range(guess - 1, guess + 2))
-
-
-def _phase(day: date, cadence: Cadence) -> tuple:
-    if cadence.days:
-        return ((day - _EPOCH).days % cadence.days,)
-    if cadence.months > 1:
-        return day.month, day.day
-    return ("end",) if day.day == _last_day(day) else (day.day,)
+def _candidate(charges: list[tuple], seed: tuple, cadence: Cadence, days: _Days) -> tuple | None:
+    """(score, chosen charges, consistency) of the calendar that starts from one charge.
 
-
-def _candidate(charges: list[tuple], seed: tuple, cadence: Cadence) -> tuple | None:
-    """(score, chosen charges, consistency) of the calendar that starts from one charge."""
-    _, when, amount = seed
-    at_end = when.day == _last_day(when)
-    cycles = _Calendar(cadence, when, when.day, at_end)
+    Charges are (id, day number, month, day of the month, at the month's end, amount).
+    """
+    _, when, month, day, at_end, amount = seed
+    period, months, tolerance = cadence.days, cadence.months, cadence.tolerance
+    day = 31 if at_end else day
     chosen: dict[int, tuple] = {}
     for charge in charges:
-        distance, cycle = cycles.nearest(charge[1])
-        if cycle < 0 or distance > cadence.tolerance:
+        gone = charge[1] - when
+        if period:
+            guess = int(gone / period)
+            distance, cycle = min((abs(k * period - gone), k) for k in (guess - 1, guess, guess + 1))
+        else:
+            guess = int((charge[2] - month) / months)
+            distance, cycle = min((abs(days.at(month + months * k, day) - charge[1]), k) for k in (guess - 1, guess, guess + 1))
+        if cycle < 0 or distance > tolerance:
             continue
-        rank = (distance, abs(charge[2] - amount))
+        rank = (distance, abs(charge[5] - amount))
         if cycle not in chosen or rank < chosen[cycle][0]:
             chosen[cycle] = (rank, charge)
     order = sorted(chosen)
@@ -83,25 +69,43 @@ def _candidate(charges: list[tuple], seed: tuple, cadence: Cadence) -> tuple | N
     purity, continuity = len(order) / len(charges), direct / (len(order) - 1)
     if (len(order) < 3 or continuity < LEAST_CONTINUITY) and purity < LEAST_PURITY:
         return None
-    fit = sum(1 - chosen[k][0][0] / (cadence.tolerance + 1) for k in order)
+    fit = sum(1 - chosen[k][0][0] / (tolerance + 1) for k in order)
     return fit + CONTINUITY_WEIGHT * continuity, [chosen[k][1] for k in order], fit / len(order)
 
 
+def _phase(charge: tuple, cadence: Cadence) -> tuple:
+    if cadence.days:
+        return (charge[1] % cadence.days,)
+    if cadence.months > 1:
+        return charge[2] % 12, charge[3]
+    return ("end",) if charge[4] else (charge[3],)
+
+
 def decompose(charges: list[tuple]) -> list[tuple[str, float, list]]:
-    """(cadence, consistency, charge ids) of each history in (id, date, amount) rows; strict ties go to the first tried."""
-    left, found = sorted(charges, key=lambda c: (c[1], c[0])), []
+    """(cadence, consistency, charge ids) of each history in (id, date, amount) rows; strict ties go to the first tried.
+
+    A cadence is not tried where the charges that are left span too few of its cycles to beat the best score so far.
+    """
+    days, left, found = _Days(), [], []
+    for key, when, amount in sorted(charges, key=lambda c: (c[1], c[0])):
+        month, number = when.year * 12 + when.month - 1, when.toordinal() - _EPOCH.toordinal()
+        left.append((key, number, month, when.day, days.start(month + 1) - 1 == number, amount))
     while len(left) >= 2:
-        best = None
+        best, top = None, 0.0
         for cadence in CADENCES:
+            shortest = cadence.days or 28 * cadence.months
+            possible = (left[-1][1] - left[0][1] + 2 * cadence.tolerance) // shortest + 2
+            if best is not None and min(len(left), possible) + CONTINUITY_WEIGHT <= top:
+                continue
             seen = set()
             for seed in left:
-                phase = _phase(seed[1], cadence)
+                phase = _phase(seed, cadence)
                 if phase in seen:
                     continue
                 seen.add(phase)
-                got = _candidate(left, seed, cadence)
-                if got and (best is None or got[0] > best[0][0]):
-                    best = got, cadence.name
+                got = _candidate(left, seed, cadence, days)
+                if got and (best is None or got[0] > top):
+                    best, top = (got, cadence.name), got[0]
         if best is None:
             break
         (_, chosen, consistency), name = best
@@ -111,6 +115,18 @@ def decompose(charges: list[tuple]) -> list[tuple[str, float, list]]:
     return found
 
 
+def history_key(charges: DataFrame) -> DataFrame:
+    """Adds the bucket in which histories are looked for (REC-01): currency, account, descriptor, and the merchant or, where that is unsure, its raw name.
+
+    Reads currency, account, confidence, merchant, merchant_raw, memo, category and kind.
+    """
+    marked = flags(charges)
+    sure = (F.col("confidence") >= 0.9) | F.col("keyword")
+    name = F.when(sure, F.lower("merchant")).otherwise(F.lower("merchant_raw"))
+    key = F.concat_ws("|", F.coalesce(F.upper("currency"), F.lit("USD")), F.coalesce(F.col("account").cast("string"), F.lit("")), F.coalesce("descriptor", F.lit("")), name)
+    return charges.join(marked.select("id", key.alias("bucket")), "id")
+
+
 def billing_histories(charges: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by..., history, cadence, consistency, id) of every charge that is part of a history.
 
@@ -122,13 +138,16 @@ def billing_histories(charges: DataFrame, by: list[str]) -> DataFrame:
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["history int", "cadence string", "consistency double", f"id {kinds['id']}"])
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, (cadence, consistency, ids) in enumerate(decompose(list(zip(group["id"], group["date"], group["amount"])))):
-            out += [(*key, k, cadence, consistency, i) for i in ids]
-        return pd.DataFrame(out, columns=[*by, "history", "cadence", "consistency", "id"])
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        ids = group.column("id")
+        found = decompose(list(zip(range(len(ids)), group.column("date").to_pylist(), group.column("amount").to_pylist())))
+        at = pa.array([i for _, _, places in found for i in places], pa.int64())
+        each = [(k, cadence, consistency) for k, (cadence, consistency, places) in enumerate(found) for _ in places]
+        columns = [group.column(c).take(at) for c in by]
+        columns += [pa.array([r[i] for r in each], t) for i, t in enumerate((pa.int32(), pa.string(), pa.float64()))]
+        return pa.Table.from_arrays([*columns, ids.take(at)], names=[*by, "history", "cadence", "consistency", "id"])
 
-    return several.groupBy(*by).applyInPandas(run, schema)
+    return several.groupBy(*by).applyInArrow(run, schema)
 
 
 def amount_clusters(charges: DataFrame, by: str, absolute: float = 2.5, share: float = 0.12) -> DataFrame:

@@ -52,3 +52,48 @@ def lookup(facts: DataFrame, dimension: DataFrame, keys: list[str], defaults: di
     """Facts with the dimension's columns, or their defaults where it has no row (JN-10, JN-12)."""
     marked = dimension.select(*keys, *defaults)
     return facts.join(marked, keys, "left").select(*facts.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+#: How an incoming row was found, in the order that counts.
+WAYS = ("external", "pending", "reference", "pending_fuzzy", "duplicate")
+
+
+def find_identities(drafts: DataFrame, identities: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per draft the stored transaction that it is, and how it was found (JN-02, JN-03, JN-06, JN-07); null for new ones.
+
+    drafts and identities: source, account, external_id, pending_id, reference, fingerprint; drafts
+    also draft, date, amount, merchant; identities also status and id (of a stored transaction);
+    stored: id, source, account, date, amount, merchant. Manual drafts without external ids are
+    found by reference and fingerprint alone. Five joins on keys, ranked; no nested scan.
+    """
+    d = drafts.withColumn("account", F.coalesce("account", F.lit(""))).withColumn("_manual", (F.col("source") == "manualImport") & F.col("external_id").isNull() & F.col("pending_id").isNull())
+    i = identities.select("source", F.coalesce("account", F.lit("")).alias("account"), *[F.col(c).alias(f"i_{c}") for c in ("external_id", "pending_id", "reference", "fingerprint", "status")], "id")
+    same = ["source", "account"]
+    free = d.where("NOT _manual")
+    found = [
+        free.join(i, same).where("external_id = i_external_id"),
+        free.join(i.select(*same, "id", F.explode(F.array_compact(F.array("i_external_id", "i_pending_id"))).alias("_key")), same).where("pending_id = _key"),
+        d.join(i, same).where("reference = i_reference AND fingerprint = i_fingerprint"),
+    ]
+    row = lambda df, k: df.select("draft", F.lit(k).alias("_way"), "id")
+    keyed = [row(df, k) for k, df in enumerate(found)]
+    left = free.select(F.col("draft").alias("id"), F.concat_ws("|", "source", "account").alias("account"), "date", "amount", "merchant", "external_id", "pending_id", "reference")
+    right = stored.select("id", F.concat_ws("|", "source", F.coalesce("account", F.lit(""))).alias("account"), "date", "amount", "merchant")
+    waiting = i.where("i_status = 'pending' OR i_pending_id IS NOT NULL").select("id").distinct()
+    fuzzy = lambda a, b: fuzzy_duplicates(a, b).select(F.col("left_id").alias("draft"), F.col("right_id").alias("id"))
+    replaced = fuzzy(left.where("external_id IS NOT NULL"), right.join(waiting, "id", "left_semi"))
+    doubled = fuzzy(left.where("reference IS NULL AND (external_id IS NOT NULL OR pending_id IS NOT NULL)"), right)
+    every = [*keyed, row(replaced, 3), row(doubled, 4)]
+    union = every[0]
+    for df in every[1:]:
+        union = union.unionByName(df)
+    best = union.groupBy("draft").agg(F.min(F.struct("_way", "id")).alias("m"))
+    way = F.get(F.array(*[F.lit(w) for w in WAYS]), F.col("m._way"))
+    return drafts.select("draft").join(best, "draft", "left").select("draft", F.col("m.id").alias("id"), way.alias("way"))
+
+
+def changed_fields(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Rows (key, changed): the fields, in order, that an incoming row with a value would change (JN-08)."""
+    new = incoming.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    changed = F.array_compact(F.array(*[F.when(F.col(f"_{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]))
+    return stored.join(new, key).select(key, changed.alias("changed"))

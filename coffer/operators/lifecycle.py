@@ -73,6 +73,7 @@ def match_occurrences(expected: DataFrame, charges: DataFrame) -> DataFrame:
     expected: account, cycle, opens, closes (windows of an account do not
     overlap, so no charge is matched twice); charges: account, id, date, amount.
     """
-    inside = (expected["account"] == charges["account"]) & charges["date"].between(expected["opens"], expected["closes"])
-    found = expected.join(charges, inside).groupBy(expected["account"], expected["cycle"]).agg(F.min(F.struct(charges["date"], charges["id"], charges["amount"])).alias("m"))
-    return expected.join(found.select("account", "cycle", "m"), ["account", "cycle"], "left").select(*expected.columns, F.col("m.id").alias("id"), F.col("m.date").alias("date"), F.col("m.amount").alias("amount"))
+    came = charges.select(F.col("account").alias("m_account"), F.struct("date", "id", "amount").alias("m"), F.col("date").alias("m_date"))
+    inside = (F.col("account") == F.col("m_account")) & F.col("m_date").between(F.col("opens"), F.col("closes"))
+    found = expected.select("account", "cycle", "opens", "closes").join(came, inside).groupBy("account", "cycle").agg(F.min("m").alias("m"))
+    return expected.join(found, ["account", "cycle"], "left").select(*expected.columns, F.col("m.id").alias("id"), F.col("m.date").alias("date"), F.col("m.amount").alias("amount"))

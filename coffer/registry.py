@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection_oracle, detection_queries, oracle, queries  # noqa: F401  (the queries register themselves)
+from . import detection_oracle, detection_queries, engine_oracle, engine_queries, oracle, queries  # noqa: F401  (the queries register themselves)
 
 QUERIES = queries.QUERIES
-ORACLE_SQL: dict[str, str] = {**oracle.SQL, **detection_oracle.SQL}
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **detection_oracle.SQL, **engine_oracle.SQL}
