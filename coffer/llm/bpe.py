@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents
+from .common import column, documents, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf of the text's tree, and bytes of a leaf of a piece's.
@@ -40,7 +40,7 @@ LEAF_BYTES = 6
 #: Characters past its end that a match of the pattern looks at.
 AHEAD = 2
 #: Pieces, leaves and pairs of tokens that a worker remembers; beyond that it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NONE = 1 << 60
 #: Rows that are encoded before they go back to Spark.
 ROWS = 512
@@ -200,9 +200,10 @@ def _mapped(df: DataFrame, kept: list[str], source: str, schema: list[tuple[str,
     """Adds columns computed from column ``source``, a few hundred rows at a time."""
     fields = [f"`{c}` {t}" for c, t in df.select(*[column(df, c) for c in kept]).dtypes]
     fields += [f"`{n}` {t}" for n, t, _ in schema]
+    place = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 rows = compute(part.column(part.schema.names.index(source)))

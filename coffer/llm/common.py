@@ -96,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # what the batches took goes back before the next task
 
 
 def dropped(df: DataFrame) -> None:

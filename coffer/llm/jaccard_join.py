@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, written
+from .common import column, documents, slices, written
 from .components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -70,6 +70,10 @@ def repetitions(recall: float = RECALL, depth: int = DEPTH) -> int:
 _PERMUTATIONS = _mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+#: Words whose hashes a worker remembers; beyond that it forgets them all.
+REMEMBERED = 100_000
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes; a worker remembers the hashes of words."""
 
@@ -82,7 +86,7 @@ class Shingler:
         words, known = WORD.findall(text or ""), self.known
         if not words:
             return np.zeros(0, _U)
-        if len(known) > 400_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in words:
             if w not in known:
@@ -138,7 +142,7 @@ def _shingler(size: int) -> Shingler:
 def _describe(size: int, runs: int, depth: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _shingler(size)
-        for batch in batches:
+        for batch in slices(batches, 2):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = []

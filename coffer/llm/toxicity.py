@@ -38,7 +38,7 @@ from .labels import SAMPLE_ROWS, training_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Words of a window, and how many of them the next window does not share.
-WORDS, STRIDE = 3, 2
+WORDS, STRIDE = 5, 4
 LEVEL, MIN_MATCH, TABLE_LOG = 12, 3, 14
 #: Bytes of the base, of what each round trains on top of it, and of the header.
 BASE_BYTES, OWN_BYTES, HEADER_BYTES = 48_000, 4_000, 64
