@@ -51,6 +51,8 @@ ROUNDS, BELOW = (5, 4), (0.995, 0.95)
 #: A document is unexplained while no window of it gains so many bytes.
 EXPLAINED = 7
 REJECT_FROM = 0.3
+#: Bytes of text whose windows are compressed at once.
+SCORED_BYTES = 1 << 20
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -102,17 +104,26 @@ class Scorer:
         self.by = by
         self.pairs = [tuple(_compressor(d).compress for d in pair) for pair in by.pairs]
 
-    def features(self, text: str | None) -> list[float]:
-        own = [self.by.header + w for w in windows(text)]
-        out = [float(np.log1p(len(own)))]
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        """Of each text. One dictionary is used on all windows before the next, so that it stays at hand."""
+        own = [windows(t) for t in texts]
+        flat = [self.by.header + w for ws in own for w in ws]
+        gains = []
         for ordinary, toxic in self.pairs:
-            out += numbers(np.array([len(ordinary(w)) - len(toxic(w)) for w in own], np.int64))
+            plain = np.fromiter(map(len, map(ordinary, flat)), np.int64, len(flat))
+            gains.append(plain - np.fromiter(map(len, map(toxic, flat)), np.int64, len(flat)))
+        out, at = [], 0
+        for ws in own:
+            to = at + len(ws)
+            out.append([float(np.log1p(len(ws))), *(x for g in gains for x in numbers(g[at:to]))])
+            at = to
         return out
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         by = self.by
-        odds = by.intercept + sum(w * (x - m) / s for x, m, s, w in zip(self.features(text), by.means, by.scales, by.weights))
-        return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, odds)))))
+        z = (np.array(self.features(texts)).reshape(len(texts), len(by.means)) - by.means) / by.scales
+        odds = np.clip((z * np.array(by.weights)).sum(1) + by.intercept, -30.0, 30.0)
+        return (1 / (1 + np.exp(-odds))).tolist()
 
 
 def trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -180,8 +191,8 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features_of(by: Distance):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(by)
-        for batch in slices(batches, 1):
-            rows = [scorer.features(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, 1, SCORED_BYTES):
+            rows = scorer.features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["label", "features"])
 
     return run
@@ -246,8 +257,8 @@ def classify(df: DataFrame, model: Distance, text_col: str = "text", reject_from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
-        for batch in slices(batches, names.index(text_col)):
-            scores = [scorer.score(t.as_py()) for t in batch.column(names.index(text_col))]
+        for batch in slices(batches, names.index(text_col), SCORED_BYTES):
+            scores = scorer.scores(batch.column(names.index(text_col)).to_pylist())
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= reject_from) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
 

@@ -234,7 +234,7 @@ General Public License, version 3."""
 
 def test_licences_are_calibrated_on_held_windows(spark):
     """A window that looks like a notice, but that no template confirms and the fit did not see, raises the least probability."""
-    odd = spark.createDataFrame([(i, f"The Mozilla Public License was w{i}") for i in range(30)], "doc_id int, text string")
+    odd = spark.createDataFrame([(i, f"Licensed under the Apache License w{i}") for i in range(30)], "doc_id int, text string")
     held = F.pmod(F.xxhash64(license_scan.windows(F.col("text"))[0]), F.lit(3)) == 0
     assert license_scan.learn(odd.where(held).limit(1)).least > license_scan.learn(odd.where("false")).least == license_scan.LEAST_PROBABILITY
 
