@@ -12,8 +12,8 @@ dictionaries are trained in rounds, each on the windows of its own class that th
 other one of the round before does better on than it should: the toxic one on the
 windows with gains that ordinary windows hardly reach, the ordinary one on those of
 its windows that had a gain. What the first pair leaves unexplained, the documents
-without any high gain, trains a second pair on top of the first. Equal windows count
-once, so copies of a document carry no weight.
+without any high gain, trains a second pair on top of the first; its ordinary dictionary
+serves both toxic ones. Equal windows count once, so copies of a document carry no weight.
 
 The threshold is calibrated: a document's gains give a few numbers whose logistic
 weights come from labelled documents that no dictionary was trained on.
@@ -102,16 +102,14 @@ class Scorer:
 
     def __init__(self, by: Distance):
         self.by = by
-        self.pairs = [tuple(_compressor(d).compress for d in pair) for pair in by.pairs]
+        self.by_content = {d: _compressor(d).compress for pair in by.pairs for d in pair}
 
     def features(self, texts: list[str | None]) -> list[list[float]]:
         """Of each text. One dictionary is used on all windows before the next, so that it stays at hand."""
         own = [windows(t) for t in texts]
         flat = [self.by.header + w for ws in own for w in ws]
-        gains = []
-        for ordinary, toxic in self.pairs:
-            plain = np.fromiter(map(len, map(ordinary, flat)), np.int64, len(flat))
-            gains.append(plain - np.fromiter(map(len, map(toxic, flat)), np.int64, len(flat)))
+        lengths = {d: np.fromiter(map(len, map(compress, flat)), np.int64, len(flat)) for d, compress in self.by_content.items()}
+        gains = [lengths[ordinary] - lengths[toxic] for ordinary, toxic in self.by.pairs]
         out, at = [], 0
         for ws in own:
             to = at + len(ws)
@@ -174,7 +172,8 @@ def dictionaries(ordinary: list[bytes], toxic: list[tuple[bytes, int]]) -> Dista
         most[doc] = max(most[doc], gain)
     left = [w for w, doc in toxic if most[doc] < EXPLAINED]
     second = _refined(left, ordinary, first, base, ROUNDS[1], BELOW[1], False)
-    return Distance((pair, (second[0] + base, second[1] + base)), header)
+    known = second[0] + base  # what both toxic dictionaries are compared with: it holds the first ordinary one
+    return Distance(((known, pair[1]), (known, second[1] + base)), header)
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +252,7 @@ def classify(df: DataFrame, model: Distance, text_col: str = "text", reject_from
     df = df.drop("score", "predicted")
     names = df.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + ["`score` double", "`predicted` int"])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # four dictionaries of under 64 KB
+    shared = df.sparkSession.sparkContext.broadcast(model)  # three dictionaries of under 64 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
