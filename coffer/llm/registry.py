@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, jaccard_join, license_scan, packing, quality_rules, rule_ensemble, simhash, suffix_dedup, topk, toxicity
+from . import alignment, bpe, class_lm, jaccard_join, license_scan, packing, quality_rules, rule_ensemble, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": rule_ensemble.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_class_lm": class_lm.op10_class_lm,
     "op11_simhash": simhash.op11_simhash,
+    "op12_token_alignment": alignment.op12_token_alignment,
 }
 
 ORACLE_SQL = {
