@@ -104,8 +104,6 @@ class Aligner:
         return self._grouped((" " + text).encode(), self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1))
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         # After a line feed a word has no space before it, which the second tokenizer would add: it is encoded behind a line feed.
         asked = [p[1:] if p[0] == " " else p if p == "\n" else "\n" + p for p in pieces]
         for p, b in zip(pieces, self.b.encode(asked, num_threads=1)):
@@ -118,18 +116,19 @@ class Aligner:
 
     def described(self, texts: list[str | None]) -> list[list | None]:
         """Of each text what ``describe`` made of its pieces, in order; None for a text without tokens."""
-        cut, new = [], set()
+        cut, needed = [], set()
         for t in texts:
             pieces = None
             if t and self.cuts and not _WHOLE.search(" " + t):
                 pieces = _PIECE.findall(" " + t)
-                new.update(p for p in pieces if p not in self.known)
+                needed.update(pieces)
             cut.append(pieces)
+        new = needed - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = needed
         if new:
-            before = len(self.known)
             self._learn(sorted(new))
-            if before and len(self.known) <= len(new):  # all was forgotten: learn again what these texts need
-                self._learn(sorted({p for pieces in cut if pieces for p in pieces if p not in self.known}))
         out: list[list | None] = []
         for t, pieces in zip(texts, cut):
             if not t:
