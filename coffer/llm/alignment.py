@@ -4,11 +4,6 @@ Every byte of a text gets a label: no token ends with it, one of the first token
 one of the second (B), or one of both. A regular expression scans the labels
 for spans up to each both-label; a span's labels count the tokens of
 either side that make a group.
-
-A space or line feed between two other characters starts a token in both tokenizers,
-and no merge goes across it. So texts without longer runs of white space are cut there, each piece
-is labelled and scanned apart, and a worker remembers the pieces; other texts are
-labelled and scanned whole.
 """
 
 from __future__ import annotations
@@ -19,7 +14,6 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,139 +26,100 @@ from pyspark.sql import functions as F
 from .common import column, documents, slices, written
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Labels of a byte.
-NONE, A_END, B_END, BOTH = b"nabc"
-_SPAN = re.compile(rb"[^c]*c")
-#: White space that keeps a text whole: anything but single spaces and line feeds, or a space at the end.
-_WHOLE = re.compile(r"[^\S \n]|\s\s| \Z")
-_PIECE = re.compile(r" ?[^ \n]+|\n")
-#: Pieces that a worker remembers; beyond that it forgets them all.
-REMEMBERED = 150_000
-#: Texts whose unknown pieces are encoded in one call.
-AT_ONCE = 256
-
+#: Labels of a byte; one of both tokenizers has the bits of either.
+NONE, A_END, B_END, BOTH = range(4)
+_SPAN = re.compile(rb"[^\x03]*\x03")
+#: Bytes that no token ends with count for nothing, so they go before the scan.
+_NO_END = bytes([NONE])
+#: Bytes of text that are encoded and labelled at once.
+AT_ONCE = 1 << 18
 
-@dataclass
-class Group:
-    """Tokens of either side that cover the same bytes [start, end) of the space and the text."""
 
-    start: int
-    end: int
-    a: list[int]
-    b: list[int]
+class _Shapes(dict):
+    """Tokens of either side in a span, from its labels (a times 2**32, plus b); short spans are remembered."""
 
+    def __missing__(self, span: bytes) -> int:
+        n = (span.count(A_END) + 1) << 32 | (span.count(B_END) + 1)
+        if len(span) <= 12:
+            self[span] = n
+        return n
 
-def labels(a_lengths: list[int], b_lengths: list[int]) -> bytes:
-    """The label of each byte, from the lengths of the tokens of either side; both cover as many bytes."""
-    out = bytearray(b"n" * sum(a_lengths))
-    for end in accumulate(a_lengths):
-        out[end - 1] = A_END
-    for end in accumulate(b_lengths):
-        out[end - 1] = BOTH if out[end - 1] == A_END else B_END
-    return bytes(out)
 
+@dataclass
+class Groups:
+    """The token groups of a text: tokens of either side in order, how many of them each group has, and where it ends."""
 
-def groups(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> list[Group]:
-    """The token groups that a scan of the labels finds."""
-    out, i, j = [], 0, 0
-    for span in _SPAN.finditer(labels(a_lengths, b_lengths)):
-        marks = span.group()
-        n_a, n_b = marks.count(b"a") + 1, marks.count(b"b") + 1
-        out.append(Group(span.start(), span.end(), a[i : i + n_a], b[j : j + n_b]))
-        i, j = i + n_a, j + n_b
-    return out
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    ends: np.ndarray
 
 
 class Aligner:
-    """Encodes by both tokenizers; ``describe`` makes of the groups of a piece what is remembered of it."""
+    """Encodes by both tokenizers and aligns their tokens."""
 
-    def __init__(self, folder: Callable[[str], str], describe: Callable[[list[Group]], object]):
+    def __init__(self, folder: Callable[[str], str]):
         with open(folder(RANKS), "rb") as f:
             ranks = {base64.b64decode(x): int(r) for x, r in map(bytes.split, f)}
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_length = {i: len(x) for x, i in ranks.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=folder(PIECES))
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        n_a, n_b = max(ranks.values()) + 1, self.b.get_piece_size()
         byte = {self.b.piece_to_id(f"<0x{x:02X}>"): bytes([x]) for x in range(256)}
-        self.b_bytes = [byte.get(i, n.replace("▁", " ").encode()) for i, n in enumerate(names)]
-        # A piece may be cut off before a space or at a line feed only if no entry of the vocabulary goes across it.
-        self.cuts = not any("▁" in n.lstrip("▁") or "\n" in n for n in names)
-        self.feed = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
-        if max(len(names), self.a.n_vocab) > 1 << 16:
+        self.b_bytes = [byte.get(i, self.b.id_to_piece(i).replace("\u2581", " ").encode()) for i in range(n_b)]
+        self.a_length = np.zeros(n_a, np.int64)
+        self.a_length[list(ranks.values())] = [len(x) for x in ranks]
+        self.b_length = np.array([len(x) for x in self.b_bytes])
+        if max(n_a, n_b) > 1 << 16:
             raise ValueError("pairs of ids are kept in four bytes: at most 65,536 ids each")
-        self.describe, self.known = describe, {}
-
-    def _grouped(self, raw: bytes, a: list[int], b: list[int]) -> list[Group] | None:
-        """None if the second tokenizer's bytes are not the text's."""
-        if b"".join(self.b_bytes[i] for i in b) != raw:
+        #: Each id as text: followed by another of its side, and at the end of its side.
+        self.a_text, self.b_text = (np.array([[f"{i}," for i in range(n)], [f"{i}{end}" for i in range(n)]], object) for n, end in ((n_a, "|"), (n_b, ";")))
+        self.shapes = _Shapes()
+
+    def groups(self, texts: list[str | None]) -> list[Groups | None]:
+        """Per text its groups; None for null and empty texts and where the second tokenizer's bytes are not the text's."""
+        asked = [t for t in texts if t]
+        found = iter([self._aligned(" " + t, b) for t, b in zip(asked, self.b.encode(asked, num_threads=1) if asked else [])])
+        return [next(found) if t else None for t in texts]
+
+    def _aligned(self, text: str, b: list[int]) -> Groups | None:
+        if b"".join(map(self.b_bytes.__getitem__, b)) != text.encode():
             return None
-        return groups(a, b, [self.a_length[i] for i in a], [len(self.b_bytes[i]) for i in b])
-
-    def whole(self, text: str) -> list[Group] | None:
-        return self._grouped((" " + text).encode(), self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1))
-
-    def _learn(self, pieces: list[str]) -> None:
-        # After a line feed a word has no space before it, which the second tokenizer would add: it is encoded behind a line feed.
-        asked = [p[1:] if p[0] == " " else p if p == "\n" else "\n" + p for p in pieces]
-        for p, b in zip(pieces, self.b.encode(asked, num_threads=1)):
-            if p[0] != " ":
-                skip = 1 if p == "\n" else 2
-                assert b[:skip] == self.feed[:skip]
-                b = b[skip:]
-            found = self._grouped(p.encode(), self.a.encode_ordinary(p), b)
-            self.known[p] = None if found is None else self.describe(found)
-
-    def described(self, texts: list[str | None]) -> list[list | None]:
-        """Of each text what ``describe`` made of its pieces, in order; None for a text without tokens."""
-        cut, needed = [], set()
-        for t in texts:
-            pieces = None
-            if t and self.cuts and not _WHOLE.search(" " + t):
-                pieces = _PIECE.findall(" " + t)
-                needed.update(pieces)
-            cut.append(pieces)
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = needed
-        if new:
-            self._learn(sorted(new))
-        out: list[list | None] = []
-        for t, pieces in zip(texts, cut):
-            if not t:
-                out.append(None)
-            elif pieces is not None:
-                found = list(map(self.known.__getitem__, pieces))
-                out.append(None if None in found else found)
-            else:
-                whole = self.whole(t)
-                out.append(None if whole is None else [self.describe(whole)])
-        return out
-
-
-def _digest(found: list[Group]) -> tuple[int, int, int, str, bytes]:
-    """Tokens of either side, groups, the groups as text, and the pairs of ids that end together."""
-    text = ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in found)
-    pairs = np.array([g.a[-1] << 16 | g.b[-1] for g in found], "<u4").tobytes()
-    return sum(len(g.a) for g in found), sum(len(g.b) for g in found), len(found), text, pairs
-
-
-def _spans(found: list[Group]) -> list[Group]:
-    return found
+        a, b = self.a.encode_to_numpy(text, disallowed_special=()), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        labels = np.zeros(int(a_ends[-1]), np.uint8)
+        labels[a_ends - 1] = A_END
+        labels[b_ends - 1] |= B_END
+        spans = _SPAN.findall(labels.tobytes().translate(None, _NO_END))
+        shapes = np.fromiter(map(self.shapes.__getitem__, spans), np.int64, len(spans))
+        return Groups(a, b, shapes >> 32, shapes & 0xFFFFFFFF, np.flatnonzero(labels == BOTH) + 1)
+
+    def as_text(self, g: Groups) -> str:
+        """The groups as `a1,a2|b1;a3|b2,b3`."""
+        a_to, b_to = np.cumsum(g.n_a), np.cumsum(g.n_b)
+        parts = np.empty(len(g.a) + len(g.b), object)
+        last = np.zeros(len(g.a), np.int64)
+        last[a_to - 1] = 1
+        parts[np.arange(len(g.a)) + np.repeat(b_to - g.n_b, g.n_a)] = self.a_text[last, g.a]
+        last = np.zeros(len(g.b), np.int64)
+        last[b_to - 1] = 1
+        parts[np.arange(len(g.b)) + np.repeat(a_to, g.n_b)] = self.b_text[last, g.b]
+        return "".join(parts.tolist())[:-1]
 
 
 @lru_cache(maxsize=2)
-def _aligner(folder: Callable[[str], str], describe: Callable[[list[Group]], object]) -> Aligner:
-    return Aligner(folder, describe)
+def _aligner(folder: Callable[[str], str]) -> Aligner:
+    return Aligner(folder)
 
 
-_GROUPS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+def _grouped(folder: Callable[[str], str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[Groups | None]]]:
+    by = _aligner(folder)
+    for part in slices(batches, 1, AT_ONCE):
+        yield part.column(0), by.groups(part.column(1).to_pylist())
 
 
-def _texts(part: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    for lo in range(0, part.num_rows, AT_ONCE):
-        some = part.slice(lo, AT_ONCE)
-        yield some.column(0), some.column(1).to_pylist()
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int32()))
 
 
 def align(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", folder: Callable[[str], str] = public_tokenizers.path) -> DataFrame:
@@ -177,17 +132,14 @@ def align(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", folder:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _aligner(folder, _spans)
-        for batch in slices(batches, 1):
-            for ids, texts in _texts(batch):
-                rows = []
-                for found in by.described(texts):
-                    at, row = 0, []
-                    for piece in found or []:
-                        row += [{"start": g.start + at, "end": g.end + at, "a": g.a, "b": g.b} for g in piece]
-                        at += piece[-1].end
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, _GROUPS)], names=["doc_id", "groups"])
+        none = np.zeros(0, np.int64)
+        for ids, texts in _grouped(folder, batches):
+            found = [Groups(none, none, none, none, none) if g is None else g for g in texts]
+            ends, starts = (np.concatenate([x(g.ends) for g in found]) for x in (lambda e: e, lambda e: np.concatenate(([0], e[:-1]))[: len(e)]))
+            sides = [_lists(np.concatenate([v(g) for g in found]), np.concatenate([n(g) for g in found])) for v, n in ((lambda g: g.a, lambda g: g.n_a), (lambda g: g.b, lambda g: g.n_b))]
+            rows = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), *sides], ["start", "end", "a", "b"])
+            offsets = np.concatenate(([0], np.cumsum([len(g.ends) for g in found])))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], names=["doc_id", "groups"])
 
     rows = df.select(column(df, id_col).cast("long").alias("doc_id"), column(df, text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, groups array<struct<start: bigint, end: bigint, a: array<int>, b: array<int>>>")
@@ -195,19 +147,18 @@ def align(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", folder:
 
 def _digests(folder: Callable[[str], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _aligner(folder, _digest)
-        for batch in slices(batches, 1):
-            for ids, texts in _texts(batch):
-                rows = []
-                for found in by.described(texts):
-                    if found is None:
-                        rows.append((0, 0, 0, "", b""))
-                        continue
-                    n_a, n_b, n, text, pairs = zip(*found)
-                    rows.append((sum(n_a), sum(n_b), sum(n), hashlib.sha256(";".join(text).encode()).hexdigest(), b"".join(pairs)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs"])
+        for ids, texts in _grouped(folder, batches):
+            rows = []
+            for g in texts:
+                if g is None:
+                    rows.append((0, 0, 0, "", b""))
+                    continue
+                pairs = (g.a[np.cumsum(g.n_a) - 1].astype("<u4") << 16) | g.b[np.cumsum(g.n_b) - 1].astype("<u4")
+                digest = hashlib.sha256(_aligner(folder).as_text(g).encode()).hexdigest()
+                rows.append((len(g.a), len(g.b), len(g.ends), digest, pairs.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs"])
 
     return run
 
@@ -223,8 +174,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = 0
 
     def folded() -> tuple[np.ndarray, np.ndarray]:
-        new, at = np.unique(np.concatenate([codes, *held]), return_inverse=True)
-        return new, np.bincount(at, np.concatenate([n, np.ones(waiting, np.int64)]), len(new)).astype(np.int64)
+        new, own = np.unique(np.concatenate([codes[:0], *held]), return_counts=True)
+        both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([n, own]), len(both)).astype(np.int64)
 
     for batch in batches:
         for x in batch.column(0):

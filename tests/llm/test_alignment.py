@@ -80,7 +80,7 @@ def test_documents_by_the_libraries(spark):
     assert _rows(alignment.op12_token_alignment(spark, SMALL)) == _summary([d.doc_id for d in docs], _plain([d.text for d in docs]))
 
 
-def test_tricky_texts(spark, monkeypatch):
+def test_tricky_texts(spark):
     rng = random.Random(3)
     mixed = [t for t in TRICKY if t and len(t) < 100]
     texts = TRICKY + ["".join(rng.choice(mixed) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(1, 9))) for _ in range(300)] + ["same text"] * 3
@@ -94,13 +94,3 @@ def test_tricky_texts(spark, monkeypatch):
     starts = [[g.start for g in r.groups] == [0, *[g.end for g in r.groups]][: len(r.groups)] for r in alignment.align(frame).collect()]
     assert all(starts)
     assert alignment.alignment_counts(frame.limit(0)).collect() == [] == alignment.align(frame.limit(0)).collect()
-
-
-def test_a_worker_that_forgets(monkeypatch):
-    """The same pieces whatever a worker remembers."""
-    monkeypatch.setattr(alignment, "REMEMBERED", 7)
-    texts = [" ".join(f"w{(i * k) % 13}" for k in range(5)) for i in range(40)]
-    by = alignment.Aligner(public_tokenizers.path, alignment._spans)
-    for at in range(0, 40, 4):
-        for text, found in zip(texts[at : at + 4], by.described(texts[at : at + 4])):
-            assert [(g.a, g.b) for piece in found for g in piece] == [(g.a, g.b) for g in by.whole(text)]
