@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, class_lm, jaccard_join, license_scan, packing, quality_rules, rule_ensemble, simhash, suffix_dedup, topk, toxicity
+from . import alignment, bpe, class_lm, jaccard_join, lexical, license_scan, packing, quality_rules, rule_ensemble, simhash, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": rule_ensemble.op1_quality_classifier,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_class_lm": class_lm.op10_class_lm,
     "op11_simhash": simhash.op11_simhash,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 
 ORACLE_SQL = {
     "op8_topk_search": topk.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
