@@ -68,6 +68,15 @@ ma AS (SELECT ch.id, rb.rule, negative, priority, a >= coalesce(low, a) AND a <=
 mb AS (SELECT id, rule, negative, priority, in_band FROM ma WHERE in_band OR (owns AND NOT negative AND exact)),
 cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY negative DESC, priority DESC, rule) AS r FROM mb) WHERE r = 1)"""
 
+_SPELT = "CASE WHEN cluster % 4 = 0 THEN 'Caf\u00e9 Zo\u00eb & Co. N' || cluster ELSE 'Merchant-' || cluster END"
+_SCOPED = f"""WITH {LEDGER}, sc AS (SELECT id, CAST(abs(amount) AS DOUBLE) AS a, {_SPELT} AS merchant, CASE id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'bank' END AS source, CASE WHEN id % 5 > 0 THEN 'i' || (id % 5) END AS import,
+  strip_accents(lower(upper({_SPELT}) || ' ' || {_SPELT} || ' ' || memo || ' ' || category)) AS txt FROM led),
+sr AS (SELECT c_custkey AS rule, c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 8 = 0 THEN 'cafe zoe co n' ELSE 'CAF\u00c9 ZO\u00cb & CO. N' END ELSE 'merchant ' END || c_custkey AS canonical FROM customer WHERE c_custkey % 10 < 3),
+sm AS (SELECT sc.*, sr.*, lower(merchant) = lower(canonical) AS exact, CASE WHEN k % 4 > 0 THEN contains(txt, 'merchant') AND contains(txt, CAST(k AS VARCHAR))
+  ELSE contains(txt, trim(regexp_replace(strip_accents(lower(canonical)), '[^a-z0-9]+', ' ', 'g'))) END AS told FROM sc, sr
+  WHERE (k % 6 > 0 OR source = 'file') AND (k % 9 > 0 OR import IN ('i1', 'i2')) AND NOT (k % 3 = 0 AND contains(txt, 'refund')))
+SELECT id, rule, k % 10 = 1 AS negative, k % 7 AS priority, TRUE AS in_band FROM sm WHERE told OR exact AND k % 4 = 0"""
+
 BANK = f"""{P}, bk AS (SELECT id, 'simpleFIN' AS source, 'a' || account AS account, CAST(ts AS DATE) AS date, CAST(floor(amount / 10) AS INTEGER) AS amount,
   'north side shop store ' || (CAST(merchant AS INTEGER) % 3) || CASE WHEN id % 2 = 0 THEN ' ltd' ELSE '' END AS merchant FROM p)"""
 _LOOKUP = f"""WITH {BANK},
@@ -128,6 +137,7 @@ SQL = {
     "jn_representative": f"WITH {LEDGER} SELECT merchant_raw, id FROM (SELECT *, row_number() OVER (PARTITION BY merchant_raw ORDER BY len(memo) * 1000 + floor(abs(amount) / 1000) DESC, date, id) AS r FROM led) WHERE r = 1",
     "fn_token_hints": r"""SELECT p_partkey, array_to_string([w FOR w IN string_split_regex(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\p{L}\p{M}\p{N}]+') IF len(w) >= 3][1:3], ',') AS required,
   CASE WHEN p_partkey % 2 = 1 THEN round(p_retailprice - greatest(2.5, p_retailprice * 0.12), 4) END AS low, CASE WHEN p_partkey % 2 = 1 THEN round(p_retailprice + greatest(2.5, p_retailprice * 0.12), 4) END AS high FROM part""",
+    "jn_rule_scope": _SCOPED,
     "jn_rule_theta": f"WITH {RULES} SELECT id, rule, negative, priority, in_band FROM mb",
     "jn_rule_claims": f"WITH {RULES} SELECT id, rule, negative FROM cl",
     "jn_anti_suppressed": f"WITH {RULES} SELECT id FROM ch WHERE id NOT IN (SELECT id FROM cl WHERE negative)",

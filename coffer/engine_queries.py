@@ -74,6 +74,31 @@ def jn_rule_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.matches(_charges(spark, sf_dir), _rules(spark, sf_dir))
 
 
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Charges with marks and punctuation in their names, sources and imports, and rules by name or tokens in other spellings, some for a source or for imports."""
+    k, c = F.col("id"), F.col("cluster")
+    spelt = F.when(c % 4 == 0, F.concat(F.lit("Caf\u00e9 Zo\u00eb & Co. N"), c.cast("string"))).otherwise(F.concat(F.lit("Merchant-"), c.cast("string")))
+    charges = ledger(spark, sf_dir).select(
+        "id", F.lit("main").alias("account"), F.lit("USD").alias("currency"), "amount", F.upper(spelt).alias("merchant_raw"), spelt.alias("merchant"), "memo", "category",
+        F.when(k % 3 == 0, "file").when(k % 3 == 1, "bank").alias("source"), F.when(k % 5 > 0, F.concat(F.lit("i"), (k % 5).cast("string"))).alias("import"),
+    )
+    k = F.col("c_custkey")
+    text = lambda v: F.concat(F.lit(v), k.cast("string"))
+    r = table(spark, sf_dir, "customer").where(k % 10 < 3).select(
+        k.alias("rule"), F.when(k % 4 == 0, F.when(k % 8 == 0, text("cafe zoe co n")).otherwise(text("CAF\u00c9 ZO\u00cb & CO. N"))).otherwise(text("merchant ")).alias("canonical"),
+        (k % 20 == 0).alias("owns"), (k % 10 == 1).alias("negative"), (k % 7).alias("priority"), F.lit(None).cast("string").alias("account"), F.lit("").alias("currency"), F.array().cast("array<string>").alias("raw_merchants"),
+        F.when(k % 4 > 0, F.array(F.lit("MERCH\u00c4NT"), k.cast("string"))).otherwise(F.array().cast("array<string>")).alias("required"), F.when(k % 3 == 0, F.array(F.lit("r\u00e9fund"))).alias("excluded"),
+        F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.when(k % 6 == 0, "file").alias("source"), F.when(k % 9 == 0, F.array(F.lit("i1"), F.lit("i2"))).alias("scope"),
+    )
+    return charges, r
+
+
+@query
+def jn_rule_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-03, PRD-17: names in other spellings, sources and imports."""
+    return rules.matches(*_scoped(spark, sf_dir))
+
+
 @query
 def jn_rule_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-04."""

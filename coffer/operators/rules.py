@@ -2,8 +2,9 @@
 
 A rule holds rule, canonical, owns (it has a subscription), negative, priority,
 account and currency (or null), raw_merchants, required and excluded (arrays of
-tokens), low and high (or null). A charge holds id, account, currency, amount,
-merchant_raw, merchant, memo and category.
+tokens), low and high (or null); it may hold source (or null) and scope (an array of
+imports, or null for all). A charge holds id, account, currency, amount,
+merchant_raw, merchant, memo and category, and may hold source and import.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded, identity_token
+
 #: Least band around a price, and its share of the price.
 BAND, BAND_SHARE = 2.5, 0.12
 
@@ -28,36 +31,81 @@ def with_band(rules: DataFrame) -> DataFrame:
     return rules.withColumns({"required": token_hints(F.col("canonical")), "low": positive(price - room), "high": positive(price + room)})
 
 
+_TEXTS = ["merchant_raw", "merchant", "memo", "category"]
+#: Characters of the part of a token by which rules and texts meet.
+GRAM = 3
+
+
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct parts of a text with so many characters; of a shorter text itself."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def _by_text(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Texts with the rules all of whose needles they hold, each pair once.
+
+    A rule and a text meet by one part of a needle: of all of the rule's parts the one
+    that stands in the fewest texts. A word that every rule has is thus passed over for a rarer one.
+    Rules whose needles are all shorter than a part meet texts by their parts of that length.
+    """
+    r = rules.withColumn("_size", F.least(F.lit(GRAM), F.array_max(F.transform("needles", lambda t: F.length(t)))))
+    long_enough = F.filter("needles", lambda t: F.length(t) >= F.col("_size"))
+    parts = F.array_distinct(F.flatten(F.transform(long_enough, lambda t: F.when(F.col("_size") == GRAM, _grams(t)).when(F.col("_size") == 2, _grams(t, 2)).otherwise(_grams(t, 1)))))
+    asked = r.select("rule", "_size", F.explode(parts).alias("_part"))
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("c_text"), n) for n in range(1, GRAM + 1)])))
+    held = texts.select(*_TEXTS, "c_text", F.explode(F.when(F.lit(_shortest(r) < GRAM), every).otherwise(_grams(F.col("c_text")))).alias("_part"))
+    counts = held.join(asked.select("_part").distinct(), "_part", "left_semi").groupBy("_part").agg(F.count("*").alias("_n"))
+    rarest = asked.join(counts, "_part").groupBy("rule").agg(F.min(F.struct("_n", "_part"))["_part"].alias("_part"), F.count("*").alias("_found"))
+    whole = asked.groupBy("rule").agg(F.count("*").alias("_parts"))  # a part that no text holds: no text holds the needle
+    keyed = r.drop("_size").join(rarest, "rule").join(whole, "rule").where("_found = _parts").drop("_found", "_parts")
+    return held.join(keyed, "_part").where(F.forall("needles", lambda t: F.contains(F.col("c_text"), t))).drop("_part", "needles", "c_text")
+
+
+def _shortest(rules: DataFrame) -> int:
+    """The least length by which any rule meets texts."""
+    return rules.agg(F.min("_size")).first()[0] or GRAM
+
+
 def matches(charges: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (id, rule, negative, priority, in_band): every rule that takes a charge (RUL-03).
+    """Rows (id, rule, negative, priority, in_band): every rule that takes a charge (RUL-03, PRD-17).
 
-    Rules with a raw merchant meet charges by an equality on it. The others need all required
-    tokens, and those are parts of words of the text; they meet by the first three letters of the
-    first token, at any place of the text, or by the whole name where that is shorter. So no side is crossed with the other.
+    A rule takes a charge by its raw name, by its canonical name, or by parts of its text: all
+    required tokens, or, where the rule has none, the canonical name without punctuation. These
+    ways exclude each other, so no pair is found twice. Case and diacritics of tokens
+    don't count. Distinct texts are matched, not charges; scope, amount and the
+    rest are looked at afterwards. Null texts count as empty.
     """
-    text = F.lower(F.concat_ws(" ", F.coalesce("merchant_raw", F.lit("")), F.coalesce("merchant", F.lit("")), F.coalesce("memo", F.lit("")), F.coalesce("category", F.lit(""))))
-    texts = charges.select("id", "account", F.coalesce(F.upper("currency"), F.lit("USD")).alias("c_currency"), F.abs("amount").cast("double").alias("c_amount"), "merchant_raw", F.lower("merchant").alias("c_merchant"), text.alias("c_text"))
+    given = lambda df, name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+    none = F.array().cast("array<string>")
+    tokens = lambda name: F.filter(F.transform(F.coalesce(name, none), folded), lambda t: t != "")
     r = rules.select(
-        "rule", F.lower("canonical").alias("r_canonical"), "owns", "negative", "priority", F.nullif(F.col("account"), F.lit("")).alias("r_account"), F.upper(F.nullif(F.col("currency"), F.lit(""))).alias("r_currency"),
-        "raw_merchants", "required", "excluded", "low", "high",
+        "rule", F.lower("canonical").alias("r_canonical"), identity_token(F.col("canonical")).alias("_search"), "owns", "negative", "priority", F.nullif(F.col("account"), F.lit("")).alias("r_account"),
+        F.upper(F.nullif(F.col("currency"), F.lit(""))).alias("r_currency"), F.coalesce("raw_merchants", none).alias("raw_merchants"), tokens("required").alias("required"), tokens("excluded").alias("excluded"),
+        "low", "high", given(rules, "source", "string").alias("r_source"), given(rules, "scope", "array<string>").alias("scope"),
+    )
+    known = charges.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _TEXTS]).distinct()
+    texts = known.withColumn("c_text", folded(F.concat_ws(" ", *_TEXTS)))
+    names = [c for c in r.columns if c != "_search"]
+    by_raw = texts.join(r.withColumn("_raw", F.explode(F.array_distinct("raw_merchants"))), F.col("merchant_raw") == F.col("_raw"))
+    exact = F.lower("merchant") == F.col("r_canonical")
+    other = ~F.array_contains("raw_merchants", F.col("merchant_raw"))
+    by_name = texts.join(r, exact).where(other & F.forall("required", lambda t: F.contains(F.col("c_text"), t)))
+    needles = F.when(F.size("required") > 0, F.col("required")).when(F.length("_search") >= 3, F.array("_search"))
+    by_text = _by_text(texts, r.withColumn("needles", needles).where("needles IS NOT NULL")).where(other & ~exact)
+    found = by_raw.select(*_TEXTS, *names, folded(F.concat_ws(" ", *_TEXTS)).alias("c_text")).unionByName(by_name.select(*_TEXTS, *names, "c_text"))
+    found = found.unionByName(by_text.select(*_TEXTS, *names, folded(F.concat_ws(" ", *_TEXTS)).alias("c_text")))
+    found = found.where(~F.exists("excluded", lambda t: F.contains(F.col("c_text"), t))).drop("c_text", "required", "excluded", "raw_merchants")
+
+    c = charges.select(
+        "id", "account", F.coalesce(F.upper("currency"), F.lit("USD")).alias("c_currency"), F.abs("amount").cast("double").alias("c_amount"), *[F.coalesce(x, F.lit("")).alias(x) for x in _TEXTS],
+        given(charges, "source", "string").alias("c_source"), given(charges, "import", "string").alias("c_import"),
     )
-    # a token of three letters is in the text if its first three letters begin somewhere in it
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_text") - 2, F.lit(1))), lambda i: F.substring(F.col("c_text"), i, F.lit(3))))
-    by_raw = texts.join(r.withColumn("_raw", F.explode(F.array_distinct("raw_merchants"))), F.col("merchant_raw") == F.col("_raw")).withColumn("_by_raw", F.lit(True)).drop("_raw")
-    first = F.when(F.size("required") > 0, F.substring(F.get("required", F.lit(0)), 1, 3)).otherwise(F.substring("r_canonical", 1, 3))
-    wide = r.withColumn("_gram", first).where("length(_gram) = 3")
-    by_text = texts.withColumn("_g", F.explode(grams)).join(wide, F.col("_g") == F.col("_gram")).withColumn("_by_raw", F.lit(False)).drop("_g", "_gram")
-    by_name = texts.join(r.withColumn("_gram", first).where("length(_gram) < 3").drop("_gram"), F.col("c_merchant") == F.col("r_canonical")).withColumn("_by_raw", F.lit(False))
-    by_text = by_text.unionByName(by_name).where(~F.array_contains("raw_merchants", F.col("merchant_raw")))
-    exact = F.col("c_merchant") == F.col("r_canonical")
-    holds_all = F.forall("required", lambda t: F.contains(F.col("c_text"), t))
-    needs = F.size("required") > 0
-    identity = F.col("_by_raw") | ((~needs | holds_all) & (exact | ((F.length("r_canonical") >= 3) & F.contains("c_text", "r_canonical")) | (needs & holds_all)))
     in_band = (F.col("c_amount") >= F.coalesce("low", F.lit(float("-inf")))) & (F.col("c_amount") <= F.coalesce("high", F.lit(float("inf"))))
-    scope = (F.col("r_account").isNull() | (F.col("r_account") == F.col("account"))) & (F.col("r_currency").isNull() | (F.col("r_currency") == F.col("c_currency")))
-    clean = ~F.exists("excluded", lambda t: F.contains(F.col("c_text"), t))
-    both = by_raw.unionByName(by_text).withColumn("in_band", in_band)
-    return both.where(scope & clean & identity & (F.col("in_band") | (F.col("owns") & ~F.col("negative") & exact))).select("id", "rule", "negative", "priority", "in_band").distinct()
+    same = lambda rule, own: F.col(rule).isNull() | F.coalesce(F.col(rule) == F.col(own), F.lit(False))
+    scope = same("r_account", "account") & same("r_currency", "c_currency") & same("r_source", "c_source")
+    scope &= F.col("scope").isNull() | F.coalesce(F.array_contains("scope", F.col("c_import")), F.lit(False))
+    both = c.join(found, _TEXTS).withColumn("in_band", in_band)
+    return both.where(scope & (F.col("in_band") | (F.col("owns") & ~F.col("negative") & exact))).select("id", "rule", "negative", "priority", "in_band")
 
 
 def claims(found: DataFrame) -> DataFrame:
