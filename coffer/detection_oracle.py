@@ -123,7 +123,7 @@ _SINGLE_KIND = "CASE WHEN kind IN " + SVC + " THEN 1.0 WHEN kind = 'membershipRe
 
 SQL = {
     "prd_flags": f'WITH {FLAGS} SELECT memo, category, refund, movement, bill, noise, strong, keyword, appointment, "order", excluded, known, descriptor, count(*) AS n FROM fl GROUP BY ALL',
-    "prd_group_gate": f"WITH {FLAGS} SELECT cluster FROM fl GROUP BY cluster HAVING NOT bool_and(bill) OR bool_or(keyword)",
+    "prd_group_gate": f"WITH {FLAGS} SELECT cluster FROM fl GROUP BY cluster HAVING NOT bool_and(bill OR kind IN {NON}) OR bool_or(keyword)",
     "scr_snapshot": f"WITH {SNAPSHOT} SELECT cluster, n, kind, cadence, explicit, wording, n_movement, n_bill, n_noise, n_excluded, n_known, n_appointment, n_order, {_R} FROM sn",
     "scr_base_score": f"WITH {SNAPSHOT} SELECT cluster, round({_BASE}, 6) AS base, {_REJECT} AS rejected FROM sn",
     "scr_decision": f"WITH {_decisions('CASE WHEN cluster % 11 = 0 THEN 0.30 ELSE 0 END', False)} SELECT cluster, round(score, 6) AS score, sparse_auto, pair_auto, known_auto, variable, negative, auto_confirm, surface, status, disposition, recurring, reason FROM ee",

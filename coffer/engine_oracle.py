@@ -137,6 +137,12 @@ SQL = {
     "jn_representative": f"WITH {LEDGER} SELECT merchant_raw, id FROM (SELECT *, row_number() OVER (PARTITION BY merchant_raw ORDER BY len(memo) * 1000 + floor(abs(amount) / 1000) DESC, date, id) AS r FROM led) WHERE r = 1",
     "fn_token_hints": r"""SELECT p_partkey, array_to_string([w FOR w IN string_split_regex(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\p{L}\p{M}\p{N}]+') IF len(w) >= 3][1:3], ',') AS required,
   CASE WHEN p_partkey % 2 = 1 THEN round(p_retailprice - greatest(2.5, p_retailprice * 0.12), 4) END AS low, CASE WHEN p_partkey % 2 = 1 THEN round(p_retailprice + greatest(2.5, p_retailprice * 0.12), 4) END AS high FROM part""",
+    "rul_history_identity": """WITH RECURSIVE c AS (SELECT l_suppkey AS cluster, o_custkey AS owner, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+g AS (SELECT *, FALSE AS taken FROM c UNION ALL
+  SELECT cluster, owner, n, m FROM (SELECT *, bool_or(m) OVER (PARTITION BY cluster) AS by_cluster, bool_or(m) OVER (PARTITION BY owner) AS by_owner FROM
+    (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, cluster, owner) = 1 AND row_number() OVER (PARTITION BY owner ORDER BY n DESC, cluster, owner) = 1 AS m FROM g WHERE NOT taken))
+  WHERE m OR NOT (by_cluster OR by_owner))
+SELECT cluster, owner, n FROM g WHERE taken""",
     "jn_rule_scope": _SCOPED,
     "jn_rule_theta": f"WITH {RULES} SELECT id, rule, negative, priority, in_band FROM mb",
     "jn_rule_claims": f"WITH {RULES} SELECT id, rule, negative FROM cl",

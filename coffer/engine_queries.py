@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
-from .operators import aggregates, audit, classification, histories, identity, lifecycle, rules, schedules, scoring
+from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, rules, schedules, scoring
 from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
 
@@ -61,6 +61,25 @@ def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("id", F.lit("main").alias("account"), F.when(F.col("id") % 9 == 0, "EUR").when(F.col("id") % 9 < 5, "USD").alias("currency"), "amount", "merchant_raw", "merchant", "memo", "category")
 
 
+@query
+def rul_history_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-08: suppliers as new groups and customers as old ones, by the line items that they share."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    counts = lines.groupBy(F.col("l_suppkey").alias("cluster"), F.col("o_custkey").alias("owner")).agg(F.count("*").alias("n"))
+    return matching.largest_overlaps(counts, "cluster", "owner", [-F.col("n"), F.col("cluster")]).select("cluster", "owner", "n")
+
+
+@query
+def pip_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP-04: the passes over all orders, with rules, links of an earlier run and names that a user confirmed."""
+    charges = ledger(spark, sf_dir)
+    charges = charges.withColumns({"account": F.concat(F.lit("a"), (F.col("id") % 2).cast("string")), "currency": F.lit("USD")})
+    c = F.col("cluster")
+    previous = charges.where(c % 11 < 3).select("id", F.when(c % 11 == 0, F.concat(F.lit("Service "), (c + F.col("id") % 2).cast("string"))).otherwise(F.col("merchant")).alias("owner"))
+    confirmed = charges.where(c % 13 == 0).select(F.col("merchant").alias("canonical")).distinct()
+    return passes.run(charges, _rules(spark, sf_dir), previous, confirmed, REF)
+
+
 @query
 def fn_token_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-02."""

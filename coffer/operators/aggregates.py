@@ -151,12 +151,17 @@ def import_report(rows: DataFrame) -> DataFrame:
 RECOVERY_STOP_WORDS = ["subscription", "subscriptions", "membership", "member", "monthly", "annual", "plan", "charge", "payment", "inc", "llc", "corp", "co", "com"]
 
 
-def recovery_groups(charges: DataFrame) -> DataFrame:
-    """Groups (key, n) of two or more charges by a looser key, unless all of them only move money (REC-17)."""
+def recovery_keys(charges: DataFrame) -> DataFrame:
+    """Charges with the looser key of their group: two or more charges that do not all only move money (REC-17)."""
     marked = flags(charges)
     words = F.split(F.lower(F.concat_ws(" ", "merchant", "merchant_raw", "memo", "descriptor")), r"[^\p{L}\p{M}\p{N}]+")
     loose = F.array_join(F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(RECOVERY_STOP_WORDS)), 1, 2), " ")
     key = F.when(F.col("confidence") >= 0.75, F.lower("merchant")).otherwise(F.coalesce(F.nullif(loose, F.lit("")), F.lower("merchant")))
     free = marked.where(~F.col("kind").isin(NON_SUBSCRIPTION_KINDS) | F.col("keyword")).withColumn("key", key)
-    grouped = free.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("movement").alias("moved"), F.bool_or("strong").alias("worded"))
-    return grouped.where("n >= 2 AND (NOT moved OR worded)").select("key", "n")
+    grouped = free.groupBy("key").agg(F.count("*").alias("_n"), F.bool_and("movement").alias("_moved"), F.bool_or("strong").alias("_worded"))
+    return free.join(grouped.where("_n >= 2 AND (NOT _moved OR _worded)").select("key"), "key").select(*charges.columns, "key")
+
+
+def recovery_groups(charges: DataFrame) -> DataFrame:
+    """The looser groups (key, n) of charges (REC-17)."""
+    return recovery_keys(charges).groupBy("key").agg(F.count("*").alias("n"))

@@ -230,8 +230,9 @@ def _why_kept() -> Column:
 
 
 def analysable(charges: DataFrame) -> DataFrame:
-    """Clusters that are not bills through and through, or have an explicit keyword (PRD-14)."""
-    return flags(charges).groupBy("cluster").agg((~F.bool_and("bill") | F.bool_or("keyword")).alias("ok")).where("ok").select("cluster")
+    """Clusters that are not bills or of unlikely kinds through and through, or have an explicit keyword (PRD-14)."""
+    unlikely = F.col("bill") | F.coalesce(F.col("kind").isin(NON_SUBSCRIPTION_KINDS), F.lit(False))
+    return flags(charges).groupBy("cluster").agg((~F.bool_and(unlikely) | F.bool_or("keyword")).alias("ok")).where("ok").select("cluster")
 
 
 def single_cadence() -> Column:
