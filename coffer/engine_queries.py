@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
-from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, rules, schedules, scoring
+from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, replay, rules, schedules, scoring
 from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
 
@@ -69,6 +69,18 @@ def rul_history_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.largest_overlaps(counts, "cluster", "owner", [-F.col("n"), F.col("cluster")]).select("cluster", "owner", "n")
 
 
+@query
+def rul_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-07: positive rules over orders of which some have an owner, and some had one before."""
+    charges = ledger(spark, sf_dir).withColumns({"account": F.concat(F.lit("a"), (F.col("id") % 2).cast("string")), "currency": F.lit("USD")})
+    c, k = F.col("cluster"), F.col("id")
+    links = charges.where(k % 4 == 0).select("id", F.when(c % 3 == 0, F.concat(F.lit("Other "), c.cast("string"))).otherwise(F.col("merchant")).alias("canonical"))
+    previous = charges.where(k % 5 == 0).select("id", F.when(c % 2 == 0, F.col("merchant")).otherwise("Other 1").alias("owner"))
+    own = _rules(spark, sf_dir)
+    found = rules.matches(charges, own).where("NOT negative").select("id", "rule")
+    return replay.replay(found, own, charges, links, previous)
+
+
 @query
 def pip_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP-04: the passes over all orders, with rules, links of an earlier run and names that a user confirmed."""

@@ -19,6 +19,7 @@ from .aggregates import mode, recovery_keys
 from .clusters import candidate_clusters
 from .histories import history_key
 from .matching import largest_overlaps
+from .replay import replay
 from .rules import claims, matches
 from .scoring import analysable, decisions, single_charges, snapshots
 
@@ -66,29 +67,6 @@ def _seen(links: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, links).select("canonical").where("canonical IS NOT NULL").distinct()
 
 
-def _replayed(rest: DataFrame, found: DataFrame, rules: DataFrame, linked: DataFrame, charges: DataFrame, previous: DataFrame) -> DataFrame:
-    """Charges that a positive rule may take, by the first in order of priority and name (RUL-07).
-
-    Where the rule's name has an owner by now, a charge that had another owner stays, and one
-    without any goes there only if the owner is charged to the same account, is not a history
-    of its own, and no other owner of that merchant is charged there in that currency.
-    """
-    currency = F.coalesce(F.upper("currency"), F.lit("USD"))
-    c = rest.select("id", "account", currency.alias("cur")).join(previous, "id", "left")
-    owners = linked.where("canonical IS NOT NULL").join(charges.select("id", F.col("account").alias("o_account"), currency.alias("o_cur"), F.lower("merchant").alias("o_merchant")), "id")
-    accounts = owners.select(F.col("canonical").alias("a_name"), F.col("o_account").alias("a_account"), F.lit(True).alias("same_account")).distinct()
-    siblings = owners.where(F.lower("canonical") != F.col("o_merchant")).select(F.col("o_merchant").alias("s_name"), F.col("o_account").alias("s_account"), F.col("o_cur").alias("s_cur"), F.lit(True).alias("sibling")).distinct()
-    alive = owners.select(F.col("canonical").alias("l_name"), F.lit(True).alias("alive")).distinct()
-    asked = found.where("NOT negative").join(rules.select("rule", F.col("canonical").alias("name")), "rule").join(c, "id")
-    asked = asked.join(alive, F.col("name") == F.col("l_name"), "left")
-    asked = asked.join(accounts, (F.col("name") == F.col("a_name")) & F.col("account").eqNullSafe(F.col("a_account")), "left")
-    asked = asked.join(siblings, (F.lower("name") == F.col("s_name")) & F.col("account").eqNullSafe(F.col("s_account")) & (F.col("cur") == F.col("s_cur")), "left")
-    mine = F.coalesce(F.col("owner") == F.col("name"), F.lit(False))
-    free = F.col("same_account").isNotNull() & (mine | (F.col("owner").isNull() & F.col("sibling").isNull()))
-    may = F.col("alive").isNull() | F.when(F.contains("name", F.lit(":history:")), mine).otherwise(free)
-    return claims(asked.where(may).select("id", "rule", "negative", "priority", "name"))
-
-
 def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: DataFrame, ref: str) -> DataFrame:
     """One row per debit: id, pass, canonical, disposition, rule, score (PIP-04).
 
@@ -96,8 +74,7 @@ def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: Da
     ``previous`` (id, owner) holds the links of the run before; ``confirmed`` (canonical) what a user confirmed.
     The passes: negative rules (suppressed), histories by merchant (primary), looser
     groups for review only (fallback), positive rules (rule), and single recent charges
-    (recent). Other debits have the pass none. Rules that replay see the links of
-    the passes before, not each other's.
+    (recent). Other debits have the pass none.
     """
     debits = staged(charges.where("amount < 0").drop("cluster"))
     previous = previous.where("owner IS NOT NULL").select("id", F.col("owner").cast("string").alias("owner")).dropDuplicates(["id"])
@@ -122,7 +99,9 @@ def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: Da
     links.append(staged(_taken(_judged(named, members, confirmed, True), "fallback")))
 
     rest = staged(_left(debits, links))
-    replayed = _replayed(rest, found, rules, reduce(DataFrame.unionByName, links), debits, previous)
+    positive = found.where("NOT negative").join(rest.select("id"), "id", "left_semi")
+    owned = reduce(DataFrame.unionByName, links).where("canonical IS NOT NULL").select("id", "canonical")
+    replayed = replay(positive, rules, debits, owned, previous)
     links.append(staged(_links(replayed, "rule", canonical=F.col("name"), disposition=F.lit("detected"), rule=F.col("rule"))))
 
     rest = staged(_left(debits, links).withColumn("cluster", F.col("merchant")))

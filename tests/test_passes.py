@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coffer import registry
-from coffer.operators import clusters, matching, passes, rules
+from coffer.operators import clusters, matching, passes, replay, rules
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,6 +31,46 @@ def test_overlaps_by_a_greedy_loop(spark, seed):
     assert matching.largest_overlaps(frame.limit(0), "a", "b", [-F.col("n")]).collect() == []
 
 
+def _may(charge, name, links, charges, owner):
+    """The guards for one charge, by a look at all links."""
+    before = owner.get(charge["id"])
+    held = [charges[i] for i, n in links.items() if n == name]
+    if not held:
+        return True
+    if before not in (None, name):
+        return False
+    if replay.HISTORY in name:
+        return before == name
+    if all(x["account"] != charge["account"] for x in held):
+        return False
+    if before == name:
+        return True
+    return not any(n != name and charges[i]["merchant"].lower() == name.lower() and charges[i]["account"] == charge["account"] and (charges[i]["currency"] or "USD").upper() == (charge["currency"] or "USD").upper() for i, n in links.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replay_by_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    merchants = ["Alpha", "Beta", "Gamma", "Delta", "alpha"]
+    names = ["Alpha", "Beta", "Gamma", "Delta:history:3", "Epsilon"]
+    charges = [{"id": i, "account": rng.choice(["a", "b", None]), "currency": rng.choice(["USD", "usd", None, "EUR"]), "merchant": rng.choice(merchants)} for i in range(60)]
+    links = {i: rng.choice(names) for i in range(60) if rng.random() < 0.2}
+    owner = {i: rng.choice(names) for i in range(60) if rng.random() < 0.4}
+    told = [(r, rng.choice(names), rng.randrange(3)) for r in range(7)]
+    found = sorted({(rng.randrange(60), rng.randrange(7)) for _ in range(120)})
+    state, want, by_id = dict(links), [], {c["id"]: c for c in charges}
+    for rule, name, _ in sorted(told, key=lambda r: (-r[2], r[0])):
+        matched = [i for i, r in found if r == rule and i not in state and _may(by_id[i], name, state, by_id, owner)]
+        want += [(i, rule, name) for i in matched]
+        state |= {i: name for i in matched}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = replay.replay(
+        frame(found, "id int, rule int"), frame(told, "rule int, canonical string, priority int"), frame([tuple(c.values()) for c in charges], "id int, account string, currency string, merchant string"),
+        frame(list(links.items()), "id int, canonical string"), frame(list(owner.items()), "id int, owner string"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def _first_near(amounts, absolute, share):
     """Amounts in rising order to the first cluster whose mean is near."""
     found = []
