@@ -37,8 +37,8 @@ GRAM = 3
 
 
 def _grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct parts of a text with so many characters; of a shorter text itself."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+    """The distinct parts of a text with so many characters; a shorter text has none."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
 
 
 def _by_text(texts: DataFrame, rules: DataFrame) -> DataFrame:
