@@ -14,19 +14,6 @@ from ..functions.predicates import NON_SUBSCRIPTION_KINDS, flags
 TOTAL = "decimal(28,4)"
 
 
-def upper_median(values: Column) -> Column:
-    """sorted[n / 2] of an array without nulls; null if it is empty (AGG-09)."""
-    s = F.sort_array(values)
-    return F.when(F.size(s) > 0, F.get(s, F.floor(F.size(s) / 2).cast("int")))
-
-
-def top_quartile(values: Column) -> Column:
-    """sorted[min(n - 1, 3n / 4)] of an array (AGG-21)."""
-    s = F.sort_array(values)
-    at = F.least(F.size(s) - 1, F.floor(F.size(s) * 3 / 4)).cast("int")
-    return F.when(F.size(s) > 0, F.get(s, at))
-
-
 def spend_by_period(debits: DataFrame, period: str) -> DataFrame:
     """Rows (period start, spent) of the debits per calendar month or year (AGG-02, AGG-03)."""
     return (

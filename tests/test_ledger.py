@@ -125,7 +125,25 @@ def test_mode_takes_the_greatest_of_equals(spark):
 
 
 def test_entry_without_the_corpus_operators(spark):
-    import __spark_entry__
+    """A process of its own in which neither the package nor the pipeline can be imported still has every ledger query."""
+    import subprocess
+    import sys
+    from pathlib import Path
 
+    import __spark_entry__
+    from coffer import registry
+
+    hidden = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith(("coffer.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__
+print(len(__spark_entry__.queries()), len(__spark_entry__.oracle_sql()))
+"""
+    out = subprocess.run([sys.executable, "-c", hidden], cwd=Path(__spark_entry__.__file__).parent, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLE_SQL))]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["period", "spent"]
