@@ -126,4 +126,12 @@ SELECT account, cycle, expected, id, CASE WHEN id IS NOT NULL THEN CASE WHEN abs
     "src_ofx": """SELECT CAST(o_orderdate AS DATE) AS date, CAST(-CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS amount, 'bill ' || o_orderkey AS merchant_raw, CAST(o_custkey AS VARCHAR) AS account,
   'bill ' || o_orderkey AS memo, 'USD' AS currency, CAST(o_orderkey AS VARCHAR) AS external_id FROM orders""",
     "src_json": f"WITH {P} SELECT CAST(ts AS DATE) AS date, CAST(amount AS DECIMAL(18,4)) AS amount, coalesce(nullif(trim(merchant), ''), 'Unknown merchant') AS merchant_raw, CAST(account AS VARCHAR) AS account, CAST(id AS VARCHAR) AS external_id FROM p",
+    "src_decode": """SELECT p_partkey,
+        CASE p_partkey % 8 WHEN 1 THEN 'windows-1252' WHEN 2 THEN 'macOSRoman' WHEN 3 THEN 'windows-1252' WHEN 4 THEN 'UTF-16' WHEN 5 THEN 'UTF-16' WHEN 6 THEN 'UTF-16BE' ELSE 'UTF-8' END AS encoding,
+        p_partkey % 8 = 3 AS garbled,
+        CASE WHEN p_partkey % 8 = 7 THEN p_name ELSE 'date,note' || chr(10) || '2025-01-02,' || p_name || ' ' ||
+            CASE p_partkey % 8 WHEN 2 THEN 'è' WHEN 3 THEN 'Ã(' ELSE 'é€' END || chr(10) END AS text FROM part""",
+    "src_csv": """SELECT CAST(o_orderdate AS DATE) AS date, CAST(-CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS amount, 'Customer; "' || o_custkey || '"' AS merchant_raw, 'bill ' || o_orderkey AS memo FROM orders""",
+    "src_xlsx": """SELECT CAST(o_orderdate AS DATE) AS date, CAST(-CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS amount, 'Customer ' || o_custkey AS merchant_raw,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 'bill <' || o_orderkey || '>' END AS memo FROM orders""",
 }

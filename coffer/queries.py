@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import money, predicates, schedule, text
 from .operators import aggregates, histories, identity, lifecycle
 from .plans.views import billed, purchases, subscriptions, table, transactions
-from .sources import statements
+from .sources import decoding, statements, workbooks
 
 #: The date that stands for today in these queries.
 REF = "2001-09-01"
@@ -314,3 +315,52 @@ def src_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     account = F.struct(F.col("account").cast("string").alias("id"), F.lit("").alias("name"), F.array(transaction).alias("transactions"))
     texts = purchases(spark, sf_dir).select(F.to_json(F.struct(F.array(account).alias("accounts"))).alias("value"))
     return statements.json_transactions(texts).select("date", "amount", "merchant_raw", "account", "external_id")
+
+
+@query
+def src_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04..06: every part's name as a table in one of seven encodings, its encoding found again."""
+    k = F.col("p_partkey") % 8
+    plain = F.concat(F.lit("date,note\n2025-01-02,"), "p_name", F.lit(" "))
+    ends = {1: "E980", 2: "8F", 3: "C328"}  # single bytes: two letters of Windows, one that only the Mac has, and half a letter of UTF-8
+    content = F.when(k == 0, F.encode(F.concat(plain, F.lit("é€\n")), "UTF-8"))
+    for case, end in ends.items():
+        content = content.when(k == case, F.concat(F.encode(plain, "UTF-8"), F.unhex(F.lit(end + "0A"))))
+    for case, name in {4: "UTF-16", 5: "UTF-16LE", 6: "UTF-16BE"}.items():
+        content = content.when(k == case, F.encode(F.concat(plain, F.lit("é€\n")), name))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), content.otherwise(F.encode("p_name", "UTF-8")).alias("content"))
+    return decoding.decoded(files).select(F.col("path").cast("long").alias("p_partkey"), "encoding", "garbled", "text")
+
+
+@query
+def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-07, SRC-08, INF-03..10: every order as a file with quotes, mixed line ends and its own separators in texts, read again."""
+    k = F.col("o_orderkey")
+    end = F.when(k % 3 == 0, "\r\n").when(k % 3 == 1, "\r").otherwise(F.lit("\u2028"))
+    text = F.concat(
+        F.lit("Booking date;Payee;Amount;Memo"), end, F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(';"Customer; ""'), F.col("o_custkey").cast("string"),
+        F.lit('""";-'), F.regexp_replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), r"\.", ","), F.lit(";\u0000bill "), k.cast("string"), end,
+    )
+    texts = table(spark, sf_dir, "orders").select(k.cast("string").alias("path"), text.alias("text"))
+    mapping = statements.Mapping(";", "UTF-8", ("Booking date", "Payee", "Amount", "Memo"), _roles(date=0, merchant=1, amount=2, memo=3), True, False, 1.0)
+    return statements.table_transactions(decoding.delimited_rows(texts, ";"), mapping).select("date", "amount", "merchant_raw", "memo")
+
+
+@query
+def src_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-11: orders as workbooks of at most 4,000 keys each, with cells left out, read again."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") / 4000).cast("int").alias("book"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), "o_custkey")
+
+    def books(frame):
+        rows = [["Date", None, "Amount", "Merchant", "Memo"]]
+        for r in frame.itertuples():
+            rows.append([r.day, None if r.o_orderkey % 2 else "aside", -r.price, f"Customer {r.o_custkey}", None if r.o_orderkey % 3 == 0 else f"bill <{r.o_orderkey}>"])
+        return pd.DataFrame({"path": [str(frame["book"].iloc[0])], "content": [workbooks.workbook(rows, shared=bool(frame["book"].iloc[0] % 2))]})
+
+    files = orders.groupBy("book").applyInPandas(books, "path string, content binary")
+    mapping = statements.Mapping("", "", ("Date", "", "Amount", "Merchant", "Memo"), _roles(date=0, amount=2, merchant=3, memo=4), False, False, 1.0)
+    return statements.table_transactions(workbooks.sheet_rows(files), mapping).select("date", "amount", "merchant_raw", "memo")
+
+
+def _roles(**places: int) -> tuple[tuple[str, int | None], ...]:
+    return tuple((role, places.get(role)) for role in statements.KEYWORDS)

@@ -1,8 +1,8 @@
-"""Statement files as transactions: delimited text, OFX and account JSON (SRC-01..10, SRC-14..19, INF-01..10, FN-08).
+"""Statement files as transactions: delimited text, workbooks, OFX and account JSON (SRC-01..11, SRC-14..19, INF-01..10, FN-08).
 
 Every reader returns date, amount (decimal(18,4), debits below zero), merchant_raw, category, account, memo,
 currency, external_id and pending. Rows without a date or an amount are left out, as are rows without a merchant
-in delimited text. Only a sample of bounded length is read in the driver, to find out how a file is written.
+in delimited text and workbooks. Only a sample of bounded length is read in the driver, to find out how a file is written.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.money import parsed_amount, parsed_date
 from ..functions.text import nil_if_blank
+from .decoding import MAX_BYTES, UnreadableStatement, decoded, delimited_rows, files, normalized, split_rows
+from .workbooks import sheet_rows
 
 COLUMNS = ["date", "amount", "merchant_raw", "category", "account", "memo", "currency", "external_id", "pending"]
-MAX_BYTES = 50 * 1024 * 1024
 SAMPLE_CHARS, HEADER_ROWS, SAMPLE_ROWS = 20_000, 10, 12
 SEPARATORS = [",", ";", "\t", "|"]
 UNKNOWN = "Unknown merchant"
@@ -37,13 +38,12 @@ KEYWORDS = {
 }
 
 
-class UnreadableStatement(ValueError):
-    """The file is too large, of an unknown kind, or has no header with a date and an amount."""
-
-
 @dataclass(frozen=True)
 class Mapping:
-    """How a delimited file is written; columns are places in a row, None where there is none."""
+    """How a table is written; columns are places in a row, None where there is none.
+
+    The separator of a workbook is empty. The encoding is that of the first file; each file is decoded by its own.
+    """
 
     separator: str
     encoding: str
@@ -52,6 +52,7 @@ class Mapping:
     day_first: bool
     positive_debits: bool
     confidence: float
+    garbled: bool = False
 
     def place(self, role: str) -> int | None:
         return dict(self.columns)[role]
@@ -94,37 +95,41 @@ def _header(rows: list[list[str]]) -> int:
     return scores.index(max(scores))
 
 
-def _decoded(content: bytes) -> tuple[str, str]:
-    """Text of the sample and its encoding; bytes that are no UTF-8 count as Latin 1."""
-    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return content.decode("utf-16", "ignore"), "UTF-16"
-    try:
-        return content.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError as error:
-        if len(content) - error.start < 4:  # the sample ends inside a character
-            return content[: error.start].decode("utf-8-sig"), "UTF-8"
-        return content.decode("latin-1"), "ISO-8859-1"
-
-
 def infer(spark: SparkSession, path: str) -> Mapping:
-    """How the delimited file at ``path`` is written, from its first 20,000 bytes.
+    """How the tables at ``path`` are written, from the first 20,000 characters (of workbooks: 22 rows) of the first of them.
 
-    Whether days come before months is settled by the whole date column.
+    Whether days come before months is settled by the whole date column of all files, and so is whether a text looks garbled.
     """
-    head = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, SAMPLE_CHARS).alias("head")).first()
-    if head is None or head["length"] > MAX_BYTES:
-        raise UnreadableStatement(f"{path}: no file, or one of over {MAX_BYTES} bytes")
-    text, encoding = _decoded(bytes(head["head"]))
-    text = re.sub("\r\n|[\r\u2028\u2029]", "\n", text).replace("\0", "")
-    separator = _separator(text)
-    rows = [r for r in csv.reader(io.StringIO(text), delimiter=separator) if any(c.strip() for c in r)]
+    found = files(spark, path)
+    if _is_workbook(path):
+        grid = sheet_rows(found)
+        first = grid.agg(F.min("path").alias("p")).first()["p"]
+        head = grid.where(F.col("path") == first).orderBy("row").limit(HEADER_ROWS + SAMPLE_ROWS).collect()
+        rows = [[c or "" for c in r["cells"]] for r in head]
+        return _inferred(spark, rows, grid, "", "", False)
+    texts = decoded(found)
+    head = texts.select("path", "encoding", F.substring("text", 1, SAMPLE_CHARS).alias("head")).agg(F.min_by(F.struct("head", "encoding"), "path").alias("f")).first()["f"]
+    garbled = texts.agg(F.max("garbled").alias("g")).first()["g"]
+    sample = normalized(head["head"] or "")
+    separator = _separator(sample)
+    return _inferred(spark, list(split_rows(sample, separator)), delimited_rows(texts, separator), separator, head["encoding"], bool(garbled))
+
+
+def _is_workbook(path: str) -> bool:
+    return path.lower().endswith(".xlsx")
+
+
+def _inferred(spark: SparkSession, rows: list[list[str]], grid: DataFrame, separator: str, encoding: str, garbled: bool) -> Mapping:
+    """The mapping of a table whose first rows are ``rows`` and all of whose rows are ``grid``."""
+    rows = [r for r in rows if any(c.strip() for c in r)]
     at = _header(rows)
     labels = tuple(c.strip() for c in rows[at])
     sample = [[(r[k].strip() if k < len(r) else "") for k in range(len(labels))] for r in rows[at + 1 : at + 1 + SAMPLE_ROWS]]
     fits = _fits(spark, sample, len(labels))
     columns: dict[str, int | None] = {}
     for role in ("date", "amount"):
-        best = max(range(len(labels)), key=lambda k: (2 * label_score(labels[k], KEYWORDS[role]) + fits[k][role], -k))
+        # Columns of a workbook without a label are none of the table's.
+        best = max((k for k in range(len(labels)) if labels[k] or separator), key=lambda k: (2 * label_score(labels[k], KEYWORDS[role]) + fits[k][role], -k))
         columns[role] = best if fits[best][role] or label_score(labels[best], KEYWORDS[role]) else None
     for role in ("merchant", "memo", "category", "account", "currency"):
         free = [k for k in range(len(labels)) if k not in columns.values()]
@@ -134,11 +139,11 @@ def infer(spark: SparkSession, path: str) -> Mapping:
         columns["merchant"], columns["memo"] = columns["memo"], None
     found = sum(columns[r] is not None for r in ("date", "amount", "merchant"))
     amount = fits[columns["amount"]] if columns["amount"] is not None else {"up": 0, "down": 0}
-    mapping = Mapping(separator, encoding, labels, tuple(columns.items()), False, amount["up"] > amount["down"], found / 3)
+    mapping = Mapping(separator, encoding, labels, tuple(columns.items()), False, amount["up"] > amount["down"], found / 3, garbled)
     if columns["date"] is None:
         return mapping
     first = F.regexp_extract(f"c{columns['date']}", r"^\s*(\d{1,2})[-/.]\d{1,2}[-/.]", 1).try_cast("int")
-    days = _cells(spark, path, mapping).agg(F.max(F.coalesce(first.between(13, 31), F.lit(False))).alias("d")).first()["d"]
+    days = _cells(grid, mapping).agg(F.max(F.coalesce(first.between(13, 31), F.lit(False))).alias("d")).first()["d"]
     return Mapping(**{**mapping.__dict__, "day_first": bool(days)})
 
 
@@ -160,29 +165,37 @@ def _fits(spark: SparkSession, sample: list[list[str]], width: int) -> list[dict
     return [{name: row[f"{name}{k}"] or 0 for name in ("date", "amount", "up", "down")} for k in range(width)]
 
 
-def _cells(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
+def _grid(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """path, row and cells of every table at ``path``, each text decoded by its own encoding."""
+    found = files(spark, path)
+    return delimited_rows(decoded(found), separator) if separator else sheet_rows(found)
+
+
+def _cells(grid: DataFrame, mapping: Mapping) -> DataFrame:
     """All rows as trimmed texts c0, c1, ..., without blank rows and the header."""
     names = [f"c{k}" for k in range(len(mapping.labels))]
-    raw = spark.read.csv(
-        path, schema=", ".join(f"{c} string" for c in names), sep=mapping.separator, quote='"', escape='"', multiLine=True, encoding=mapping.encoding, header=False
-    )
-    clean = raw.select(*[nil_if_blank(F.regexp_replace(c, r"[\x{FEFF}\x00]", "")).alias(c) for c in names])
+    clean = grid.select(*[nil_if_blank(F.get("cells", F.lit(k))).alias(c) for k, c in enumerate(names)])
     header = F.lit(True)
     for c, label in zip(names, mapping.labels):
         header = header & F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.lit(label))
     return clean.where(F.coalesce(*names).isNotNull() & ~header)
 
 
-def read_delimited(spark: SparkSession, path: str, mapping: Mapping | None = None) -> DataFrame:
-    """Transactions of the delimited files at ``path``, which are all written as ``mapping`` says (or as inferred)."""
+def read_table(spark: SparkSession, path: str, mapping: Mapping | None = None) -> DataFrame:
+    """Transactions of the delimited files or workbooks at ``path``, which are all written as ``mapping`` says (or as inferred)."""
     mapping = mapping or infer(spark, path)
+    return table_transactions(_grid(spark, path, mapping.separator), mapping)
+
+
+def table_transactions(grid: DataFrame, mapping: Mapping) -> DataFrame:
+    """Transactions of rows of cells."""
 
     def cell(role: str) -> Column:
         k = mapping.place(role)
         return F.lit(None).cast("string") if k is None else F.col(f"c{k}")
 
     amount = parsed_amount(cell("amount"))
-    rows = _cells(spark, path, mapping).select(
+    rows = _cells(grid, mapping).select(
         parsed_date(cell("date"), mapping.day_first).alias("date"),
         (-amount if mapping.positive_debits else amount).cast("decimal(18,4)").alias("amount"),
         cell("merchant").alias("merchant_raw"),
@@ -256,10 +269,10 @@ def json_transactions(texts: DataFrame, text_col: str = "value") -> DataFrame:
 def read_statement(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of the file at ``path``, read by its extension."""
     kind = path.lower().rpartition(".")[2]
-    if kind == "csv":
-        return read_delimited(spark, path)
+    if kind in ("csv", "xlsx"):
+        return read_table(spark, path)
     if kind in ("ofx", "qfx"):
-        return ofx_transactions(spark.read.text(path, wholetext=True))
+        return ofx_transactions(decoded(files(spark, path), feed=True), "text")
     if kind == "json":
         return json_transactions(spark.read.text(path, wholetext=True))
     raise UnreadableStatement(f"{path}: no reader for .{kind}")
