@@ -46,6 +46,8 @@ STEP = 0.25
 ETA, ROUNDS, BATCH, SLACK = 0.2, 300, 48, 0.02
 #: What the first weight of a sequence's whole length gets beyond its share.
 TILT = 0.05
+# Of weights that converge: their fall a cover, steps between two pricings, pricings, new configurations of each, and the gap to the bound that is good enough.
+FINE, STEPS, TURNS, FRESH, GAP = 0.02, 1_000, 64, 8, 0.003
 #: Rows of one length that one window ranks.
 RANK_ROWS = 50_000
 END = np.zeros(1, "<u4").tobytes()
@@ -179,16 +181,31 @@ def priced(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> t
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, float]:
     """A fractional cover of the histogram by configurations, and a lower bound of any packing.
 
-    Multiplicative weights for covering: each length has a weight, first its share
-    of the capacity. A round prices configurations under the weights and uses each
-    in part; the weight of a length then falls by the factor exp(-ETA) for each full
-    cover of its count that was used, and lengths that are covered leave. What is
-    uncovered after the last round is left to the rounding. With no configuration
-    worth more than ``best``, the weights over ``best`` are a dual solution: no
-    packing has fewer sequences than the counts' weights sum to over it.
+    Both come from multiplicative weights. ``covered`` is quick and good where short items fill any room; where its
+    rounded cover is not yet within GAP of the bound, ``refined`` lets the weights converge, and the better one counts.
     """
     sizes = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], np.float64)
+    used, bound = covered(sizes, counts, capacity)
+    needed = sum(rounded(used, histogram, capacity).values())
+    if needed <= (1 + GAP) * np.ceil(bound - 1e-6):
+        return used, bound
+    other, proven = refined(sizes, counts, capacity, needed)
+    if sum(rounded(other, histogram, capacity).values()) < needed:
+        used = other
+    return used, max(bound, proven)
+
+
+def covered(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[Counter, float]:
+    """A cover in which lengths leave as soon as they are covered.
+
+    Each length has a weight, first its share of the capacity. A round prices
+    configurations under the weights and uses each in part; the weight of a length
+    then falls by the factor exp(-ETA) for each full cover of its count that was
+    used. What is uncovered after the last round is left to the rounding. With no
+    configuration worth more than ``best``, the weights over ``best`` are a dual
+    solution: no packing has fewer sequences than the counts' weights sum to over it.
+    """
     place = {int(s): i for i, s in enumerate(sizes)}
     shares = sizes / capacity
     # Longer is worth a little more than in proportion, as short items fill any room.
@@ -211,6 +228,58 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter,
     return used, bound
 
 
+
+def refined(sizes: np.ndarray, counts: np.ndarray, capacity: int, enough: float) -> tuple[Counter, float]:
+    """A cover averaged over rounds of weights that converge, and the best bound they prove.
+
+    The lengths share a weight of 1. A step takes the configuration of the pool that is worth most under the weights,
+    uses it until it covers one of its lengths once more, and lowers the weights of its lengths by exp(-FINE) a cover.
+    After STEPS of them the weights and their mean are priced by dynamic programming: each proves a bound, and the
+    best new configurations join the pool. Means and cover start anew at every power of two, so that early rounds are
+    forgotten. Ends when the cover, scaled to cover all, is within GAP of the bound, or the bound reaches ``enough`` - 1.
+    """
+    shares = sizes / capacity
+    place = {int(s): i for i, s in enumerate(sizes)}
+    configs: list[Configuration] = [((int(s), capacity // int(s)),) for s in sizes]
+    known, pool = set(configs), np.diag((capacity // sizes) / counts)
+    weights = counts * shares * (1 + TILT * shares)
+    weights /= weights.sum()
+    used, cover, mean = np.zeros(len(configs)), np.zeros(len(sizes)), np.zeros(len(sizes))
+    bound, cost, kept = 0.0, np.inf, Counter()
+    for turn in range(1, TURNS + 1):
+        for w in (weights, mean / mean.sum()) if mean.any() else (weights,):
+            found, best = priced(sizes, w / counts, capacity, FRESH)
+            bound = max(bound, 1 / best)
+            fresh = [c for c in found if c not in known]
+            known.update(fresh)
+            columns = np.zeros((len(sizes), len(fresh)))
+            for k, config in enumerate(fresh):
+                for s, n in config:
+                    columns[place[s], k] = n / counts[place[s]]
+            configs += fresh
+            pool, used = np.hstack([pool, columns]), np.append(used, np.zeros(len(fresh)))
+        if cost <= (1 + GAP) * bound or np.ceil(bound - 1e-6) >= enough:
+            break
+        if turn & (turn - 1) == 0:
+            used[:], cover[:], mean[:] = 0, 0, 0
+        worth = weights @ pool
+        for _ in range(STEPS):
+            k = int(worth.argmax())
+            at = np.flatnonzero(pool[:, k])
+            step = 1 / pool[at, k].max()
+            used[k] += step
+            cover[at] += step * pool[at, k]
+            change = weights[at] * np.expm1(-FINE * step * pool[at, k])
+            weights[at] += change
+            worth += change @ pool[at]
+            mean += step / weights.sum() * weights
+        weights /= weights.sum()
+        if cover.min() > 0 and used.sum() / cover.min() < cost:
+            cost = used.sum() / cover.min()
+            kept = Counter({configs[k]: used[k] / cover.min() for k in np.flatnonzero(used)})
+    return kept, bound
+
+
 def best_fit(left: Counter, capacity: int) -> Counter:
     """Bins for a few leftovers: each item, longest first, goes where least room remains."""
     room: list[int] = []  # sorted free space of the open bins
@@ -229,21 +298,27 @@ def best_fit(left: Counter, capacity: int) -> Counter:
     return Counter(tuple(sorted(Counter(items).items(), reverse=True)) for group in bins.values() for items in group)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """How often to use each configuration, so that every item has exactly one place."""
+def rounded(used: Counter, histogram: dict[int, int], capacity: int) -> Counter:
+    """Whole uses of configurations: first their whole parts, fullest first, then one more where all its items are left, then best fit."""
     left, out = Counter({s: n for s, n in histogram.items() if n}), Counter()
-    used, _ = solve(left, capacity) if left else (Counter(), 0.0)
     full = lambda c: sum(s * n for s, n in c)
-    for config in sorted(used, key=lambda c: (-full(c), c)):
-        times = min([int(used[config] + 1e-9), *(left[s] // n for s, n in config)])
-        if times > 0:
-            out[config] += times
-            for s, n in config:
-                left[s] -= times * n
+    for most in (lambda c: int(used[c] + 1e-9), lambda c: 1):
+        for config in sorted(used, key=lambda c: (-full(c), c)):
+            times = min([most(config), *(left[s] // n for s, n in config)])
+            if times > 0:
+                out[config] += times
+                for s, n in config:
+                    left[s] -= times * n
     out.update(best_fit(Counter({s: n for s, n in left.items() if n}), capacity))
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """How often to use each configuration, so that every item has exactly one place."""
+    items = {s: n for s, n in histogram.items() if n}
+    return rounded(solve(items, capacity)[0], items, capacity) if items else Counter()
+
+
 def places(configurations: Counter) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, first sequence, how often in each, offset): where the ranks of a length go."""
     out, rank, base = [], Counter(), 0
