@@ -47,7 +47,7 @@ ETA, ROUNDS, BATCH, SLACK = 0.2, 300, 48, 0.02
 #: What the first weight of a sequence's whole length gets beyond its share.
 TILT = 0.05
 # Of weights that converge: their fall a cover, steps between two pricings, pricings, new configurations of each, and the gap to the bound that is good enough.
-FINE, STEPS, TURNS, FRESH, GAP = 0.02, 1_000, 64, 8, 0.003
+FINE, STEPS, TURNS, FRESH, GAP = 0.1, 1_000, 96, 32, 0.003
 #: Rows of one length that one window ranks.
 RANK_ROWS = 50_000
 END = np.zeros(1, "<u4").tobytes()
@@ -233,7 +233,7 @@ def refined(sizes: np.ndarray, counts: np.ndarray, capacity: int, enough: float)
     """A cover averaged over rounds of weights that converge, and the best bound they prove.
 
     The lengths share a weight of 1. A step takes the configuration of the pool that is worth most under the weights,
-    uses it until it covers one of its lengths once more, and lowers the weights of its lengths by exp(-FINE) a cover.
+    uses it until it covers one of its lengths once more, and lowers the weights of its lengths by exp(-FINE) a cover, by less in later turns.
     After STEPS of them the weights and their mean are priced by dynamic programming: each proves a bound, and the
     best new configurations join the pool. Means and cover start anew at every power of two, so that early rounds are
     forgotten. Ends when the cover, scaled to cover all, is within GAP of the bound, or the bound reaches ``enough`` - 1.
@@ -262,14 +262,14 @@ def refined(sizes: np.ndarray, counts: np.ndarray, capacity: int, enough: float)
             break
         if turn & (turn - 1) == 0:
             used[:], cover[:], mean[:] = 0, 0, 0
-        worth = weights @ pool
+        worth, rate = weights @ pool, FINE / turn.bit_length()
         for _ in range(STEPS):
             k = int(worth.argmax())
             at = np.flatnonzero(pool[:, k])
             step = 1 / pool[at, k].max()
             used[k] += step
             cover[at] += step * pool[at, k]
-            change = weights[at] * np.expm1(-FINE * step * pool[at, k])
+            change = weights[at] * np.expm1(-rate * step * pool[at, k])
             weights[at] += change
             worth += change @ pool[at]
             mean += step / weights.sum() * weights

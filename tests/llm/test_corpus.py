@@ -406,3 +406,18 @@ def test_pipeline_stages(spark, tmp_path):
         assert at <= 2048
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_packing_of_few_lengths_is_within_a_hundredth_of_its_bound():
+    import random
+    from collections import Counter
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = rng.sample(range(341, 1026), 8)
+        histogram = Counter(rng.choice(lengths) for _ in range(5000))
+        _, bound = packing.solve(histogram)
+        plan = packing.plan(histogram)
+        assert Counter({s: sum(t * dict(c).get(s, 0) for c, t in plan.items()) for s in histogram}) == histogram
+        assert all(sum(s * n for s, n in c) <= 2048 for c in plan)
+        assert sum(s * n for s, n in histogram.items()) / 2048 <= bound <= sum(plan.values()) <= 1.01 * bound
