@@ -192,4 +192,22 @@ SELECT account, renews, action, CASE WHEN action = 'keep' THEN 'No risk signals
     "qry_annual_list": f"WITH {_JUDGED} SELECT account, renews, first_price AS was, price AS now, price - first_price AS delta FROM ju WHERE state = 'active' AND cadence = 'annual'",
     "qry_price_changed": f"WITH {C}, {RISE} SELECT account, rise FROM rise WHERE rise >= 0.05",
     "page_totals": f"WITH {C} SELECT count(*) AS total, count_if(amount >= 100000) AS matched, max(CASE WHEN amount >= 100000 THEN date END) AS newest FROM c",
+    "qry_alias": """WITH s AS (SELECT n_nationkey AS entry, 'brand-' || replace(lower(n_name), ' ', '-') AS service, unnest([regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g'), left(regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g'), 4)]) AS alias FROM nation),
+        c AS (SELECT c_custkey AS k, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        n AS (SELECT k, CASE k % 4 WHEN 0 THEN 'brand-' || replace(lower(n_name), ' ', '-') END AS identifier, CASE k % 3 WHEN 0 THEN 'Shop of ' || n_name WHEN 1 THEN 'zz' END AS canonical,
+            CASE k % 5 WHEN 0 THEN n_name || ' ' || k WHEN 1 THEN substr(n_name, 1, 4) || CASE WHEN k % 10 = 6 THEN '' ELSE ' co' END WHEN 2 THEN lower(n_name) ELSE 'none' END AS display FROM c),
+        e AS (SELECT k, place, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS name FROM (SELECT k, 0 AS place, identifier AS name FROM n UNION ALL SELECT k, 1, canonical FROM n UNION ALL SELECT k, 2, display FROM n)),
+        hits AS (SELECT k, 0 AS level, 0 AS place, 0 AS shorter, entry, service FROM n JOIN s ON identifier IN (alias, service)
+            UNION ALL SELECT k, CASE WHEN name = alias THEN 1 ELSE 2 END, place, -length(alias), entry, service FROM e JOIN s ON starts_with(name, alias) OR ends_with(name, alias)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, place, shorter, CASE level WHEN 1 THEN -entry ELSE entry END) AS i FROM hits)
+        SELECT n.k, service FROM n LEFT JOIN best ON n.k = best.k AND i = 1""",
+    "qry_service_search": """WITH s AS (SELECT n_nationkey AS entry, 'brand-' || replace(lower(n_name), ' ', '-') AS service, unnest([regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g'), left(regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g'), 4)]) AS alias FROM nation),
+        c AS (SELECT c_custkey AS k, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        q AS (SELECT DISTINCT query, regexp_replace(lower(query), '[^a-z0-9]+', '', 'g') AS plain FROM (SELECT substr(n_name, CAST(1 + k % 4 AS INT), CAST(2 + k % 9 AS INT)) || CASE WHEN k % 7 = 0 THEN ' Inc' ELSE '' END AS query FROM c) WHERE plain <> ''),
+        t AS (SELECT DISTINCT service, array_to_string(list_transform(string_split(replace(service, 'brand-', ''), '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM s),
+        hits AS (SELECT query, entry, s.service, title, CASE WHEN alias = plain THEN 0 WHEN starts_with(alias, plain) THEN 1000 + length(alias) - length(plain)
+            WHEN contains(alias, plain) OR contains(plain, alias) THEN 2000 + abs(length(alias) - length(plain)) WHEN contains(lower(title), plain) THEN 3000 END AS score FROM q CROSS JOIN s JOIN t ON s.service = t.service),
+        best AS (SELECT query, service, title, min(score) AS score FROM hits WHERE score IS NOT NULL GROUP BY ALL),
+        ranked AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, title, service) AS rank, service, title, score FROM best)
+        SELECT * FROM ranked WHERE rank <= 6""",
 }

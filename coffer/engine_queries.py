@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
-from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, replay, rules, schedules, scoring
+from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, replay, rules, schedules, scoring, services
 from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
 
@@ -370,3 +370,35 @@ def rec_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = gaps.select("*", F.explode(F.array(*[F.lit(c) for c in scoring.GAP_ORDER])).alias("tried"))
     out = scoring.consistencies(each, F.col("tried"))
     return out.select("cluster", "cadence", "all_fit", "some_direct", F.round("consistency", 6).alias("consistency"))
+
+
+def _services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as services, each with its name and the first four letters of it as aliases."""
+    plain = services.normalized(F.col("n_name"))
+    service = F.concat(F.lit("brand-"), F.translate(F.lower("n_name"), " ", "-"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry"), service.alias("service"), F.explode(F.array(plain, F.substring(plain, 1, 4))).alias("alias"))
+
+
+def _nationals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), "n_name")
+
+
+@query
+def qry_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-22: customers named after nations, with and without an identifier."""
+    k, name = F.col("k"), F.col("n_name")
+    names = _nationals(spark, sf_dir).select(
+        k, F.when(k % 4 == 0, F.concat(F.lit("brand-"), F.translate(F.lower(name), " ", "-"))).when(k % 4 == 1, " ").alias("identifier"),
+        F.when(k % 3 == 0, F.concat(F.lit("Shop of "), name)).when(k % 3 == 1, "zz").alias("canonical"),
+        F.when(k % 5 == 0, F.concat(name, F.lit(" "), k.cast("string"))).when(k % 10 == 6, F.substring(name, 1, 4)).when(k % 5 == 1, F.concat(F.substring(name, 1, 4), F.lit(" co"))).when(k % 5 == 2, F.lower(name)).otherwise("none").alias("display"),
+    )
+    return services.resolved(names, _services(spark, sf_dir)).select("k", "service")
+
+
+@query
+def qry_service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-23: parts of nations' names as queries, some with a word behind."""
+    k = F.col("k")
+    part = F.substring(F.col("n_name"), (1 + k % 4).cast("int"), (2 + k % 9).cast("int"))
+    return services.search(_nationals(spark, sf_dir).select(F.concat(part, F.when(k % 7 == 0, " Inc").otherwise("")).alias("query")), _services(spark, sf_dir))
