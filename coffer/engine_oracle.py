@@ -89,6 +89,33 @@ al AS (SELECT draft, 0 AS way, id FROM dr WHERE k = 0 UNION ALL SELECT draft, 1,
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY draft ORDER BY way, id) AS r FROM al) WHERE r = 1)
 SELECT draft, be.id, (['external', 'pending', 'reference', 'pending_fuzzy', 'duplicate'])[way + 1] AS way FROM dr LEFT JOIN be USING (draft)"""
 
+#: Purchases that come again in an import: what each draft finds (hit, way), its identity and its transaction (target).
+_IMPORT = f"""WITH RECURSIVE {BANK},
+st AS (SELECT *, string_split(merchant, ' ') AS toks, id % 7 = 0 OR id % 5 = 0 AS waiting FROM bk WHERE id % 13 > 0),
+dr AS (SELECT id, account, amount, merchant, n * 1000000000 + id AS draft, CAST(id // 10 % 6 AS INTEGER) AS k, CASE WHEN id // 10 % 6 = 5 THEN 'manualImport' ELSE source END AS source, CAST(date + CAST(id % 2 AS INTEGER) AS DATE) AS date,
+  string_split(merchant, ' ') AS toks, CASE WHEN n = 1 AND id % 4 > 0 THEN 'first' WHEN id % 3 > 0 THEN 'again' END AS memo FROM bk, (VALUES (1), (2)) t(n) WHERE n = 1 OR id % 11 = 0),
+fz AS (SELECT draft, k, s.id AS hit, waiting FROM dr JOIN st s ON dr.account = s.account AND dr.amount = s.amount AND abs(date_diff('day', s.date, dr.date)) <= 2
+  AND len(list_intersect(dr.toks, s.toks)) / len(list_distinct(dr.toks || s.toks)) >= 0.82 WHERE k <> 5 AND draft < 2000000000),
+al0 AS (SELECT draft, 0 AS way, id AS hit FROM dr WHERE k = 0 UNION ALL SELECT draft, 1, id FROM dr WHERE k = 1 AND id % 5 = 0 UNION ALL SELECT draft, 2, id FROM dr WHERE k = 2),
+pr AS (SELECT draft, hit, row_number() OVER (ORDER BY draft, hit) AS n FROM fz WHERE k IN (3, 4) AND waiting AND hit NOT IN (SELECT hit FROM al0)),
+gr AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ds, CAST([] AS BIGINT[]) AS hs
+  UNION ALL SELECT pr.n, CASE WHEN list_contains(ds, draft) OR list_contains(hs, hit) THEN ds ELSE list_append(ds, draft) END, CASE WHEN list_contains(ds, draft) OR list_contains(hs, hit) THEN hs ELSE list_append(hs, hit) END FROM gr JOIN pr ON pr.n = gr.n + 1),
+al AS (FROM al0 UNION ALL SELECT unnest(ds), 3, unnest(hs) FROM (SELECT * FROM gr ORDER BY n DESC LIMIT 1) UNION ALL SELECT draft, 4, hit FROM fz WHERE k IN (1, 4) AND draft NOT IN (SELECT draft FROM al0)),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY draft ORDER BY way, hit) AS r FROM al) WHERE r = 1),
+ld AS (SELECT *, min(draft) OVER (PARTITION BY id) AS leader, source || '|' || account || '|' || date || '|' || amount || '|' || merchant || '|' || coalesce(memo, '~') AS mine FROM dr),
+so AS (SELECT ld.*, way, hit, CASE WHEN way < 4 THEN hit + 5000000000 ELSE leader END AS identity, hit IS NOT NULL AND hit % 13 = 0 AS lost FROM ld LEFT JOIN be ON be.draft = leader),
+ta AS (SELECT *, CASE WHEN lost THEN min(leader) OVER (PARTITION BY identity) ELSE coalesce(hit, leader) END AS target FROM so)"""
+_CACHE = f"""kh AS (SELECT 'RAW ' || p_partkey AS merchant_raw, p_brand AS canonical, CASE WHEN p_partkey % 6 = 0 THEN 'Uncategorized' ELSE p_type END AS service_category, CAST(p_partkey % 8 AS DOUBLE) / 8 AS confidence,
+  CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 5 END AS version, CAST({REF} - CAST(p_partkey % 300 AS INTEGER) AS DATE) AS updated, p_partkey % 17 = 0 AS corrected FROM part)"""
+_HIDDEN = """hs AS (SELECT cluster AS subscription, CASE WHEN id % 3 = 0 THEN lower(merchant_raw) ELSE merchant_raw END AS raw, CASE WHEN id % 2 = 0 THEN 'main' ELSE '' END AS account, CASE WHEN id % 9 = 0 THEN 'EUR' WHEN id % 9 < 5 THEN 'USD' ELSE '' END AS currency,
+  CASE WHEN id % 4 = 0 THEN 'file' ELSE 'bank' END AS source, CASE WHEN id % 5 = 0 THEN 'i1' ELSE '' END AS import, abs(amount) AS amount FROM led WHERE cluster % 3 = 1)"""
+
+
+def _hex_sum(text: str) -> str:
+    """The sum of the first fifteen hexadecimal digits of every text's digest."""
+    return f"CAST(sum(CAST('0x' || md5({text})[:15] AS BIGINT)) AS VARCHAR)"
+
+
 _OWN = "(['monthly', 'weekly', 'biweekly', 'quarterly', 'semiannual', 'annual'])[(account // 2) % 6 + 1]"
 
 
@@ -210,4 +237,42 @@ SELECT account, renews, action, CASE WHEN action = 'keep' THEN 'No risk signals
         best AS (SELECT query, service, title, min(score) AS score FROM hits WHERE score IS NOT NULL GROUP BY ALL),
         ranked AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, title, service) AS rank, service, title, score FROM best)
         SELECT * FROM ranked WHERE rank <= 6""",
+    "jn_import_upsert": f"""{_IMPORT}, la AS (SELECT target, max(draft) AS draft FROM ta GROUP BY 1)
+SELECT la.target AS id, source, account, date, amount, merchant, memo FROM la JOIN dr USING (draft) UNION ALL SELECT id, source, account, date, amount, merchant, 'first' FROM st WHERE id NOT IN (SELECT target FROM la)""",
+    "jn_import_identities": f"""{_IMPORT}, li AS (SELECT identity, max(draft) AS draft FROM ta GROUP BY 1)
+SELECT identity, source, account, CASE WHEN k = 0 THEN 'e' || id WHEN k IN (3, 4) THEN 'x' || id END AS external_id, CASE WHEN k = 1 THEN 'p' || id END AS pending_id, CASE WHEN k IN (2, 5) THEN 'r' || id WHEN k = 3 THEN 'y' || id END AS reference,
+  'f' || id AS fingerprint, 'posted' AS status, target AS id, {REF} AS seen FROM li JOIN ta USING (identity, draft)
+UNION ALL SELECT id + 5000000000, source, account, 'e' || id, CASE WHEN id % 5 = 0 THEN 'p' || id END, 'r' || id, 'f' || id, CASE WHEN id % 7 = 0 THEN 'pending' ELSE 'posted' END, id, DATE '2001-08-01' FROM bk WHERE id + 5000000000 NOT IN (SELECT identity FROM li)""",
+    "jn_import_outcomes": f"""{_IMPORT}, tu AS (SELECT *, row_number() OVER w AS turn, lag(mine) OVER w AS before FROM ta WINDOW w AS (PARTITION BY target ORDER BY draft)),
+ou AS (SELECT tu.*, way IS NOT DISTINCT FROM 4 AND draft = leader AS alike, turn = 1 AND st.id IS NULL AS fresh, mine <> CASE WHEN turn = 1 THEN st.source || '|' || st.account || '|' || st.date || '|' || st.amount || '|' || st.merchant || '|first' ELSE before END AS other FROM tu LEFT JOIN st ON st.id = tu.hit)
+SELECT count_if(fresh) AS inserted, count_if(NOT fresh AND other) AS updated, count_if(fresh AND lost OR NOT fresh AND NOT other AND NOT alike) AS unchanged, count_if(alike) AS alike, inserted + updated + unchanged AS reconciled FROM ou""",
+    "cls_cache_reuse": f"""WITH {_CACHE}, us AS (SELECT * FROM kh WHERE corrected OR version = 5 AND updated >= {REF} - 180 AND confidence >= 0.65 AND service_category <> 'Uncategorized'),
+rq AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'RAW ' ELSE 'NEW ' END || l_partkey AS raw, CASE WHEN l_partkey % 5 = 0 THEN p_name ELSE p_brand END AS asked FROM lineitem JOIN part ON l_partkey = p_partkey),
+hi AS (SELECT raw, asked, 0 AS way, us.* FROM rq JOIN us ON us.merchant_raw = raw UNION ALL SELECT raw, asked, 1, us.* FROM rq JOIN us ON us.canonical = asked),
+be AS (SELECT *, row_number() OVER (PARTITION BY raw, asked ORDER BY NOT corrected, way, merchant_raw) AS r FROM hi)
+SELECT raw AS merchant_raw, asked, merchant_raw AS cached_raw, canonical, service_category, confidence FROM be WHERE r = 1""",
+    "cls_cache_upsert": f"""WITH {_CACHE}, nw AS (SELECT 'RAW ' || p_partkey AS merchant_raw, p_partkey % 4 = 0 AS cur FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT s_name, s_suppkey % 2 = 0 FROM supplier)
+SELECT merchant_raw, CASE WHEN cur IS NULL THEN canonical ELSE 'New' END AS canonical, CASE WHEN cur IS NULL THEN service_category ELSE 'Film' END AS service_category, CASE WHEN cur IS NULL THEN confidence ELSE 0.75 END AS confidence,
+  CASE WHEN cur IS NULL THEN version WHEN cur THEN 5 ELSE 0 END AS version, CASE WHEN cur IS NULL THEN updated ELSE {REF} END AS updated, coalesce(corrected, FALSE) AS corrected FROM kh FULL JOIN nw USING (merchant_raw)""",
+    "rul_derived": f"""WITH {LEDGER}, sp AS (SELECT merchant AS canonical, string_agg(raw, ',' ORDER BY raw) AS raws FROM (SELECT DISTINCT merchant, CASE WHEN id % 3 = 0 THEN lower(merchant_raw) ELSE merchant_raw END AS raw FROM led) GROUP BY 1),
+cu AS (SELECT c_custkey AS k, 'Merchant ' || c_custkey AS name FROM customer),
+rv AS (SELECT k, CASE WHEN k % 8 = 0 THEN upper(name) ELSE name END AS canonical, k % 4 = 0 AS fp, k % 2 = 0 AND k % 8 > 0 AS own, k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 AS told FROM cu WHERE k % 4 < 3),
+sa AS (SELECT * FROM rv WHERE fp OR told), yes AS (SELECT canonical FROM sa WHERE told AND NOT fp),
+mk AS (SELECT name AS canonical, TRUE AS negative, 'userCorrection' AS origin, CAST(NULL AS BIGINT) AS subscription, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS currency, CAST(1 AS DOUBLE) AS confidence, 1100 AS priority FROM cu WHERE k % 6 = 0 AND name NOT IN (FROM yes)
+  UNION ALL SELECT canonical, fp, 'reviewRule', CASE WHEN own THEN k END, CASE WHEN k % 7 = 0 THEN k % 90 WHEN own THEN k % 100 END, CASE WHEN k % 14 = 0 THEN 'EUR' WHEN k % 7 > 0 AND own THEN 'USD' END, CASE WHEN k % 5 = 0 THEN 1 ELSE 0.86 END, CASE WHEN fp THEN 1000 ELSE 900 END FROM sa
+  UNION ALL SELECT name, FALSE, 'confirmedSubscription', k, k % 100, 'USD', CASE WHEN k % 10 = 0 THEN 1 ELSE 0.78 END, CASE WHEN k % 10 = 0 THEN 850 ELSE 700 END FROM cu WHERE k % 10 IN (0, 2)),
+ml AS (SELECT lower(canonical) || CASE WHEN negative THEN '|negative|' ELSE '|positive|' END || origin AS rule_key, canonical, negative, origin, subscription, CASE WHEN NOT negative THEN price END AS price, currency, confidence, priority, coalesce(raws, '') AS raw_merchants,
+  'merchant' || CASE WHEN length(canonical) > 11 THEN ',' || canonical[10:] ELSE '' END AS required, CASE WHEN NOT negative THEN round(price - greatest(2.5, price * 0.12), 6) END AS low, CASE WHEN NOT negative THEN round(price + greatest(2.5, price * 0.12), 6) END AS high, 1 AS made FROM mk LEFT JOIN sp USING (canonical)),
+gone AS (SELECT lower(name) || '|negative|userCorrection' AS g FROM cu WHERE k % 6 = 0 AND name IN (FROM yes) UNION ALL SELECT lower(canonical) || CASE WHEN fp THEN '|positive|reviewRule' ELSE '|negative|reviewRule' END FROM sa),
+ex AS (SELECT lower(name) || CASE WHEN k % 2 = 0 THEN '|negative|' ELSE '|positive|' END || CASE WHEN k % 3 = 0 THEN 'userCorrection' ELSE 'reviewRule' END AS rule_key, name, k FROM cu WHERE k % 5 < 2), el AS (SELECT * FROM ex WHERE rule_key NOT IN (FROM gone))
+SELECT rule_key, CASE WHEN made = 1 THEN canonical ELSE name END AS canonical, CASE WHEN made = 1 THEN negative ELSE k % 2 = 0 END AS negative, CASE WHEN made = 1 THEN origin WHEN k % 3 = 0 THEN 'userCorrection' ELSE 'reviewRule' END AS origin, coalesce(subscription, k + 1000) AS subscription,
+  CASE WHEN made = 1 THEN price ELSE 1 END AS price, CASE WHEN made = 1 THEN currency ELSE 'GBP' END AS currency, CASE WHEN made = 1 THEN confidence ELSE 0.5 END AS confidence, CASE WHEN made = 1 THEN priority ELSE 1 END AS priority, CASE WHEN made = 1 THEN raw_merchants ELSE 'OLD' END AS raw_merchants,
+  CASE WHEN made = 1 THEN required ELSE 'old' END AS required, CASE WHEN made = 1 THEN low ELSE 0 END AS low, CASE WHEN made = 1 THEN high ELSE 2 END AS high, CASE WHEN made IS NULL THEN 'kept' WHEN k IS NULL THEN 'inserted' ELSE 'updated' END AS outcome FROM ml FULL JOIN el USING (rule_key)""",
+    "rul_hidden_scope": f"""WITH {LEDGER}, {_HIDDEN}, hg AS (SELECT subscription, account, currency, source, import, count(*) AS n, min(amount) AS least, max(amount) AS most, CAST(list_sort(list(amount))[count(*) // 2 + 1] AS DOUBLE) AS price FROM hs GROUP BY ALL),
+hr AS (SELECT subscription, account, currency, source, import, {_hex_sum("lower(raw)")} AS spellings, count(*) AS n_spellings FROM (SELECT DISTINCT subscription, account, currency, source, import, raw FROM hs) GROUP BY ALL),
+ha AS (SELECT subscription, account, currency, source, import, {_hex_sum("money")} AS amounts, count(*) AS n_amounts FROM (SELECT DISTINCT subscription, account, currency, source, import, CAST(CAST(amount AS DECIMAL(20,2)) AS VARCHAR) AS money FROM hs) GROUP BY ALL)
+SELECT subscription, concat_ws('|', 'merchant ' || subscription, account, lower(currency), source, import, spellings, amounts) AS scope_key, nullif(account, '') AS account, nullif(currency, '') AS currency, source, nullif(import, '') AS scope,
+  'merchant' || CASE WHEN subscription > 99 THEN ',' || subscription ELSE '' END AS required, n, n_spellings, n_amounts, price, round(greatest(0, least - greatest(0.05, most * 0.02)), 6) AS low, round(most + greatest(0.05, most * 0.02), 6) AS high, 1050 AS priority
+FROM hg JOIN hr USING (subscription, account, currency, source, import) JOIN ha USING (subscription, account, currency, source, import)""",
+    "rul_hidden_spellings": f"WITH {LEDGER}, {_HIDDEN} SELECT DISTINCT subscription, account, currency, source, import, raw AS merchant_raw FROM hs",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
-from .operators import aggregates, audit, classification, histories, identity, lifecycle, matching, passes, replay, rules, schedules, scoring, services
+from .operators import aggregates, audit, classification, derived, histories, identity, imports, lifecycle, matching, passes, replay, rules, schedules, scoring, services
 from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
 
@@ -402,3 +402,116 @@ def qry_service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     part = F.substring(F.col("n_name"), (1 + k % 4).cast("int"), (2 + k % 9).cast("int"))
     return services.search(_nationals(spark, sf_dir).select(F.concat(part, F.when(k % 7 == 0, " Inc").otherwise("")).alias("query")), _services(spark, sf_dir))
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> imports.Reconciled:
+    """Every stored purchase comes again, known by less and less, and every eleventh one twice in the import; some identities have lost theirs."""
+    bank, k = _bank(spark, sf_dir), F.col("id")
+    text_id = lambda p: F.concat(F.lit(p), k.cast("string"))
+    stored = bank.where(k % 13 > 0).withColumn("memo", F.lit("first"))
+    known = bank.select((k + 5_000_000_000).alias("identity"), "source", "account", text_id("e").alias("external_id"), F.when(k % 5 == 0, text_id("p")).alias("pending_id"), text_id("r").alias("reference"), text_id("f").alias("fingerprint"), F.when(k % 7 == 0, "pending").otherwise("posted").alias("status"), k, F.lit("2001-08-01").cast("date").alias("seen"))
+    case = F.floor(k / 10) % 6
+    drafts = bank.withColumn("turn", F.explode(F.when(k % 11 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select(
+        (k + F.col("turn") * 1_000_000_000).alias("draft"), F.when(case == 5, "manualImport").otherwise(F.col("source")).alias("source"), "account",
+        F.when(case == 0, text_id("e")).when(case.isin(3, 4), text_id("x")).alias("external_id"), F.when(case == 1, text_id("p")).alias("pending_id"), F.when(case.isin(2, 5), text_id("r")).when(case == 3, text_id("y")).alias("reference"),
+        text_id("f").alias("fingerprint"), F.lit("posted").alias("status"), F.date_add("date", (k % 2).cast("int")).alias("date"), "amount", "merchant",
+        F.when((F.col("turn") == 1) & (k % 4 > 0), "first").when(k % 3 > 0, "again").alias("memo"),
+    )
+    return imports.reconciled(drafts, known, stored, ["source", "account", "date", "amount", "merchant", "memo"], F.lit(REF).cast("date"))
+
+
+@query
+def jn_import_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-01, JN-06, JN-08: the stored transactions after an import."""
+    return _imported(spark, sf_dir).transactions.select("id", "source", "account", "date", "amount", "merchant", "memo")
+
+
+@query
+def jn_import_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-01: the identities after an import."""
+    return _imported(spark, sf_dir).identities
+
+
+@query
+def jn_import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-01: how many drafts were inserted, updated, unchanged and alike."""
+    return imports.summary(_imported(spark, sf_dir).outcomes)
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as classified merchants, of which some are corrected, some old and some unsure."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("RAW "), k.cast("string")).alias("merchant_raw"), F.col("p_brand").alias("canonical"), F.when(k % 6 == 0, "Uncategorized").otherwise(F.col("p_type")).alias("service_category"), F.lit("unknown").alias("kind"),
+        (k % 10 / 10).cast("double").alias("affinity"), (k % 8 / 8).cast("double").alias("confidence"), F.when(k % 3 == 0, 4).otherwise(5).alias("version"),
+        (F.lit(REF).cast("timestamp") - F.make_dt_interval((k % 300).cast("int"))).alias("updated"), (k % 17 == 0).alias("corrected"),
+    )
+
+
+@query
+def cls_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-09, JN-10: line items' parts as requests, by raw names of which some are new, and by brands and other names."""
+    k = F.col("l_partkey")
+    asked = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), k == F.col("p_partkey")).select(
+        F.concat(F.when(k % 2 == 0, "RAW ").otherwise("NEW "), k.cast("string")).alias("merchant_raw"), F.when(k % 5 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("canonical")
+    )
+    out = imports.reused(asked, _cache(spark, sf_dir), F.lit(REF).cast("timestamp"))
+    return out.select("merchant_raw", "asked", "cached_raw", "canonical", "service_category", "confidence")
+
+
+@query
+def cls_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-09: suppliers and every other part as new results."""
+    cache = _cache(spark, sf_dir)
+    k = F.col("s_suppkey")
+    result = lambda df, name, current: df.select(name.alias("merchant_raw"), F.lit("New").alias("canonical"), F.lit("Film").alias("service_category"), F.lit("mediaStreaming").alias("kind"), F.lit(0.5).alias("affinity"), F.lit(0.75).alias("confidence"), current.alias("current"))
+    part = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == 0)
+    both = result(part, F.concat(F.lit("RAW "), F.col("p_partkey").cast("string")), F.col("p_partkey") % 4 == 0).unionByName(result(table(spark, sf_dir, "supplier"), F.col("s_name"), k % 2 == 0))
+    out = imports.cached(cache, both, F.lit(REF).cast("timestamp"))
+    return out.select("merchant_raw", "canonical", "service_category", "confidence", "version", F.to_date("updated").alias("updated"), "corrected")
+
+
+@query
+def rul_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-01: customers as names with corrections, reviews, subscriptions and rules of an earlier look."""
+    k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("Merchant "), k.cast("string"))
+    spelt = F.when(k % 8 == 0, F.upper(name)).otherwise(name)
+    corrections = c.where(k % 3 == 0).select(k.alias("id"), name.alias("canonical"), (k % 6 == 3).alias("is_subscription"))
+    reviews = c.where(k % 4 < 3).select(
+        k.alias("id"), spelt.alias("canonical"), (k % 4 == 0).alias("false_positive"), (k % 5 == 0).alias("confirmed"), F.when(k % 7 == 0, (k % 90).cast("double")).alias("price"),
+        F.when(k % 7 == 0, F.when(k % 2 == 0, " EUR ").otherwise("")).alias("currency"), F.when(k % 11 == 0, "monthly").alias("cadence"), F.lit(None).cast("string").alias("status"),
+    )
+    own = c.where(k % 2 == 0).select(k.alias("id"), name.alias("canonical"), (k % 10 == 0).alias("confirmed"), (k % 10 == 2).alias("manual"), (k % 100).cast("double").alias("price"), F.lit("USD").alias("currency"), (k % 10 / 10).cast("double").alias("score"))
+    charges = ledger(spark, sf_dir).select("merchant", F.when(F.col("id") % 3 == 0, F.lower("merchant_raw")).otherwise(F.col("merchant_raw")).alias("merchant_raw"))
+    origin = F.when(k % 3 == 0, "userCorrection").otherwise("reviewRule")
+    earlier = c.where(k % 5 < 2).select(
+        F.concat_ws("|", F.lower(name), F.when(k % 2 == 0, "negative").otherwise("positive"), origin).alias("_key"), name.alias("canonical"), (k % 2 == 0).alias("negative"), origin.alias("origin"), (k + 1000).alias("subscription"),
+        F.lit(1.0).alias("price"), F.lit("GBP").alias("currency"), F.lit(0.5).alias("confidence"), F.lit(1).alias("priority"), F.array(F.lit("OLD")).alias("raw_merchants"), F.array(F.lit("old")).alias("required"), F.lit(0.0).alias("low"), F.lit(2.0).alias("high"),
+    )
+    out = derived.derived_rules(earlier, corrections, reviews, own, charges)
+    return out.select(F.col("_key").alias("rule_key"), *derived.RULE, F.array_join("raw_merchants", ",").alias("raw_merchants"), F.array_join("required", ",").alias("required"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "outcome")
+
+
+def _hidden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers of whom every third is hidden, and their orders in accounts, currencies, sources and imports."""
+    k = F.col("id")
+    charges = ledger(spark, sf_dir).select(
+        F.col("cluster").alias("subscription"), F.when(k % 3 == 0, F.lower("merchant_raw")).otherwise(F.col("merchant_raw")).alias("merchant_raw"), F.when(k % 2 == 0, "main").otherwise(" ").alias("account"),
+        F.when(k % 9 == 0, "eur").when(k % 9 < 5, "USD").alias("currency"), F.when(k % 4 == 0, "file").otherwise("bank").alias("source"), F.when(k % 5 == 0, "i1").alias("import"), "amount",
+    )
+    names = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 1)
+    return names.select(F.col("c_custkey").alias("subscription"), F.concat(F.lit("Merchant "), F.col("c_custkey").cast("string")).alias("canonical")), charges
+
+
+@query
+def rul_hidden_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-15: a negative rule for each scope of each hidden customer."""
+    out = derived.hidden_rules(*_hidden(spark, sf_dir))
+    return out.select("subscription", "scope_key", "account", "currency", "source", F.array_join("scope", ",").alias("scope"), F.array_join("required", ",").alias("required"), "n", "n_spellings", "n_amounts", "price", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "priority")
+
+
+@query
+def rul_hidden_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-15: the raw names of the scopes."""
+    return derived.hidden_spellings(*_hidden(spark, sf_dir))

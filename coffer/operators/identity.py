@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, tokens
+from .matching import largest_overlaps
 
 #: Days apart, and token similarity, of one charge seen twice.
 FUZZY_DAYS, FUZZY_SIMILARITY = 2, 0.82
@@ -64,32 +65,39 @@ def find_identities(drafts: DataFrame, identities: DataFrame, stored: DataFrame)
     drafts and identities: source, account, external_id, pending_id, reference, fingerprint; drafts
     also draft, date, amount, merchant; identities also status and id (of a stored transaction);
     stored: id, source, account, date, amount, merchant. Manual drafts without external ids are
-    found by reference and fingerprint alone. Five joins on keys, ranked; no nested scan.
+    found by reference and fingerprint alone. Five joins on keys, ranked; no nested scan. Only drafts
+    that no key finds go into the fuzzy joins. Where identities hold ``identity``, so does the
+    result: the row that led to the transaction, null for duplicates. Then a pending row that no key finds goes
+    to one draft only, and drafts choose among them by their order, the least id first; else drafts don't compete.
     """
+    named = ["identity"] if "identity" in identities.columns else []
     d = drafts.withColumn("account", F.coalesce("account", F.lit(""))).withColumn("_manual", (F.col("source") == "manualImport") & F.col("external_id").isNull() & F.col("pending_id").isNull())
-    i = identities.select("source", F.coalesce("account", F.lit("")).alias("account"), *[F.col(c).alias(f"i_{c}") for c in ("external_id", "pending_id", "reference", "fingerprint", "status")], "id")
+    i = identities.select("source", F.coalesce("account", F.lit("")).alias("account"), *[F.col(c).alias(f"i_{c}") for c in ("external_id", "pending_id", "reference", "fingerprint", "status")], "id", *named)
     same = ["source", "account"]
     free = d.where("NOT _manual")
     found = [
         free.join(i, same).where("external_id = i_external_id"),
-        free.join(i.select(*same, "id", F.explode(F.array_compact(F.array("i_external_id", "i_pending_id"))).alias("_key")), same).where("pending_id = _key"),
+        free.join(i.select(*same, "id", *named, F.explode(F.array_compact(F.array("i_external_id", "i_pending_id"))).alias("_key")), same).where("pending_id = _key"),
         d.join(i, same).where("reference = i_reference AND fingerprint = i_fingerprint"),
     ]
-    row = lambda df, k: df.select("draft", F.lit(k).alias("_way"), "id")
+    row = lambda df, k: df.select("draft", F.lit(k).alias("_way"), "id", *named)
     keyed = [row(df, k) for k, df in enumerate(found)]
-    left = free.select(F.col("draft").alias("id"), F.concat_ws("|", "source", "account").alias("account"), "date", "amount", "merchant", "external_id", "pending_id", "reference")
+    known = keyed[0].unionByName(keyed[1]).unionByName(keyed[2])
+    left = free.join(known.select("draft"), "draft", "left_anti").select(F.col("draft").alias("id"), F.concat_ws("|", "source", "account").alias("account"), "date", "amount", "merchant", "external_id", "pending_id", "reference")
     right = stored.select("id", F.concat_ws("|", "source", F.coalesce("account", F.lit(""))).alias("account"), "date", "amount", "merchant")
-    waiting = i.where("i_status = 'pending' OR i_pending_id IS NOT NULL").select("id").distinct()
+    waiting = i.where("i_status = 'pending' OR i_pending_id IS NOT NULL")
+    waiting = waiting.select("id", *named).distinct()
     fuzzy = lambda a, b: fuzzy_duplicates(a, b).select(F.col("left_id").alias("draft"), F.col("right_id").alias("id"))
-    replaced = fuzzy(left.where("external_id IS NOT NULL"), right.join(waiting, "id", "left_semi"))
+    replaced = fuzzy(left.where("external_id IS NOT NULL"), right.join(waiting.select("id"), "id", "left_semi"))
     doubled = fuzzy(left.where("reference IS NULL AND (external_id IS NOT NULL OR pending_id IS NOT NULL)"), right)
-    every = [*keyed, row(replaced, 3), row(doubled, 4)]
-    union = every[0]
-    for df in every[1:]:
-        union = union.unionByName(df)
-    best = union.groupBy("draft").agg(F.min(F.struct("_way", "id")).alias("m"))
+    if named:
+        rivals = replaced.join(waiting.join(known.select("identity"), "identity", "left_anti"), "id")
+        replaced = largest_overlaps(rivals.select("draft", "identity", "id"), "draft", "identity", [F.col("draft"), F.col("id")])
+        doubled = doubled.withColumn("identity", F.lit(None).cast(identities.schema["identity"].dataType))
+    union = known.unionByName(row(replaced, 3)).unionByName(row(doubled, 4))
+    best = union.groupBy("draft").agg(F.min(F.struct("_way", "id", *named)).alias("m"))
     way = F.get(F.array(*[F.lit(w) for w in WAYS]), F.col("m._way"))
-    return drafts.select("draft").join(best, "draft", "left").select("draft", F.col("m.id").alias("id"), way.alias("way"))
+    return drafts.select("draft").join(best, "draft", "left").select("draft", F.col("m.id").alias("id"), way.alias("way"), *[F.col(f"m.{c}").alias(c) for c in named])
 
 
 def changed_fields(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
