@@ -111,6 +111,11 @@ _HIDDEN = """hs AS (SELECT cluster AS subscription, CASE WHEN id % 3 = 0 THEN lo
   CASE WHEN id % 4 = 0 THEN 'file' ELSE 'bank' END AS source, CASE WHEN id % 5 = 0 THEN 'i1' ELSE '' END AS import, abs(amount) AS amount FROM led WHERE cluster % 3 = 1)"""
 
 
+def _headers(key: str) -> str:
+    """Five headers, of which some are missing by the key."""
+    return "[" + ", ".join(f"CASE WHEN {key} % {p} > 0 THEN '{h}' END" for h, p in (("Date", 7), ("Text", 2), ("Sum", 11), ("Shop", 3), ("Kind", 5))) + "]"
+
+
 def _hex_sum(text: str) -> str:
     """The sum of the first fifteen hexadecimal digits of every text's digest."""
     return f"CAST(sum(CAST('0x' || md5({text})[:15] AS BIGINT)) AS VARCHAR)"
@@ -275,4 +280,18 @@ SELECT subscription, concat_ws('|', 'merchant ' || subscription, account, lower(
   'merchant' || CASE WHEN subscription > 99 THEN ',' || subscription ELSE '' END AS required, n, n_spellings, n_amounts, price, round(greatest(0, least - greatest(0.05, most * 0.02)), 6) AS low, round(most + greatest(0.05, most * 0.02), 6) AS high, 1050 AS priority
 FROM hg JOIN hr USING (subscription, account, currency, source, import) JOIN ha USING (subscription, account, currency, source, import)""",
     "rul_hidden_spellings": f"WITH {LEDGER}, {_HIDDEN} SELECT DISTINCT subscription, account, currency, source, import, raw AS merchant_raw FROM hs",
+    "snk_export": """WITH ls AS (SELECT unnest(['{', '  "exportedAt" : "2001-09-01T00:00:00Z",', '  "accounts" : [', '  "transactions" : [', '  ],', '  ]', '}']) AS line UNION ALL SELECT '    {' FROM orders UNION ALL SELECT '    {' FROM customer
+  UNION ALL SELECT '    }' || CASE WHEN o_orderkey < (SELECT max(o_orderkey) FROM orders) THEN ',' ELSE '' END FROM orders UNION ALL SELECT '    }' || CASE WHEN c_custkey < (SELECT max(c_custkey) FROM customer) THEN ',' ELSE '' END FROM customer
+  UNION ALL SELECT '      "date" : "' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z",' FROM orders UNION ALL SELECT '      "id" : ' || o_orderkey || CASE WHEN o_orderkey % 3 > 0 THEN ',' ELSE '' END FROM orders UNION ALL SELECT '      "memo" : "' || o_orderpriority || '"' FROM orders WHERE o_orderkey % 3 > 0
+  UNION ALL SELECT '      "active" : ' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ',' FROM customer UNION ALL SELECT '      "id" : ' || c_custkey || ',' FROM customer UNION ALL SELECT '      "name" : "' || c_name || '",' FROM customer
+  UNION ALL SELECT '      "share" : ' || (c_custkey // 4) || (['', '.25', '.5', '.75'])[c_custkey % 4 + 1] FROM customer) SELECT line, count(*) AS n FROM ls GROUP BY 1""",
+    "snk_store": """SELECT v AS version, 'accounts' AS name, count(*) AS n, sum(c_custkey) AS ids, sum(c_custkey) AS last FROM customer, (VALUES (1), (2), (3)) t(v) GROUP BY 1
+  UNION ALL SELECT 1, 'transactions', count(*), sum(o_orderkey), sum(o_custkey) FROM orders UNION ALL SELECT 2, 'transactions', count(*), sum(o_orderkey), sum(o_custkey + 1) FROM orders WHERE o_orderkey % 2 = 0""",
+    "inf_templates": f"""WITH tl AS (SELECT s_suppkey AS template, s_suppkey % 13 AS created, s_suppkey % 2 = 0 AS plus, {_headers("s_suppkey")} AS h FROM supplier), fl AS (SELECT o_orderkey AS file, o_orderkey % 4 < 2 AS plus, {_headers("o_orderkey")} AS h FROM orders),
+jn AS (SELECT fl.file, fl.plus, fl.plus = tl.plus AS agrees, template, tl.h, row_number() OVER (PARTITION BY fl.file ORDER BY created DESC, template DESC) AS r FROM fl LEFT JOIN tl ON list_sort(list_filter(tl.h, lambda x: x IS NOT NULL)) = list_sort(list_filter(fl.h, lambda x: x IS NOT NULL)) AND len(list_filter(tl.h, lambda x: x IS NOT NULL)) > 0)
+SELECT file, template, CASE WHEN template IS NULL THEN 'own' ELSE h[1] END AS date, h[2] AS description, h[3] AS amount, h[4] AS merchant, h[5] AS category, CASE WHEN plus THEN 'positive' ELSE 'negative' END AS sign, CASE WHEN agrees THEN 1.0 ELSE 0.5 END AS confidence FROM jn WHERE r = 1""",
+    "inf_preview": """WITH li AS (SELECT l_suppkey AS s, l_orderkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
+ma AS (SELECT *, k % 6 > 0 AND k % 7 > 0 AS ok, ok AND k % 5 > 0 AND s % 8 > 0 AS named, named AND CASE WHEN s % 2 = 0 THEN k % 10 >= s % 10 ELSE k % 10 < s % 10 END AS debit FROM li WHERE n <= 200),
+co AS (SELECT s AS file, count(*) AS sampled, count_if(ok) AS parseable, count_if(named) AS usable, count_if(debit) AS debits, count_if(ok) - count_if(named) AS missing FROM ma GROUP BY 1)
+SELECT *, concat_ws(',', CASE WHEN parseable = 0 THEN 'unparseable' END, CASE WHEN usable = 0 AND parseable > 0 THEN 'nameless' END, CASE WHEN usable > 0 AND debits = 0 THEN 'no_debits' WHEN debits * 4 < usable THEN 'few_debits' END) AS warnings FROM co""",
 }

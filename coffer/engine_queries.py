@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
 from .operators import aggregates, audit, classification, derived, histories, identity, imports, lifecycle, matching, passes, replay, rules, schedules, scoring, services
+from .plans.staging import shared_folder
+from .plans.stores import Store
 from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
+from .sources import templates
+from .sources.export import export
 
 
 @query
@@ -515,3 +521,57 @@ def rul_hidden_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rul_hidden_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-15: the raw names of the scopes."""
     return derived.hidden_spellings(*_hidden(spark, sf_dir))
+
+
+@query
+def snk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01, SNK-02: some columns of orders and customers as one document, and how often each of its lines stands in it."""
+    path = f"{shared_folder(spark)}/coffer-export-{uuid4().hex}.json"
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("date"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("memo"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") / 4).alias("share"), (F.col("c_custkey") % 2 == 0).alias("active"))
+    export(spark, {"transactions": (orders, ["id"]), "accounts": (customers, ["id"])}, path, exportedAt="2001-09-01T00:00:00Z")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def snk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03, SNK-04: orders and customers in a store, orders replaced by a later commit, then read by version."""
+    store = Store(spark, f"{shared_folder(spark)}/coffer-store-{uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account"))
+    store.commit({"transactions": orders, "accounts": table(spark, sf_dir, "customer").select("c_custkey")}, 0)
+    store.commit({"transactions": store.tables()["transactions"].where("id % 2 = 0").withColumn("account", F.col("account") + 1)}, 1)
+    store.clear(keep=("accounts",))
+    rows = [df.select(F.lit(v).alias("version"), F.lit(n).alias("name"), F.col(df.columns[0]).alias("id"), F.col(df.columns[-1]).alias("last")) for v in store.versions() for n, df in sorted(store.tables(v).items())]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df)
+    return out.groupBy("version", "name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("last").alias("last"))
+
+
+_HEADERS = ["Date", "Text", "Sum", "Shop", "Kind"]
+
+
+@query
+def inf_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF-11: orders as files with headers, suppliers as templates."""
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    names = lambda key: [F.when(key % p > 0, F.lit(h)) for h, p in zip(_HEADERS, (7, 2, 11, 3, 5))]
+    none = [F.lit(None).cast("string").alias(r) for r in templates.ROLES[5:]]
+    files = table(spark, sf_dir, "orders").select(
+        k.alias("file"), F.reverse(F.array_compact(F.array(*names(k)))).alias("headers"), F.lit("own").alias("date"), *[F.lit(None).cast("string").alias(r) for r in templates.ROLES[1:]], F.when(k % 4 < 2, "positive").otherwise("negative").alias("sign"), F.lit(0.5).alias("confidence")
+    )
+    known = table(spark, sf_dir, "supplier").select(s.alias("template"), (s % 13).alias("created"), *[n.alias(r) for n, r in zip(names(s), templates.ROLES)], *none, F.when(s % 2 == 0, "positive").otherwise("negative").alias("sign"))
+    return templates.with_template(files, known).select("file", "template", "date", "description", "amount", "merchant", "category", "sign", "confidence")
+
+
+@query
+def inf_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF-12: suppliers' line items as files of statement rows."""
+    s, k = F.col("l_suppkey"), F.col("l_orderkey")
+    amount = F.col("l_extendedprice").cast("decimal(18,2)")
+    rows = table(spark, sf_dir, "lineitem").select(
+        s.alias("file"), F.struct("l_orderkey", "l_linenumber").alias("row"), F.when(k % 6 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        F.when(k % 7 == 0, None).otherwise(F.concat(F.when((k % 10 < s % 10), "-").otherwise(""), amount.cast("string"))).alias("amount"), F.when((k % 5 > 0) & (s % 8 > 0), F.col("l_returnflag")).alias("merchant"), F.when(s % 2 == 0, "positive").otherwise("negative").alias("sign"),
+    )
+    out = templates.previews(rows)
+    return out.withColumn("warnings", F.array_join("warnings", ","))

@@ -7,16 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder of spark.checkpoint.dir, which executors share.
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which executors share.
 
     A session on one machine without that setting gets a temporary folder; a
     cluster without it is refused, as its executors would each write to a disk of their own.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="coffer-"))
+        folder = tempfile.mkdtemp(prefix="coffer-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

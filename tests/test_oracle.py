@@ -28,7 +28,7 @@ def _plain(value):
     return round(value, 5) + 0.0 if isinstance(value, float) and math.isfinite(value) else value
 
 
-@pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n.split("_")[0] in ("prd", "scr", "cls", "jn", "occ", "sch", "qry", "rec", "rul", "src")])
+@pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n.split("_")[0] in ("prd", "scr", "cls", "jn", "occ", "sch", "qry", "rec", "rul", "src", "snk", "inf")])
 def test_query_agrees_with_sql(spark, db, name):
     frame = registry.QUERIES[name](spark, str(TABLES))
     columns = sorted(frame.columns)
