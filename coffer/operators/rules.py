@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, identity_token
+from ..plans.staging import staged
 
 #: Least band around a price, and its share of the price.
 BAND, BAND_SHARE = 2.5, 0.12
@@ -32,38 +33,53 @@ def with_band(rules: DataFrame) -> DataFrame:
 
 
 _TEXTS = ["merchant_raw", "merchant", "memo", "category"]
-#: Characters of the part of a token by which rules and texts meet.
-GRAM = 3
+#: Most characters of a needle's word by which rules and texts meet.
+KEY = 32
+#: A word of more texts than this leaves the texts before they are dealt by word, unless a rule asks for it.
+HOT = 10_000
 
 
-def _grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct parts of a text with so many characters; a shorter text has none."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
+def _words(text: Column) -> Column:
+    """The distinct words of a text between spaces, and first an empty one, which every text has."""
+    return F.array_union(F.array(F.lit("")), F.split(text, " "))
 
 
-def _by_text(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Texts with the rules all of whose needles they hold, each pair once.
+def _keys(word: Column, sizes: Column) -> Column:
+    """The distinct parts of a word that have one of these lengths."""
+    each = F.transform(F.filter(sizes, lambda n: n <= F.length(word)), lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)))
+    return F.array_distinct(F.flatten(each))
+
+
+def _meeting(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Texts with the rules that they may hold all needles of, by a word of the text and a piece of a needle.
 
-    A rule and a text meet by one part of a needle: of all of the rule's parts the one
-    that stands in the fewest texts. A word that every rule has is thus passed over for a rarer one.
-    Rules whose needles are all shorter than a part meet texts by their parts of that length.
+    A piece of a needle between spaces stands within one word of a text. So needles are looked for in
+    the distinct words of all texts, by equal keys: the piece, or the beginning of a long one, against the parts of a
+    word of the lengths that pieces have. A rule and a text then meet by the words that hold the one of the
+    rule's pieces that stands in the fewest texts. Needles of spaces alone meet every text by the empty word.
     """
-    r = rules.withColumn("_size", F.least(F.lit(GRAM), F.array_max(F.transform("needles", lambda t: F.length(t)))))
-    long_enough = F.filter("needles", lambda t: F.length(t) >= F.col("_size"))
-    parts = F.array_distinct(F.flatten(F.transform(long_enough, lambda t: F.when(F.col("_size") == GRAM, _grams(t)).when(F.col("_size") == 2, _grams(t, 2)).otherwise(_grams(t, 1)))))
-    asked = r.select("rule", "_size", F.explode(parts).alias("_part"))
-    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("c_text"), n) for n in range(1, GRAM + 1)])))
-    held = texts.select(*_TEXTS, "c_text", F.explode(F.when(F.lit(_shortest(r) < GRAM), every).otherwise(_grams(F.col("c_text")))).alias("_part"))
-    counts = held.join(asked.select("_part").distinct(), "_part", "left_semi").groupBy("_part").agg(F.count("*").alias("_n"))
-    rarest = asked.join(counts, "_part").groupBy("rule").agg(F.min(F.struct("_n", "_part"))["_part"].alias("_part"), F.count("*").alias("_found"))
-    whole = asked.groupBy("rule").agg(F.count("*").alias("_parts"))  # a part that no text holds: no text holds the needle
-    keyed = r.drop("_size").join(rarest, "rule").join(whole, "rule").where("_found = _parts").drop("_found", "_parts")
-    return held.join(keyed, "_part").where(F.forall("needles", lambda t: F.contains(F.col("c_text"), t))).drop("_part", "needles", "c_text")
-
-
-def _shortest(rules: DataFrame) -> int:
-    """The least length by which any rule meets texts."""
-    return rules.agg(F.min("_size")).first()[0] or GRAM
+    pieces = F.array_distinct(F.flatten(F.transform("needles", lambda t: F.filter(F.split(t, " "), lambda w: w != ""))))
+    asked = rules.select("rule", F.explode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))).alias("_piece")).distinct()
+    keyed = asked.select("_piece", F.substring("_piece", 1, KEY).alias("_key")).distinct()
+    sizes = keyed.where("_key <> ''").agg(F.sort_array(F.collect_set(F.length("_key"))).alias("_sizes"))
+    held = texts.select(*_TEXTS, "c_text", F.explode(_words(F.col("c_text"))).alias("_word"))
+    words = held.groupBy("_word").agg(F.count("*").alias("_n"))
+    parts = words.join(F.broadcast(sizes)).select("_word", "_n", F.explode(F.when(F.col("_word") == "", F.array(F.lit(""))).otherwise(_keys(F.col("_word"), F.col("_sizes")))).alias("_key"))
+    hits = staged(parts.join(keyed, "_key").where(F.contains("_word", F.col("_piece"))).select("_piece", "_word", "_n"))
+    counts = hits.groupBy("_piece").agg(F.sum("_n").alias("_n"))
+    # A piece that no word holds counts 0 and comes first: its rule meets no text.
+    rarest = asked.join(counts, "_piece", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_piece"))["_piece"].alias("_piece"))
+    met = rarest.join(hits.select("_piece", "_word"), "_piece")
+    idle = words.where(F.col("_n") > HOT).join(met.select("_word").distinct(), "_word", "left_anti").select("_word")
+    return held.join(F.broadcast(idle), "_word", "left_anti").join(met.join(rules, "rule"), "_word")
+
+
+def _by_text(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Texts with the rules all of whose needles they hold, each pair once."""
+    at = _meeting(texts, rules)
+    # A text meets a rule by the first of its words that hold the piece.
+    first = F.get(F.filter(_words(F.col("c_text")), lambda w: F.contains(w, F.col("_piece"))), F.lit(0)) == F.col("_word")
+    return at.where(first & F.forall("needles", lambda t: F.contains(F.col("c_text"), t))).drop("_piece", "_word", "needles", "c_text")
 
 
 def matches(charges: DataFrame, rules: DataFrame) -> DataFrame:

@@ -64,3 +64,22 @@ def test_matches_by_a_plain_loop(spark, seed, tokens):
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
     assert rules.matches(spark.createDataFrame([], CHARGE), spark.createDataFrame(told, RULE)).collect() == []
     assert rules.matches(spark.createDataFrame(charges, CHARGE), spark.createDataFrame([], RULE)).collect() == []
+
+
+def test_rules_meet_few_texts(spark):
+    """Numbers share their parts of three digits, so that by such parts each rule met a share of all texts."""
+    keys = range(100_000, 104_000)
+    texts = spark.createDataFrame([(f"M {k}", f"m {k}", "", "", f"m {k} m {k}  ") for k in keys], "merchant_raw string, merchant string, memo string, category string, c_text string")
+    told = spark.createDataFrame([(k, ["m", str(k)]) for k in keys], "rule int, needles array<string>")
+    assert rules._meeting(texts, told).count() == len(keys)
+    got = rules._by_text(texts, told)
+    assert sorted((r["rule"], r["merchant"]) for r in got.collect()) == [(k, f"m {k}") for k in keys]
+
+
+def test_pieces_of_spaces_and_of_many_characters(spark):
+    long = "abcdefgh" * 6
+    words = ["a b", f"x{long}y z", f"{long[:40]}", "11 1", "a  b"]
+    texts = spark.createDataFrame([(w, w, "", "", w) for w in words], "merchant_raw string, merchant string, memo string, category string, c_text string")
+    needles = [[" "], ["  "], [long], [long[:33]], ["1"], ["1 1"], ["b", "a"], ["a b"], ["c a"]]
+    got = rules._by_text(texts, spark.createDataFrame(list(enumerate(needles)), "rule int, needles array<string>"))
+    assert sorted((r["rule"], r["merchant"]) for r in got.collect()) == sorted((i, w) for i, n in enumerate(needles) for w in words if all(t in w for t in n))
