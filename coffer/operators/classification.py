@@ -47,7 +47,8 @@ def classified(merchants: DataFrame, brands: DataFrame) -> DataFrame:
 
     ``brands`` is the catalogue (key, name, category, kind, affinity, confidence): of the brands
     whose key stands in the texts as words of its own, the one with the longest key counts. Texts
-    meet keys by their words, so the join is an equality on a key's first word.
+    meet keys by their words, so the join is an equality on a key's first word. The catalogue goes to every task: it
+    holds a row for each brand, whatever the merchants. Without the hint a catalogue of unknown size had the texts sent instead.
     """
     at = unmasked(F.col("merchant_raw"), F.col("memo"), F.col("category"))
     named = merchants.withColumn("_at", at).withColumn("_effective", F.coalesce("_at.merchant", "merchant_raw"))
@@ -58,7 +59,7 @@ def classified(merchants: DataFrame, brands: DataFrame) -> DataFrame:
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     catalogue = brands.select(F.struct("name", "category", "kind", "affinity", "confidence").alias("b"), F.col("key").alias("b_key"), F.get(words(F.col("key")), F.lit(0)).alias("b_word"))
     texts = keyed.select("_id", "_evidence", "_all", F.explode(F.array_distinct(words(F.col("_all")))).alias("word"))
-    met = texts.join(catalogue, F.col("word") == F.col("b_word"))
+    met = texts.join(F.broadcast(catalogue), F.col("word") == F.col("b_word"))
     text = F.when(F.col("b_key").isin(AMBIGUOUS), F.col("_evidence")).otherwise(F.col("_all"))
     apart = F.regexp_replace(F.col("b_key"), r"([^\p{L}\p{N} ])", r"\\$1")
     found = met.where(F.rlike(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), apart, F.lit(r"(?![\p{L}\p{N}])"))))
