@@ -15,27 +15,25 @@ def _currency() -> Column:
     return F.coalesce(F.upper("currency"), F.lit("USD"))
 
 
-def allowed(asked: DataFrame, charges: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (id, rule, name) of ``asked`` (id, rule, name, owner) that no guard forbids, with these links (id, canonical).
+def allowed(asked: DataFrame, owned: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (id, rule, name, owner, account, cur, m) that no guard forbids, with these owners' charges (canonical, account, cur, m).
 
     A name that owns no charge yet takes all that its rule matches. An owner that is one history takes back its own charges
     alone. Any other takes charges of an account that it is charged to: its own from before, and
     those without an owner if no other owner has charges of that merchant, account and currency.
     """
-    c = charges.select("id", "account", _currency().alias("cur"))
-    owned = links.join(charges.select("id", "account", _currency().alias("cur"), F.lower("merchant").alias("m")), "id")
     names = owned.select(F.col("canonical").alias("l_name"), F.lit(True).alias("alive")).distinct()
     accounts = owned.select(F.col("canonical").alias("a_name"), F.col("account").alias("a_account"), F.lit(True).alias("same")).distinct()
     # Who owns charges of a merchant in an account: one name, or several.
     siblings = owned.groupBy(F.col("m").alias("s_name"), F.col("account").alias("s_account"), F.col("cur").alias("s_cur")).agg(F.min("canonical").alias("s_least"), F.max("canonical").alias("s_most"))
-    out = asked.join(c, "id").join(names, F.col("name") == F.col("l_name"), "left")
+    out = asked.join(names, F.col("name") == F.col("l_name"), "left")
     out = out.join(accounts, (F.col("name") == F.col("a_name")) & F.col("account").eqNullSafe(F.col("a_account")), "left")
     out = out.join(siblings, (F.lower("name") == F.col("s_name")) & F.col("account").eqNullSafe(F.col("s_account")) & (F.col("cur") == F.col("s_cur")), "left")
     mine = F.coalesce(F.col("owner") == F.col("name"), F.lit(False))
     other = F.coalesce((F.col("s_least") != F.col("name")) | (F.col("s_most") != F.col("name")), F.lit(False))
     free = F.col("same").isNotNull() & (mine | (F.col("owner").isNull() & ~other))
     may = F.when(F.col("alive").isNull(), F.lit(True)).when(F.contains("name", F.lit(HISTORY)), mine).otherwise(free)
-    return out.where(may).select("id", "rule", "name")
+    return out.where(may).select(*asked.columns)
 
 
 def replay(found: DataFrame, rules: DataFrame, charges: DataFrame, links: DataFrame, previous: DataFrame) -> DataFrame:
@@ -49,22 +47,29 @@ def replay(found: DataFrame, rules: DataFrame, charges: DataFrame, links: DataFr
     the merchants whose charges it matches, and of the merchant that it is named after. So all
     rules act at once that come first for each of their names; then these leave, and the next ones
     come. As many rounds as the longest chain of rules that share names. Null ids and rules take no part.
+    The given frames are read before the first round alone: a round reads the matches
+    of the rules that still wait, and one row for each owner, merchant, account and currency that a rule names.
     """
     order = F.struct((-F.col("priority")).alias("p"), F.col("rule").alias("r"))
     named = rules.select("rule", F.col("canonical").alias("name"), order.alias("turn")).dropDuplicates(["rule"])
     owners = previous.select("id", "owner").where("owner IS NOT NULL").dropDuplicates(["id"])
-    asked = staged(found.select("id", "rule").distinct().join(links.select("id"), "id", "left_anti").join(named, "rule").join(owners, "id", "left"))
-    matched = asked.join(charges.select("id", F.concat(F.lit("m"), F.lower("merchant")).alias("use")), "id").select("rule", "turn", "use")
-    own = asked.select("rule", "turn", F.explode(F.array(F.concat(F.lit("m"), F.lower("name")), F.concat(F.lit("o"), "name"))).alias("use"))
-    uses = staged(matched.unionByName(own).where("use IS NOT NULL").distinct())
-    linked, taken = links.select("id", "canonical").where("canonical IS NOT NULL"), asked.select("id", "rule", "name").limit(0)
+    known = charges.select("id", "account", _currency().alias("cur"), F.lower("merchant").alias("m"))
+    free = found.select("id", "rule").distinct().join(links.select("id"), "id", "left_anti")
+    asked = staged(free.join(named, "rule").join(owners, "id", "left").join(known, "id"))
+    own = asked.select("rule", "turn", F.explode(F.array(F.concat(F.lit("m"), F.coalesce("m", F.lit(""))), F.concat(F.lit("m"), F.lower("name")), F.concat(F.lit("o"), "name"))).alias("use"))
+    uses = staged(own.where("use IS NOT NULL").distinct())
+    asked = asked.drop("turn")
+    told = asked.select("name").distinct()
+    owned = links.where("canonical IS NOT NULL").join(known, "id").select("canonical", "account", "cur", "m").distinct()
+    relevant = owned.join(told.withColumnRenamed("name", "canonical"), "canonical", "left_semi").unionByName(owned.join(told.select(F.lower("name").alias("m")).distinct(), "m", "left_semi").select(*owned.columns))
+    owned, taken = staged(relevant.distinct()), asked.select("id", "rule", "name").limit(0)
     while not uses.isEmpty():
         first = uses.groupBy("use").agg(F.min("turn").alias("first"))
         waiting = uses.join(first, "use").where("turn <> first").select("rule").distinct()
         acting = staged(uses.select("rule").distinct().join(waiting, "rule", "left_anti"))
-        left = asked.join(acting, "rule", "left_semi").join(linked.select("id"), "id", "left_anti").select("id", "rule", "name", "owner")
-        now = staged(allowed(left, charges, linked))
-        taken = taken.unionByName(now)
-        linked = linked.unionByName(now.select("id", F.col("name").alias("canonical")))
+        now = staged(allowed(asked.join(acting, "rule", "left_semi"), owned))
+        taken = taken.unionByName(now.select("id", "rule", "name"))
+        asked = staged(asked.join(acting, "rule", "left_anti").join(now.select("id"), "id", "left_anti"))
+        owned = staged(owned.unionByName(now.select(F.col("name").alias("canonical"), "account", "cur", "m")).distinct())
         uses = staged(uses.join(acting, "rule", "left_anti"))
     return taken

@@ -71,6 +71,25 @@ def test_replay_by_a_plain_loop(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_replay_reads_its_frames_once(spark):
+    """However many rounds the rules take, the given charges are not read anew in each."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    schema = "id int, account string, currency string, merchant string"
+    charges = spark.createDataFrame([(i, "a", "USD", "Alpha") for i in range(8)], schema).mapInArrow(counted, schema)
+    told = spark.createDataFrame([(r, f"Name {r}", r) for r in range(8)], "rule int, canonical string, priority int")
+    found = spark.createDataFrame([(i, r) for i in range(8) for r in range(8)], "id int, rule int")
+    links, owners = spark.createDataFrame([(99, "Alpha")], "id int, canonical string"), spark.createDataFrame([], "id int, owner string")
+    got = replay.replay(found, told, charges, links, owners).collect()
+    assert sorted(map(tuple, got)) == [(i, 7, "Name 7") for i in range(8)]
+    assert reads.value <= 4 * 8
+
+
 def _first_near(amounts, absolute, share):
     """Amounts in rising order to the first cluster whose mean is near."""
     found = []
