@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coffer import registry
 from coffer.operators import clusters, matching, passes, replay, rules
+from coffer.plans.staging import staged
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,6 +32,29 @@ def test_overlaps_by_a_greedy_loop(spark, seed):
     assert matching.largest_overlaps(frame.limit(0), "a", "b", [-F.col("n")]).collect() == []
 
 
+def test_overlaps_write_few_rows(spark, monkeypatch):
+    """All rows are written once; the rounds write the first rows of each left."""
+    written = []
+
+    def counted(df):
+        out = staged(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "staged", counted)
+    rng = random.Random(3)
+    rows = [(a, b, rng.choice([1, 1, 1, 2])) for a in range(100) for b in rng.sample(range(1000), 300)]
+    frame = spark.createDataFrame(rows, "a int, b int, n int")
+    lefts, rights, want = set(), set(), []
+    for a, b, n in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in lefts and b not in rights:
+            lefts.add(a)
+            rights.add(b)
+            want.append((a, b, n))
+    assert sorted(map(tuple, matching.largest_overlaps(frame, "a", "b", [-F.col("n"), F.col("a")]).collect())) == sorted(want)
+    assert sum(written) < 2 * len(rows)
+
+
 def _may(charge, name, links, charges, owner):
     """The guards for one charge, by a look at all links."""
     before = owner.get(charge["id"])
