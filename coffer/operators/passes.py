@@ -77,7 +77,8 @@ def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: Da
     (recent). Other debits have the pass none.
     """
     debits = staged(charges.where("amount < 0").drop("cluster"))
-    previous = previous.where("owner IS NOT NULL").select("id", F.col("owner").cast("string").alias("owner")).dropDuplicates(["id"])
+    previous = staged(previous.where("owner IS NOT NULL").select("id", F.col("owner").cast("string").alias("owner")).dropDuplicates(["id"]))
+    confirmed = staged(confirmed.select("canonical"))
     found = staged(matches(debits, rules))
     against = claims(found.where("negative"))
     links = [staged(_links(against, "suppressed", disposition=F.lit("suppressed"), rule=F.col("rule")))]
