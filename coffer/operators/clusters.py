@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import signal_text
+from ..functions.schedule import CADENCES
 from ..functions.text import contains_any
-from .histories import decompose
+from .histories import day_numbers, decompose, in_whole_groups
 
 # Least distance of an amount from a cluster's mean, and its share of the mean; of amounts that vary with use, more.
 TOLERANCE = {"primary": (2.5, 0.12), "fallback": (5.0, 0.20)}
@@ -52,21 +54,25 @@ def candidate_clusters(charges: DataFrame, by: list[str], mode: str = "primary")
     rows = charges.where(F.col("date").isNotNull()).select(
         *by, "id", "date", F.abs("amount").cast("double").alias("amount"), F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("affinity", F.lit(0.0)).alias("affinity"), F.coalesce(tells_use(), F.lit(False)).alias("use")
     )
-    several = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n > 1").drop("_n")
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["part int", "cadence string", f"id {kinds['id']}"])
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("date", "ascending"), ("id", "ascending")])
-        columns = {c: group.column(c).to_pylist() for c in ("date", "amount", "kind", "affinity", "use")}
-        found = [(cadence, places) for cadence, _, places in decompose(list(zip(range(group.num_rows), columns["date"], columns["amount"])))]
-        used = {i for _, places in found for i in places}
-        left = [i for i in range(group.num_rows) if i not in used]
-        profile = tolerance(*([columns[c][i] for i in left] for c in ("kind", "affinity", "use")), mode)
-        found += [(None, [left[i] for i in members]) for members in fragments([columns["amount"][i] for i in left], *profile)]
-        at = pa.array([i for _, places in found for i in places], pa.int64())
-        each = [(part, cadence) for part, (cadence, places) in enumerate(found) for _ in places]
-        out = [group.column(c).take(at) for c in by] + [pa.array([r[i] for r in each], t) for i, t in enumerate((pa.int32(), pa.string()))]
-        return pa.Table.from_arrays([*out, group.column("id").take(at)], names=[*by, "part", "cadence", "id"])
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        row, part, cadence, _ = decompose(group, day_numbers(table), table.column("amount").to_numpy())
+        histories = np.zeros(group[-1] + 1, np.int64)  # of each group
+        np.maximum.at(histories, group[row], part + 1)
+        names = [CADENCES[k].name for k in cadence.tolist()]
+        left = np.delete(np.arange(len(group)), row)
+        columns = {c: table.column(c).to_pylist() for c in ("amount", "kind", "affinity", "use")}
+        more: list[tuple[int, int]] = []
+        for places in np.split(left, np.flatnonzero(np.diff(group[left])) + 1):
+            if len(places) > 1:
+                own, k = places.tolist(), int(histories[group[places[0]]])
+                profile = tolerance(*([columns[c][i] for i in own] for c in ("kind", "affinity", "use")), mode)
+                for part_of, members in enumerate(fragments([columns["amount"][i] for i in own], *profile), k):
+                    more += [(own[i], part_of) for i in members]
+        at = pa.array([*row.tolist(), *[i for i, _ in more]], pa.int64())
+        out = [table.column(c).take(at) for c in by] + [pa.array([*part.tolist(), *[k for _, k in more]], pa.int32()), pa.array([*names, *[None] * len(more)], pa.string())]
+        return pa.Table.from_arrays([*out, table.column("id").take(at)], names=[*by, "part", "cadence", "id"])
 
-    return several.groupBy(*by).applyInArrow(run, schema)
+    return in_whole_groups(rows, by, work, schema)

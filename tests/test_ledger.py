@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,17 @@ def test_histories(spark):
     assert histories.billing_histories(rows.where("false"), ["account"]).count() == 0
 
 
+def test_histories_of_many_groups_meet_in_one_task(spark):
+    """Groups that lie in one batch are taken apart as if alone, and the result is the same however the rows lie."""
+    rows = [(g * 100 + i, None if g == 7 else g, date.fromordinal(date(2024, 1, 1).toordinal() + (7 * i if g % 2 else 30 * i) + g % 5), 5.0 + g) for g in range(40) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, account int, date date, amount double")
+    got = histories.billing_histories(df.repartition(3), ["account"]).groupBy("account").agg(F.count("*").alias("n"), F.min("cadence").alias("a"), F.max("cadence").alias("b"), F.max("history").alias("h")).collect()
+    assert {r.account: (r.n, r.a, r.b, r.h) for r in got} == {None if g == 7 else g: (6, "weekly" if g % 2 else "monthly", "weekly" if g % 2 else "monthly", 0) for g in range(40)}
+    days = np.array([9_000, 9_031, 9_060, 9_000, 9_007, 9_014, 9_021])
+    row, history, cadence, _ = histories.decompose(np.array([0, 0, 0, 1, 1, 1, 1]), days, np.ones(7))
+    assert sorted(zip(row.tolist(), history.tolist())) == [(i, 0) for i in range(7)]
+
+
 def test_amount_clusters_match_a_plain_loop(spark):
     amounts = [1.0, 2.0, 9.0, 9.5, 30.0, 31.0, 33.0, 60.0]
     rows = spark.createDataFrame([(1, a) for a in amounts], "account int, amount double")
