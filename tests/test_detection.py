@@ -59,3 +59,15 @@ def test_merchants_behind_processors(spark):
 def test_marks_and_years(spark):
     row = spark.range(1).select(text.folded(F.lit("Škoda Žáček ệ")).alias("t"), parsed_date(F.lit("3/5/95")).alias("a"), parsed_date(F.lit("3/5/25")).alias("b"), parsed_date(F.lit("Mar 5 2025")).alias("c")).first()
     assert row.t == "skoda zacek e" and (str(row.a), str(row.b), str(row.c)) == ("1995-03-05", "2025-03-05", "2025-03-05")
+
+
+def test_larger_tables_are_dealt_into_more_parts(spark, monkeypatch):
+    """A task holds about PART_ROWS rows of the ledger however many there are; the snapshots keep to those parts."""
+    from coffer.plans import staging
+    from coffer.plans.views import ledger, subscriptions
+
+    monkeypatch.setattr(staging, "PART_ROWS", 100)
+    charges = ledger(spark, "/root/testdata/sf0.001")
+    parts = -(-charges.count() // 100)
+    assert parts > 4 and charges.rdd.getNumPartitions() == parts == scoring.snapshots(charges).rdd.getNumPartitions()
+    assert subscriptions(spark, "/root/testdata/sf0.001").count() > 0
