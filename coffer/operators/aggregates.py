@@ -140,15 +140,25 @@ RECOVERY_STOP_WORDS = ["subscription", "subscriptions", "membership", "member",
 
 def recovery_keys(charges: DataFrame) -> DataFrame:
     """Charges with the looser key of their group: two or more charges that do not all only move money (REC-17)."""
+    free = _keyed(charges).where("_free").withColumn("_key", F.coalesce(F.concat(F.lit("="), "key"), F.lit("")))
+    grouped = free.groupBy("_key").agg(F.count("key").alias("_n"), F.bool_and("movement").alias("_moved"), F.bool_or("strong").alias("_worded"))
+    return free.join(grouped.where("_n >= 2 AND (NOT _moved OR _worded)").select("_key"), "_key").select(*charges.columns, "key")
+
+
+def _keyed(charges: DataFrame) -> DataFrame:
+    """Charges with their flags, the looser key, and whether they may stand in its group (``_free``)."""
     marked = flags(charges)
     words = F.split(F.lower(F.concat_ws(" ", "merchant", "merchant_raw", "memo", "descriptor")), r"[^\p{L}\p{M}\p{N}]+")
     loose = F.array_join(F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(RECOVERY_STOP_WORDS)), 1, 2), " ")
     key = F.when(F.col("confidence") >= 0.75, F.lower("merchant")).otherwise(F.coalesce(F.nullif(loose, F.lit("")), F.lower("merchant")))
-    free = marked.where(~F.col("kind").isin(NON_SUBSCRIPTION_KINDS) | F.col("keyword")).withColumn("key", key)
-    grouped = free.groupBy("key").agg(F.count("*").alias("_n"), F.bool_and("movement").alias("_moved"), F.bool_or("strong").alias("_worded"))
-    return free.join(grouped.where("_n >= 2 AND (NOT _moved OR _worded)").select("key"), "key").select(*charges.columns, "key")
+    return marked.withColumns({"key": key, "_free": ~F.col("kind").isin(NON_SUBSCRIPTION_KINDS) | F.col("keyword")})
 
 
 def recovery_groups(charges: DataFrame) -> DataFrame:
-    """The looser groups (key, n) of charges (REC-17)."""
-    return recovery_keys(charges).groupBy("key").agg(F.count("*").alias("n"))
+    """The looser groups (key, n) of charges (REC-17). Charges whose words and class agree are counted before the words are looked through."""
+    alike = [c for c in ("cluster", "memo", "category", "merchant_raw", "merchant", "kind", "confidence") if c in charges.columns]
+    keyed = _keyed(charges.groupBy(*alike).agg(F.count("*").alias("_c")))
+    # Conditions on aggregates: a filter of rows would be evaluated again, words and all, on every charge that is read.
+    free = F.col("_free") & F.col("key").isNotNull()
+    grouped = keyed.groupBy("key").agg(F.sum(F.when(free, F.col("_c"))).alias("n"), F.bool_and(F.when(free, F.col("movement"))).alias("_moved"), F.bool_or(F.when(free, F.col("strong"))).alias("_worded"))
+    return grouped.where("n >= 2 AND (NOT _moved OR _worded)").select("key", "n")

@@ -71,3 +71,16 @@ def test_larger_tables_are_dealt_into_more_parts(spark, monkeypatch):
     parts = -(-charges.count() // 100)
     assert parts > 4 and charges.rdd.getNumPartitions() == parts == scoring.snapshots(charges).rdd.getNumPartitions()
     assert subscriptions(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_recovery_groups_look_through_words_after_counting(spark):
+    """No filter holds the words' expressions, so that they are not evaluated again where charges are read; the groups are those of the keys."""
+    from coffer.operators import aggregates
+    from coffer.plans.views import ledger
+
+    charges = ledger(spark, "/root/testdata/sf0.001").withColumn("merchant", F.when(F.col("cluster") % 7 > 0, F.col("merchant")))
+    groups = aggregates.recovery_groups(charges)
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "translate(" in line]
+    keyed = aggregates.recovery_keys(charges).groupBy("key").count().collect()
+    assert keyed and sorted(map(tuple, groups.collect())) == sorted(map(tuple, keyed))
