@@ -11,9 +11,9 @@ from .detection_queries import REF as LEDGER_REF
 from .functions import processors, schedule, text
 from .functions.money import per_month
 from .operators import aggregates, audit, classification, derived, histories, identity, imports, lifecycle, matching, passes, replay, rules, schedules, scoring, services
-from .plans.staging import shared_folder
+from .plans.staging import shared_folder, staged
 from .plans.stores import Store
-from .plans.views import MEMOS, billed, ledger, purchases, subscriptions, table
+from .plans.views import MEMOS, billed, by_account, ledger, purchases, subscriptions, table
 from .queries import REF, _states, query
 from .sources import templates
 from .sources.export import export
@@ -235,8 +235,9 @@ def _regular(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     last = charges.groupBy("account").agg(F.max("date").alias("last_date"))
     known = schedules.schedules(charges).withColumn("cadence", cadence).join(last, "account")
     known = known.withColumn("next_date", F.when(F.col("account") % 4 < 2, schedule.advanced(F.col("last_date"), F.col("cadence"), F.lit(1))))
-    seen = lifecycle.coverage(billed(spark, sf_dir), LEDGER_REF)
-    return known, charges, schedules.missing_cycles(known, seen, LEDGER_REF)
+    known = staged(known)  # a row for each account, which all that follows reads several times
+    seen = lifecycle.coverage(by_account(spark, sf_dir), LEDGER_REF)
+    return known, charges, staged(schedules.missing_cycles(known, seen, LEDGER_REF))
 
 
 @query
@@ -259,7 +260,7 @@ def occ_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = schedules.expected_cycles(known, charges, missing).join(known.select("account", "cadence"), "account")
     tolerance = schedule.of_cadence(F.col("cadence"), "tolerance")
     expected = expected.select("account", "cycle", "expected", (100 + F.col("account") % 50).cast("decimal(18,4)").alias("price"), F.date_sub("expected", tolerance).alias("opens"), F.date_add("expected", tolerance).alias("closes"))
-    found = lifecycle.match_occurrences(expected, charges)
+    found = lifecycle.match_occurrences(staged(expected), charges)
     sure = F.when(F.col("account") % 4 < 2, 0.9).otherwise(0.5)
     status = lifecycle.occurrence_status(F.col("price"), F.col("amount"), sure, F.col("closes") < F.lit(LEDGER_REF).cast("date"))
     return found.select("account", "cycle", "expected", "id", status.alias("status"), F.round(schedules.amount_delta(F.col("price"), F.col("amount")), 6).alias("delta"))
@@ -308,8 +309,8 @@ def rec_recovery_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscriptions with state, renewal, monthly price, confidence, change and tenure."""
-    prices = aggregates.first_last_change(billed(spark, sf_dir), "account", ["date", "id"], 0.0).select("account", F.col("first").alias("first_price"), "change")
-    rise = aggregates.latest_against_rest(billed(spark, sf_dir), "account", ["date", "id"], 0.05).select("account", "rise")
+    prices = aggregates.first_last_change(by_account(spark, sf_dir), "account", ["date", "id"], 0.0).select("account", F.col("first").alias("first_price"), "change")
+    rise = aggregates.latest_against_rest(by_account(spark, sf_dir), "account", ["date", "id"], 0.05).select("account", "rise")
     months = F.timestamp_diff("MONTH", F.col("first_date").cast("timestamp"), F.col("last_date").cast("timestamp"))
     out = _states(spark, sf_dir).join(prices, "account", "left").join(rise, "account", "left")
     return out.withColumns({"months": months, "confidence": ((F.col("account") * 13 % 100) / 100).cast("double"), "monthly": F.round(per_month(F.col("cadence"), F.col("price")).cast("double"), 4)})
