@@ -2,26 +2,27 @@
 
 A paragraph ends at a blank line. Its words, wherever its lines are wrapped, are cut
 into overlapping windows that are longer than any notice, and every window is scored:
-a sparse multinomial logistic regression over word n-grams names the family or the
-class ``unknown``. The probability that a family needs is calibrated on windows of
-the corpus that the fit did not see. A prediction counts once a template of that
-family confirms it by the share of its word pairs that the window holds.
+a sparse multinomial logistic regression over the n-grams of the notices names the
+family or the class ``unknown``. The probability that a family needs is calibrated on
+windows of the corpus that the fit did not see. A prediction counts once a template of
+that family confirms it by the share of its n-grams that the window holds.
 Weights and templates become column expressions, so scoring runs without Python.
 
-The model learns from notices (below), alone, with words dropped, and with prose of
-the corpus around them, and from a bounded sample of windows of the corpus as the
-unknown class.
+The model learns from notices (below), alone, with words dropped, and among n-grams as
+frequent as they are in the corpus, and from every window of the corpus as the unknown
+class: windows that hold the same n-grams are one row with their number.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +69,30 @@ IDENTIFIERS = {
 WORDS, STEP = 64, 24
 #: A run of letters, digits, dots and hyphens inside words.
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-VOCABULARY, PENALTY = 4_000, 0.0005
-#: Parts of the table of weighted n-grams: Spark looks through the keys of a map one by one.
+PENALTY = 0.0005
+#: Parts of the table of n-grams: Spark looks through the keys of a map one by one.
 PARTS = 256
-#: Share of a template's word pairs that confirms a prediction, windows of the corpus learnt from, rounds of altered notices.
-CONFIRM, SAMPLE_WINDOWS, ROUNDS = 0.7, 4_000, 12
+#: Share of a template's n-grams that confirms a prediction, rounds of altered notices.
+CONFIRM, ROUNDS = 0.7, 12
+#: Weight of a window of the corpus in the fit, and of all of them at most: they must not drown the notices.
+WINDOW_WEIGHT, CORPUS_WEIGHT = 0.2, 500.0
 #: Share of the corpus's held windows without a notice that may reach the probability asked for.
 FALSE_RATE = 0.002
 LEAST_PROBABILITY = 0.5
+#: Steps of the log-odds by which held windows are counted, to a unit, and the log-odds where a double's probability is 1.
+STEPS, MOST_ODDS = 1_000, 37
+
+
+def _parts(notice: str) -> list[str]:
+    """The different word pairs of a notice, or its word if it has one."""
+    words = re.findall(TOKEN, notice.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) or words
+
+
+#: (family, n-grams) of every notice and identifier, and all their n-grams.
+TEMPLATES = [(f, _parts(n)) for by in (NOTICES, IDENTIFIERS) for f, notices in by.items() for n in notices]
+GRAMS = sorted({g for _, parts in TEMPLATES for g in parts})
+_PLACE = {g: k for k, g in enumerate(GRAMS)}
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -87,15 +104,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def _pairs(words: Column) -> Column:
-    following = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    zipped = F.zip_with(words, following, lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(zipped, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+def _marks(words: Column) -> Column:
+    """struct(word, pair): for each word its place among GRAMS, and that of the pair that it begins; null where it has none."""
+    parts: list[list[str]] = [[] for _ in range(PARTS)]
+    for g in GRAMS:
+        parts[zlib.crc32(g.encode()) % PARTS].append(g)
+    table = F.array(*[F.map_from_arrays(F.array(*[F.lit(g) for g in own]).cast("array<string>"), F.array(*[F.lit(_PLACE[g]) for g in own]).cast("array<int>")) for own in parts])
+    alone, pairs = [g for g in GRAMS if " " not in g], [g for g in GRAMS if " " in g]
+    begin = sorted({g.split(" ")[0] for g in pairs})
+
+    def place(g: Column, known: list[str]) -> Column:
+        return F.when(g.isin(known), table[(F.crc32(g.cast("binary")) % PARTS).cast("int")][g])
 
+    def pair(word: Column, i: Column) -> Column:
+        return F.when(word.isin(begin), place(F.concat(word, F.lit(" "), F.get(words, i + 1)), pairs))
 
-def grams(words: Column) -> Column:
-    """The words and word pairs of a window, repeats included."""
-    return F.concat(words, _pairs(words))
+    return F.struct(F.transform(words, lambda w: place(w, alone)).alias("word"), F.transform(words, pair).alias("pair"))
+
+
+def _hits(marks: Column, n: int | None = None, i: Column | None = None) -> Column:
+    """The places in order, once each, of the words and pairs of ``n`` words from ``i``, or of all."""
+    words, pairs = marks["word"], marks["pair"]
+    if n is not None:
+        words, pairs = F.slice(words, i, F.lit(n)), F.slice(pairs, i, F.lit(n - 1))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(words, pairs))))
 
 
 def _paragraphs(text: Column) -> Column:
@@ -116,123 +148,95 @@ def windows(text: Column) -> Column:
     return F.flatten(F.transform(_paragraphs(text), of))
 
 
-def _distinct(marks: Column) -> Column:
-    return F.array_distinct(F.filter(marks, lambda k: k.isNotNull()))
+def _of_windows(paragraph: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """``then`` of the words and marks of a paragraph, which are made once for all windows that share them, and of each window's start."""
+    return _once(tokens(paragraph), lambda t: _once(_marks(t), lambda m: F.transform(_starts(t), lambda i: then(t, m, i))))
 
 
 @dataclass(frozen=True)
 class LicenceModel:
-    """Classes, intercepts, the weights of each n-gram, and the least probability of a family."""
+    """Classes, intercepts, the weights of each of GRAMS by class, and the least probability of a family."""
 
     classes: tuple[str, ...]
     intercepts: tuple[float, ...]
-    weights: tuple[tuple[str, tuple[float, ...]], ...]
+    weights: tuple[tuple[float, ...], ...]
     least: float
 
-    def marks(self, features: Column) -> Column:
-        """The place of each n-gram among the weights, null where it has none."""
-        if not self.weights:
-            return F.transform(features, lambda g: F.lit(None).cast("int"))
-        parts: list[list[tuple[str, int]]] = [[] for _ in range(PARTS)]
-        for k, (g, _) in enumerate(self.weights):
-            parts[zlib.crc32(g.encode()) % PARTS].append((g, k))
-        table = F.array(*[F.map_from_arrays(F.array(*[F.lit(g) for g, _ in own]).cast("array<string>"), F.array(*[F.lit(k) for _, k in own]).cast("array<int>")) for own in parts])
-        known = [g for g, _ in self.weights]
-        return F.transform(features, lambda g: F.when(g.isin(known), table[(F.crc32(g.cast("binary")) % PARTS).cast("int")][g]))
-
-    def verdict(self, features: Column) -> Column:
-        """struct(family, probability) of the likeliest class."""
-        return self.verdict_of(_distinct(self.marks(features)))
-
-    def verdict_of(self, found: Column) -> Column:
-        """The verdict by the places of the n-grams that have a weight, once each."""
-        if not self.weights:
-            return F.struct(F.lit(UNKNOWN).alias("family"), F.lit(1.0).alias("probability"))
+    def verdict(self, hits: Column) -> Column:
+        """struct(family, probability) of the likeliest class by the places of the n-grams, once each; null without any."""
         start = F.array(*[F.lit(v) for v in self.intercepts])
-        rows = F.array(*[F.array(*[F.lit(v) for v in w]) for _, w in self.weights])
-        margins = F.aggregate(found, start, lambda acc, k: F.zip_with(acc, rows[k], lambda a, b: a + b))
-        scaled = F.transform(F.array(margins), lambda m: F.transform(m, lambda v: F.exp(v - F.array_max(m))))[0]
+        rows = F.array(*[F.array(*[F.lit(v) for v in w]) for w in self.weights])
+        margins = F.aggregate(hits, start, lambda acc, k: F.zip_with(acc, rows[k], lambda a, b: a + b))
         names = F.array(*[F.lit(c) for c in self.classes])
-        return F.transform(
-            F.array(scaled),
-            lambda e: F.struct(
-                names[F.array_position(e, F.array_max(e)).cast("int") - 1].alias("family"),
-                (1.0 / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("probability"),
-            ),
-        )[0]
-
-
-def _notices() -> list[tuple[str, str]]:
-    return [(f, n) for by in (NOTICES, IDENTIFIERS) for f, notices in by.items() for n in notices]
 
+        def likeliest(e: Column) -> Column:
+            probability = 1.0 / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+            return F.struct(names[F.array_position(e, F.array_max(e)).cast("int") - 1].alias("family"), probability.alias("probability"))
 
-def _templates() -> Column:
-    """Array of struct(family, parts): the word pairs of every notice, or the word where it is one."""
+        def scaled(m: Column) -> Column:
+            return _once(F.array_max(m), lambda most: F.transform(m, lambda v: F.exp(v - most)))
 
-    def parts(notice: str) -> Column:
-        words = tokens(F.lit(notice))
-        return F.when(F.size(words) > 1, F.array_distinct(_pairs(words))).otherwise(words)
+        return F.when(F.size(hits) > 0, _once(margins, lambda m: _once(scaled(m), likeliest)))
 
-    return F.array(*[F.struct(F.lit(family).alias("family"), parts(notice).alias("parts")) for family, notice in _notices()])
 
-
-def _confirming(own: Column) -> Column:
-    """The families of the templates that have enough of their parts among the n-grams."""
-    held = F.filter(_templates(), lambda t: F.size(F.array_intersect(t["parts"], own)) >= CONFIRM * F.size(t["parts"]))
+def _confirming(hits: Column) -> Column:
+    """The families of the templates that have enough of their n-grams among these places."""
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(_PLACE[g]) for g in parts]).alias("parts")) for f, parts in TEMPLATES])
+    held = F.filter(templates, lambda t: F.size(F.array_intersect(t["parts"], hits)) >= CONFIRM * F.size(t["parts"]))
     return F.array_distinct(F.transform(held, lambda t: t["family"]))
 
 
-def _examples(spark: SparkSession, prose: DataFrame) -> DataFrame:
-    """(family, words): notices and look-alikes alone, with a word in so many dropped, and between halves of windows of ``prose``."""
-    given = spark.createDataFrame([*_notices(), *[(UNKNOWN, x) for x in LOOKALIKES]], "family string, text string").withColumn("words", tokens(F.col("text")))
+def _examples(spark: SparkSession, shares: list[float]) -> DataFrame:
+    """(family, hits, weight): notices and look-alikes alone, with a word in so many dropped, and among n-grams met with the ``shares`` of GRAMS."""
+    notices = [(f, n) for by in (NOTICES, IDENTIFIERS) for f, own in by.items() for n in own]
+    given = spark.createDataFrame([*notices, *[(UNKNOWN, x) for x in LOOKALIKES]], "family string, text string").withColumn("words", tokens(F.col("text")))
     rounds = given.crossJoin(F.broadcast(spark.range(ROUNDS).withColumnRenamed("id", "round")))  # a dozen copies of a few dozen rows
     altered = F.filter("words", lambda w: (F.col("round") < 3) | (F.size("words") < 4) | (F.pmod(F.xxhash64(w, F.col("round")), F.lit(8)) > 0))
-    numbered = rounds.select("family", "round", altered.alias("words"), (F.row_number().over(Window.orderBy("family", "text", "round")) - 1).alias("k"))  # a few hundred rows
-    around = prose.select(F.col("words").alias("prose"), (F.row_number().over(Window.orderBy("words")) - 1).alias("p_k"))  # a bounded sample
-    n = max(1, prose.count())
-    joined = numbered.join(around, F.pmod("k", F.lit(n)) == F.col("p_k"), "left")
-    half = F.floor(F.pmod(F.xxhash64("k"), F.lit(WORDS // 2))).cast("int")
-    mixed = F.concat(F.slice("prose", F.lit(1), half), F.col("words"), F.slice("prose", half + 1, F.lit(WORDS // 2)))
-    words = F.when((F.pmod("round", F.lit(2)) == 1) & F.col("prose").isNotNull(), mixed).otherwise(F.col("words"))
-    return joined.select("family", words.alias("words"), F.lit(1.0).alias("weight"))
-
-
-def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_WINDOWS) -> LicenceModel:
-    """Fits the n-gram weights and calibrates the unknown class on the held third of ``sample`` different windows, the least by hash.
-
-    Windows that a template confirms are not taken for the unknown class. The hashes of which the sample is drawn grow
-    fewer with the text, so that about eight times ``sample`` windows meet; equal windows count once. The probability
-    asked for is the one that FALSE_RATE of the held windows exceed, and LEAST_PROBABILITY at least.
+    own = _once(_marks(altered), lambda m: _hits(m))
+    share = F.array(*[F.lit(float(s)) for s in shares])
+    met = F.filter(F.sequence(F.lit(0), F.lit(len(GRAMS) - 1)), lambda k: F.pmod(F.xxhash64(k, "text", "round"), F.lit(1_000_000)) < share[k] * 1_000_000)
+    among = F.when(F.pmod("round", F.lit(2)) == 1, F.array_sort(F.array_union(own, met))).otherwise(own)
+    return rounds.select("family", among.alias("hits"), F.lit(1.0).alias("weight"))
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> LicenceModel:
+    """Fits the n-gram weights on two thirds of the different windows of all texts and calibrates the unknown class on the last third.
+
+    Every window takes part, unless a template confirms it; equal windows (by 64-bit hash) count once. A window tells the
+    model its n-grams alone, so those with the same n-grams are one row with their number. The probability asked for is
+    the least that FALSE_RATE of the held windows or fewer reach, to a STEPS-th of its log-odds, and LEAST_PROBABILITY at least.
     """
     spark = docs.sparkSession
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    chars = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    # A window begins every STEP words of at least two characters with their space. A power of two, as the held third is a multiple of three.
-    one_of = 1 << max(0, (chars // (2 * STEP * 8 * sample)).bit_length() - 1)
-    drawn = (
-        docs.select(F.explode(windows(text)).alias("words"))
-        .select("words", F.xxhash64("words").alias("by"))
-        .where(F.pmod("by", F.lit(one_of)) == 0)
-        .distinct()
-        .orderBy("by", "words")
-        .limit(sample)
-        .where(F.size(_confirming(grams(F.col("words")))) == 0)
-    )
-    drawn = written(drawn, "windows").withColumn("held", F.pmod("by", F.lit(3)) == 0)
+
+    def of_window(words: Column, marks: Column, i: Column) -> Column:
+        return F.struct(F.xxhash64(F.slice(words, i, F.lit(WORDS))).alias("by"), _hits(marks, WORDS, i).alias("hits"))
+
+    found = F.flatten(F.transform(_paragraphs(text), lambda p: _of_windows(p, of_window)))
+    different = docs.select(F.explode(found).alias("w")).select("w.by", "w.hits").distinct()
+    counted = different.groupBy("hits", (F.pmod("by", F.lit(3)) == 0).alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted.where(F.size(_confirming(F.col("hits"))) == 0), "windows")
+    total = {r.held: r.n for r in counted.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+    fit, held = counted.where("NOT held"), counted.where("held")
+    met = {r.k: r.n for r in fit.select(F.explode("hits").alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # one row of GRAMS each
+    n = total.get(False, 0)
+    unknown = fit.select(F.lit(UNKNOWN).alias("family"), "hits", (F.col("n") * min(WINDOW_WEIGHT, CORPUS_WEIGHT / max(n, 1))).alias("weight"))
     classes = [*NOTICES, UNKNOWN]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    unknown = drawn.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0.2).alias("weight"))
-    rows = _examples(spark, drawn.where("NOT held").orderBy("by").limit(1_000)).unionByName(unknown)
-    rows = written(rows.select(F.array_distinct(grams(F.col("words"))).alias("grams"), label.alias("label"), "weight"), "examples")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(rows)
-    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, weightCol="weight", standardization=False).fit(vocabulary.transform(rows))
-    weights = fitted.coefficientMatrix.toArray()
-    kept = [(g, tuple(map(float, weights[:, j]))) for j, g in enumerate(vocabulary.vocabulary) if abs(weights[:, j]).max() > 1e-4]
-    model = LicenceModel(tuple(classes), tuple(map(float, fitted.interceptVector.toArray())), tuple(sorted(kept)), LEAST_PROBABILITY)
-    verdict = drawn.where("held").select(model.verdict(grams(F.col("words"))).alias("v"))
-    taken = F.when(F.col("v.family") != UNKNOWN, F.col("v.probability")).otherwise(0.0)
-    worst = verdict.agg(F.percentile(taken, 1 - FALSE_RATE)).first()[0]
-    least = LEAST_PROBABILITY if worst is None else max(LEAST_PROBABILITY, math.nextafter(worst, 1.0))
+    names = F.array(*[F.lit(g) for g in GRAMS])
+    rows = _examples(spark, [met.get(k, 0) / max(n, 1) for k in range(len(GRAMS))]).unionByName(unknown)
+    rows = written(rows.select(F.transform("hits", lambda k: names[k]).alias("grams"), label.alias("label"), "weight"), "examples")
+    features = CountVectorizerModel.from_vocabulary(GRAMS, inputCol="grams", outputCol="features").setBinary(True)
+    fitted = LogisticRegression(family="multinomial", regParam=PENALTY, elasticNetParam=1.0, maxIter=60, weightCol="weight", standardization=False).fit(features.transform(rows))
+    weights = tuple(tuple(map(float, w)) for w in fitted.coefficientMatrix.toArray().T)
+    model = LicenceModel(tuple(classes), tuple(map(float, fitted.interceptVector.toArray())), weights, LEAST_PROBABILITY)
+    verdicts = held.select(model.verdict(F.col("hits")).alias("v"), "n").where((F.col("v.family") != UNKNOWN) & (F.col("v.probability") >= LEAST_PROBABILITY))
+    odds = F.when(F.col("v.probability") < 1, F.log(F.col("v.probability") / (1 - F.col("v.probability"))))
+    step = F.floor(F.least(F.coalesce(odds, F.lit(float(MOST_ODDS))), F.lit(float(MOST_ODDS))) * STEPS)
+    steps = verdicts.groupBy(step.alias("step")).agg(F.sum("n").alias("n"))  # STEPS * MOST_ODDS + 1 rows at most
+    reached = F.sum("n").over(Window.orderBy(F.desc("step")))
+    worst = steps.select("step", reached.alias("reached")).where(F.col("reached") > FALSE_RATE * total.get(True, 0)).agg(F.max("step")).first()[0]
+    least = LEAST_PROBABILITY if worst is None else math.nextafter(1 / (1 + math.exp(-(worst + 1) / STEPS)), 2.0)
     return LicenceModel(model.classes, model.intercepts, model.weights, least)
 
 
@@ -248,28 +252,13 @@ def scan(df: DataFrame, model: LicenceModel, text_col: str = "text") -> DataFram
     kept = F.struct(*[column(df, c).alias(f"c{i}") for i, c in enumerate(names)])
     text = F.coalesce(column(df, text_col).cast("string"), F.lit(""))
 
-    def of_window(marks: Column, pair_marks: Column, i: Column) -> Column:
-        hits = _distinct(F.concat(F.slice(marks, i, F.lit(WORDS)), F.slice(pair_marks, i, F.lit(WORDS - 1))))
-        # a window without a weighted n-gram has the intercepts alone, and those are for the unknown class
-        verdict = _once(hits, lambda h: F.when(F.size(h) > 0, model.verdict_of(h)))
-        return F.struct(i.alias("i"), verdict.alias("v"))
-
-    def held(words: Column, pairs: Column, i: Column) -> Column:
-        return F.concat(F.slice(words, i, F.lit(WORDS)), F.slice(pairs, i, F.lit(WORDS - 1)))
-
     def granted(paragraph: Column) -> Column:
-        """The families of a paragraph: its pairs are built and looked up once for all windows that share them."""
-
-        def of(words: Column, pairs: Column, marks: Column, pair_marks: Column) -> Column:
-            scored = F.transform(_starts(words), lambda i: of_window(marks, pair_marks, i))
-            sure = F.filter(scored, lambda x: (x["v"]["family"] != UNKNOWN) & (x["v"]["probability"] >= model.least))
-            confirmed = F.filter(sure, lambda x: F.array_contains(_confirming(held(words, pairs, x["i"])), x["v"]["family"]))
-            return F.array_distinct(F.transform(confirmed, lambda x: x["v"]["family"]))
-
-        return _once(
-            tokens(paragraph),
-            lambda t: _once(_pairs(t), lambda p: _once(F.struct(model.marks(t).alias("t"), model.marks(p).alias("p")), lambda m: of(t, p, m["t"], m["p"]))),
-        )
+        """The families of a paragraph."""
+        hits = F.filter(F.array_distinct(_of_windows(paragraph, lambda words, marks, i: _hits(marks, WORDS, i))), lambda h: F.size(h) > 0)
+        scored = F.transform(hits, lambda h: F.struct(h.alias("hits"), model.verdict(h).alias("v")))
+        sure = F.filter(scored, lambda x: (x["v"]["family"] != UNKNOWN) & (x["v"]["probability"] >= model.least))
+        confirmed = F.filter(sure, lambda x: F.array_contains(_confirming(x["hits"]), x["v"]["family"]))
+        return F.array_distinct(F.transform(confirmed, lambda x: x["v"]["family"]))
 
     out = df.select(kept.alias("row"), F.flatten(F.transform(_paragraphs(text), granted)).alias("found"))
     return out.select(

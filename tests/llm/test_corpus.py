@@ -254,6 +254,21 @@ def test_licences_are_calibrated_on_held_windows(spark):
     assert license_scan.learn(odd.where(held).limit(1)).least > license_scan.learn(odd.where("false")).least == license_scan.LEAST_PROBABILITY
 
 
+def test_licences_learn_from_every_window(spark):
+    """Windows behind more than 4,000 others by hash take part in the calibration and in the fit."""
+    prose = spark.range(6_000).select(F.concat(F.lit("prose goes on w"), "id").alias("text"))
+    by = F.xxhash64(license_scan.windows(F.col("text"))[0])
+    odd = spark.range(400).select(F.concat(F.lit("Licensed under the Apache License w"), "id").alias("text")).where(by > 1 << 62)
+    assert prose.where(by < 1 << 62).count() > 4_000
+    plain = license_scan.learn(prose)
+    held = license_scan.learn(prose.unionByName(odd.where(F.pmod(by, F.lit(3)) == 0)))
+    assert held.least > plain.least == license_scan.LEAST_PROBABILITY
+    seen = license_scan.learn(prose.unionByName(odd.where(F.pmod(by, F.lit(3)) != 0)))
+    hits = F.array(*[F.lit(license_scan.GRAMS.index(g)) for g in ("apache license", "licensed under", "the apache", "under the")])
+    sure = [spark.range(1).select(m.verdict(hits).alias("v")).select("v.*").first() for m in (plain, seen)]
+    assert sure[0].family == "Apache" and (sure[1].family != "Apache" or sure[1].probability < sure[0].probability - 0.01)
+
+
 def test_notices_without_a_usual_cue(spark, docs):
     model = license_scan.learn(docs)
     texts = {"Distributed under CC BY 4.0.": "CC-BY", "GPL-2.0-or-later": "GPL", "CC0 1.0": "CC0", "SPDX-License-Identifier: MIT": "MIT"}
