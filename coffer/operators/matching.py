@@ -19,7 +19,8 @@ def largest_overlaps(overlaps: DataFrame, left: str, right: str, order: list) ->
     As both sides go by one order, the greedy choice is their only stable one, so it is found by proposals: every
     left asks by its first row, a right keeps the first row that it is asked by, and all rows of that right
     which come later leave. Rows are ranked once for each left; the rounds work on the first ones of each, and on more for
-    the lefts that lost all of theirs. The rounds end when no row leaves and no left can get more. Null sides match nothing.
+    the lefts that lost all of theirs. What such a left gets may take the last rows of another, which then gets more in its turn.
+    The rounds end when no row leaves and no left without rows has any that a right would keep. Null sides match nothing.
     """
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
     rows = overlaps.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("_key", key).dropDuplicates([left, right])
@@ -35,11 +36,11 @@ def largest_overlaps(overlaps: DataFrame, left: str, right: str, order: list) ->
         left_over = kept.count()
         if left_over < size:
             pool, size = kept, left_over
-        elif upto >= most:
+            continue
+        last, upto = upto >= most, min(most, upto * GROWTH)
+        more = ranked.where(F.col("_rank") <= upto).join(pool.select(left).distinct(), left, "left_anti")
+        more = staged(more.join(best, right, "left").where("_best IS NULL OR _key < _best").select(*pool.columns))
+        added = more.count()
+        if last and not added:
             return asking.select(*overlaps.columns)
-        else:
-            upto *= GROWTH
-            more = ranked.where(F.col("_rank") <= upto).join(pool.select(left).distinct(), left, "left_anti")
-            more = more.join(best, right, "left").where("_best IS NULL OR _key < _best").select(*pool.columns)
-            pool = staged(pool.unionByName(more))
-            size = pool.count()
+        pool, size = staged(pool.unionByName(more)), size + added

@@ -55,6 +55,15 @@ def test_overlaps_write_few_rows(spark, monkeypatch):
     assert sum(written) < 2 * len(rows)
 
 
+def test_overlaps_widen_a_left_that_a_wider_one_puts_out(spark):
+    """B asks r16 only when it has lost its first 16 rows; A then has none of its own left, but for one beyond them."""
+    rows = [(f"D{i:02}", f"r{i:02}", 100) for i in range(16)]
+    rows += [("B", f"r{i:02}", 50) for i in range(17)] + [("A", f"r{i:02}", 10) for i in range(1, 18)]
+    frame = spark.createDataFrame(rows, "a string, b string, n int")
+    got = matching.largest_overlaps(frame, "a", "b", [-F.col("n"), F.col("a")])
+    assert sorted(map(tuple, got.collect())) == sorted([*rows[:16], ("A", "r17", 10), ("B", "r16", 50)])
+
+
 def _may(charge, name, links, charges, owner):
     """The guards for one charge, by a look at all links."""
     before = owner.get(charge["id"])
