@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, stored
 
 #: Marks the name of an owner that is one history among several of its merchant.
 HISTORY = ":history:"
@@ -48,7 +48,8 @@ def replay(found: DataFrame, rules: DataFrame, charges: DataFrame, links: DataFr
     rules act at once that come first for each of their names; then these leave, and the next ones
     come. As many rounds as the longest chain of rules that share names. Null ids and rules take no part.
     The given frames are read before the first round alone: a round reads the matches
-    of the rules that still wait, and one row for each owner, merchant, account and currency that a rule names.
+    of the rules that still wait, and one row for each owner, merchant, account and currency that a rule names. What a round
+    takes is stored, so that Spark's estimate of the owners' size follows their rows and not the number of rounds.
     """
     order = F.struct((-F.col("priority")).alias("p"), F.col("rule").alias("r"))
     named = rules.select("rule", F.col("canonical").alias("name"), order.alias("turn")).dropDuplicates(["rule"])
@@ -67,7 +68,7 @@ def replay(found: DataFrame, rules: DataFrame, charges: DataFrame, links: DataFr
         first = uses.groupBy("use").agg(F.min("turn").alias("first"))
         waiting = uses.join(first, "use").where("turn <> first").select("rule").distinct()
         acting = staged(uses.select("rule").distinct().join(waiting, "rule", "left_anti"))
-        now = staged(allowed(asked.join(acting, "rule", "left_semi"), owned))
+        now = stored(allowed(asked.join(acting, "rule", "left_semi"), owned))
         taken = taken.unionByName(now.select("id", "rule", "name"))
         asked = staged(asked.join(acting, "rule", "left_anti").join(now.select("id"), "id", "left_anti"))
         owned = staged(owned.unionByName(now.select(F.col("name").alias("canonical"), "account", "cur", "m")).distinct())

@@ -123,6 +123,26 @@ def test_replay_reads_its_frames_once(spark):
     assert reads.value <= 4 * 8
 
 
+def test_replay_keeps_size_estimates_small(spark, monkeypatch):
+    """However many rounds the rules take, the sizes that Spark estimates have no more digits than at first."""
+    bits = []
+
+    def sized(df):
+        out = staged(df)
+        n = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        bits.append(n.bit_length() if isinstance(n, int) else n.bigInteger().bitLength())
+        return out
+
+    monkeypatch.setattr(replay, "staged", sized)
+    charges = spark.createDataFrame([(i, "a", "USD", "Alpha") for i in range(4)], "id int, account string, currency string, merchant string")
+    told = spark.createDataFrame([(r, f"Name {r}", r) for r in range(7)], "rule int, canonical string, priority int")
+    found = spark.createDataFrame([(i, r) for i in range(4) for r in range(7)], "id int, rule int")
+    links, owners = spark.createDataFrame([(99, "Alpha")], "id int, canonical string"), spark.createDataFrame([], "id int, owner string")
+    got = replay.replay(found, told, charges, links, owners).collect()
+    assert sorted(map(tuple, got)) == [(i, 6, "Name 6") for i in range(4)]
+    assert len(bits) > 7 and max(bits) < 1000
+
+
 def _first_near(amounts, absolute, share):
     """Amounts in rising order to the first cluster whose mean is near."""
     found = []
