@@ -257,8 +257,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     sides = ("ids", "dims", "rows", "data", "cutoffs")
 
     packed = asked.withColumn("cutoff", none).mapInArrow(_packer(QUERY_BLOCK), _BLOCK)
-    to_all = packed.select(*[F.col(c).alias(f"q_{c}") for c in sides], F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("q_cell"))
-    gathered = written(to_all.join(blocks, F.col("q_cell") == F.col("cell")).drop("q_cell", "cell").mapInArrow(_scan(k, _gather(k)), _ENTRIES), "gathered")
+    # Cells that hold no block need no queries. Packed rows are far larger than Spark takes them for: they are shuffled, never broadcast.
+    used = [r.cell for r in blocks.select("cell").distinct().collect()]
+    to_all = packed.select(*[F.col(c).alias(f"q_{c}") for c in sides], F.explode(F.array(*[F.lit(c) for c in used]).cast("array<int>")).alias("q_cell"))
+    gathered = written(to_all.hint("merge").join(blocks, F.col("q_cell") == F.col("cell")).drop("q_cell", "cell").mapInArrow(_scan(k, _gather(k)), _ENTRIES), "gathered")
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     head = gathered.where("vec_id IS NOT NULL").select("query_id", "query_hash", "score", "vec_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
     cutoffs = head.where(F.col("rank") == k).select("query_id", "query_hash", F.col("score").alias("cutoff"))
@@ -266,11 +268,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     # Each block with the queries whose cutoff its highest bound reaches.
     reached = gathered.where("vec_id IS NULL").select("query_id", "query_hash", "block", "bound").join(cutoffs, ["query_id", "query_hash"], "left")
     reached = reached.where(F.col("cutoff").isNull() | (F.col("bound") >= F.col("cutoff"))).select("query_id", "query_hash", F.col("block").alias("q_block"), F.coalesce("cutoff", F.lit(-LARGEST)).alias("cutoff")).distinct()
-    informed = asked.join(reached, (F.col("vec_id") == F.col("query_id")) & (F.col("hash") == F.col("query_hash")))
+    informed = asked.hint("merge").join(reached, (F.col("vec_id") == F.col("query_id")) & (F.col("hash") == F.col("query_hash")))
     informed = informed.select("vec_id", "q", "hash", "cutoff", "q_block").repartition(cells, "q_block").sortWithinPartitions("q_block")
     sent = informed.mapInArrow(_by_block(QUERY_BLOCK), _BLOCK + ", block bigint")
     sent = sent.select(*[F.col(c).alias(f"q_{c}") for c in sides], F.col("block").alias("q_block"))
-    final = sent.join(blocks, F.col("q_block") == F.col("block")).drop("q_block", "cell").mapInArrow(_scan(k, _collect(k)), _ENTRIES)
+    final = sent.hint("merge").join(blocks, F.col("q_block") == F.col("block")).drop("q_block", "cell").mapInArrow(_scan(k, _collect(k)), _ENTRIES)
     if with_resolved:
         final = written(final, "collected")
     ranked = final.where("vec_id IS NOT NULL").select("query_id", "query_hash", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

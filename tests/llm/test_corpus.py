@@ -331,6 +331,23 @@ def test_base_scores_of_the_language_model(spark, docs):
         assert rows[d].base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts), rel=1e-9)
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    """Packed rows seem small to Spark, so joins with them must not be left to its estimate."""
+    plans = {}
+
+    def spied(df, tag):
+        plans[tag] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, tag)
+
+    written = topk.written
+    monkeypatch.setattr(topk, "written", spied)
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id bigint, embedding array<float>").coalesce(1)
+    out = topk.top_k(v, v.where("vec_id % 20 = 0"), 3)
+    assert "Broadcast" not in plans["gathered"] and plans["gathered"].count("SortMergeJoin") == 1
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
+    assert out.count() == 6
+
+
 def test_top_k_resolves_few_entries_and_breaks_ties(spark):
     import random
 
