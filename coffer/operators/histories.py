@@ -163,7 +163,7 @@ def history_key(charges: DataFrame) -> DataFrame:
     sure = (F.col("confidence") >= 0.9) | F.col("keyword")
     name = F.when(sure, F.lower("merchant")).otherwise(F.lower("merchant_raw"))
     key = F.concat_ws("|", F.coalesce(F.upper("currency"), F.lit("USD")), F.coalesce(F.col("account").cast("string"), F.lit("")), F.coalesce("descriptor", F.lit("")), name)
-    return charges.join(marked.select("id", key.alias("bucket")), "id")
+    return marked.select(*charges.columns, key.alias("bucket"))
 
 
 def _group_starts(table: pa.Table, by: list[str]) -> np.ndarray:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import flags
+from ..functions.predicates import FLAGS, flags
 from ..plans.staging import staged
 from .aggregates import mode, recovery_keys
 from .clusters import candidate_clusters
@@ -74,9 +74,9 @@ def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: Da
     ``previous`` (id, owner) holds the links of the run before; ``confirmed`` (canonical) what a user confirmed.
     The passes: negative rules (suppressed), histories by merchant (primary), looser
     groups for review only (fallback), positive rules (rule), and single recent charges
-    (recent). Other debits have the pass none.
+    (recent). Other debits have the pass none. What the words of a charge say is looked up once, for all passes.
     """
-    debits = staged(charges.where("amount < 0").drop("cluster"))
+    debits = staged(flags(charges.where("amount < 0").drop("cluster", *FLAGS)))
     previous = staged(previous.where("owner IS NOT NULL").select("id", F.col("owner").cast("string").alias("owner")).dropDuplicates(["id"]))
     confirmed = staged(confirmed.select("canonical"))
     found = staged(matches(debits, rules))
@@ -90,7 +90,7 @@ def run(charges: DataFrame, rules: DataFrame, previous: DataFrame, confirmed: Da
     members = staged(_named(clusters, ready, "merchant", previous, _seen(links)))
     links.append(staged(_taken(_judged(ready, members, confirmed, False), "primary")))
 
-    rest = recovery_keys(_left(debits, links))
+    rest = staged(recovery_keys(_left(debits, links)))
     ok = analysable(rest.withColumn("cluster", F.col("key"))).select(F.col("cluster").alias("key"))
     rest = staged(history_key(rest.join(ok, "key", "left_semi")))
     shown = mode(rest.withColumnsRenamed({"key": "k"}).withColumn("name", F.coalesce(F.nullif(F.trim("merchant"), F.lit("")), "merchant_raw")), "k", "name").select(F.col("k").alias("key"), "name")

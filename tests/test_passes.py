@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coffer import registry
-from coffer.operators import clusters, matching, passes, replay, rules
+from coffer.functions import predicates
+from coffer.operators import clusters, histories, matching, passes, replay, rules
 from coffer.plans.staging import staged
 
 SMALL = "/root/testdata/sf0.001"
@@ -143,6 +144,24 @@ def test_replay_keeps_size_estimates_small(spark, monkeypatch):
     assert len(bits) > 7 and max(bits) < 1000
 
 
+def test_words_are_looked_up_once(spark):
+    """Flags that a frame holds are not made again, and a charge is read once for its bucket."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    schema = "id int, currency string, account string, confidence double, merchant string, merchant_raw string, memo string, category string, kind string"
+    rows = [(i, "usd", "a", 0.5 + i / 10, "Netflix", "NETFLIX 1", "monthly subscription", "streaming", "mediaStreaming") for i in range(4)]
+    marked = predicates.flags(spark.createDataFrame(rows, schema))
+    assert set(predicates.FLAGS) <= set(marked.columns) and predicates.flags(marked) is marked
+    got = histories.history_key(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).collect()
+    assert [(r.id, r.bucket.split("|")[0]) for r in sorted(got)] == [(i, "USD") for i in range(4)]
+    assert reads.value == 4
+
+
 def _first_near(amounts, absolute, share):
     """Amounts in rising order to the first cluster whose mean is near."""
     found = []
